@@ -104,7 +104,7 @@ LEDGER_SQL = {
 
 
 def ledger_rows(w: StarWarehouse) -> DataFrame:
-    return stream_table(w.raw("events"), "event_id",
+    return stream_table(w.raw("events"), "user_id", "event_id",
                         lambda s: ledger.stock_ledger(ledger.movements(s)))
 
 
@@ -112,7 +112,7 @@ register("stock_ledger_stream", ledger_rows, """
     SELECT item_id, event_id, kind, quantity, accepted, available AS available_quantity,
         reserved AS reserved_quantity FROM steps WHERE nr > 0""", LEDGER_SQL)
 register("low_stock_stream", lambda w: stream_table(
-    w.raw("events"), "event_id",
+    w.raw("events"), "user_id", "event_id",
     lambda s: ledger.low_stock(ledger.stock_ledger(ledger.movements(s)), w)), """
     SELECT s.item_id, s.event_id, i.item_name, s.available AS available_quantity,
         i.reorder_level, CAST(i.reorder_level - s.available AS DECIMAL(12,2))
@@ -121,7 +121,7 @@ register("low_stock_stream", lambda w: stream_table(
     WHERE s.nr > 0 AND s.accepted AND i.is_active AND s.available <= i.reorder_level""",
          LEDGER_SQL)
 register("init_stock_stream",
-         lambda w: stream_table(w.raw("events"), "event_id", ledger.init_stock), """
+         lambda w: stream_table(w.raw("events"), "user_id", "event_id", ledger.init_stock), """
     SELECT DISTINCT user_id AS item_id, CAST(0 AS DECIMAL(12,2)) AS available_quantity,
         CAST(0 AS DECIMAL(12,2)) AS reserved_quantity FROM events""")
 
@@ -130,7 +130,7 @@ TRANSITION_SQL = """
     FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old_status
         FROM events) WHERE old_status <> event_type"""
 register("status_transitions_stream", lambda w: stream_table(
-    w.raw("events"), "event_id",
+    w.raw("events"), "user_id", "event_id",
     lambda s: transitions.status_transitions_stream(transitions.statuses(s))), TRANSITION_SQL)
 register("status_transitions",
          lambda w: transitions.status_transitions(transitions.statuses(w.raw("events"))),
@@ -144,7 +144,7 @@ def streamed_confirmation(w: StarWarehouse) -> SnapshotStore:
     store.commit({t: w[t] for t in ("goods_receipts", "goods_receipt_lines", "purchase_orders",
                                     "purchase_order_lines", "stock_balance")})
     requests = store.tables()["goods_receipts"].select(F.col("grn_id").alias("req_seq"), "grn_id")
-    run_in_slices(requests, "req_seq", lambda s: s,
+    run_in_slices(requests, "grn_id", "req_seq", lambda s: s,
                   lambda s, c: confirm_stream(s, root, c, AS_OF))
     return store
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from depotflow.session import ENGINE_CONF, fresh_path
 
-ROWS_PER_SLICE = 20_000_000
+ROWS_PER_KEY = 5_000_000
+ROWS_PER_CORE = 2_000_000
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _PARTITIONS = "spark.sql.shuffle.partitions"
 
@@ -49,37 +50,47 @@ def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def slice_bounds(df: DataFrame, order: str, rows_per_slice: int) -> list[tuple[int | None, int | None]]:
-    """Half-open ranges of the order column with about ``rows_per_slice`` rows each.
+def slice_bounds(df: DataFrame, key: str, order: str, rows_per_key: int = ROWS_PER_KEY,
+                 rows_per_core: int = ROWS_PER_CORE) -> list[tuple[int, int]]:
+    """Half-open ranges of the order column that bound each slice.
 
-    Any bounds give the same result; approximate ones keep this one cheap pass.
+    No slice holds more than ``rows_per_key`` rows of one key, which is what one task
+    sorts, nor more rows in total than the cores can share. The ranges are of equal
+    width, halved until the counts agree, so clustered rows are found too.
     """
-    slices = -(-df.count() // rows_per_slice)
-    if slices <= 1:
-        return [(None, None)]
-    cuts = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.1 / slices)
-    edges = [None, *sorted({int(c) for c in cuts}), None]
-    return list(zip(edges, edges[1:]))
-
-
-def run_in_slices(df: DataFrame, order: str, build: Callable[[DataFrame], DataFrame],
-                  run: Callable[[DataFrame, str], None], rows_per_slice: int = ROWS_PER_SLICE) -> None:
+    low, high, total = df.agg(F.min(order), F.max(order), F.count("*")).head()
+    if not total:
+        return []
+    in_total = rows_per_core * df.sparkSession.sparkContext.defaultParallelism
+    slices = -(-total // in_total)
+    while True:
+        width = -(-(high - low + 1) // slices)
+        ranges = [(low + i * width, low + (i + 1) * width) for i in range(slices)]
+        if width == 1 or (slices == 1 and total <= rows_per_key):
+            return ranges
+        counted = df.groupBy(F.expr(f"(`{order}` - {low}) div {width}").alias("slice"), key).agg(
+            F.count("*").alias("n"))
+        most = counted.groupBy("slice").agg(F.max("n").alias("of_key"), F.sum("n").alias("all"))
+        of_key, all_rows = most.agg(F.max("of_key"), F.max("all")).head()
+        if of_key <= rows_per_key and all_rows <= in_total:
+            return ranges
+        slices *= 2
+
+
+def run_in_slices(df: DataFrame, key: str, order: str, build: Callable[[DataFrame], DataFrame],
+                  run: Callable[[DataFrame, str], None], **bounds: int) -> None:
     """Feed ``df`` slice by slice to ``run(build(stream), checkpoint)``."""
     spark = df.sparkSession
     source, checkpoint = fresh_path(spark, "feed"), fresh_path(spark, "stream")
-    for low, high in slice_bounds(df, order, rows_per_slice):
-        part = df
-        if low is not None:
-            part = part.filter(F.col(order) >= low)
-        if high is not None:
-            part = part.filter(F.col(order) < high)
+    for low, high in slice_bounds(df, key, order, **bounds):
+        part = df.filter((F.col(order) >= low) & (F.col(order) < high))
         part.write.mode("append").parquet(source)
         run(build(spark.readStream.schema(df.schema).parquet(source)), checkpoint)
 
 
-def stream_table(df: DataFrame, order: str, build: Callable[[DataFrame], DataFrame],
-                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def stream_table(df: DataFrame, key: str, order: str, build: Callable[[DataFrame], DataFrame],
+                 **bounds: int) -> DataFrame:
     """All rows a stream appends when ``df`` is fed to it in order."""
     out = fresh_path(df.sparkSession, "stream-out")
-    run_in_slices(df, order, build, lambda s, c: run_to_end(s, out, c), rows_per_slice)
+    run_in_slices(df, key, order, build, lambda s, c: run_to_end(s, out, c), **bounds)
     return df.sparkSession.read.parquet(out)
