@@ -59,22 +59,29 @@ def slice_bounds(df: DataFrame, key: str, order: str, rows_per_key: int = ROWS_P
     width, halved until the counts agree, so clustered rows are found too.
     """
     low, high, total = df.agg(F.min(order), F.max(order), F.count("*")).head()
-    if not total:
-        return []
     in_total = rows_per_core * df.sparkSession.sparkContext.defaultParallelism
+    if total <= min(rows_per_key, in_total):
+        return [(low, high + 1)] if total else []
     slices = -(-total // in_total)
     while True:
         width = -(-(high - low + 1) // slices)
-        ranges = [(low + i * width, low + (i + 1) * width) for i in range(slices)]
-        if width == 1 or (slices == 1 and total <= rows_per_key):
-            return ranges
         counted = df.groupBy(F.expr(f"(`{order}` - {low}) div {width}").alias("slice"), key).agg(
             F.count("*").alias("n"))
-        most = counted.groupBy("slice").agg(F.max("n").alias("of_key"), F.sum("n").alias("all"))
-        of_key, all_rows = most.agg(F.max("of_key"), F.max("all")).head()
-        if of_key <= rows_per_key and all_rows <= in_total:
-            return ranges
+        found = counted.groupBy("slice").agg(
+            F.max("n").alias("of_key"), F.sum("n").alias("all")).orderBy("slice").collect()
+        if width == 1 or all(f.of_key <= rows_per_key and f["all"] <= in_total for f in found):
+            break
         slices *= 2
+    # neighbours that are small together make one slice
+    bounds, held = [], 0
+    for f in found:
+        start, end = low + f.slice * width, low + (f.slice + 1) * width
+        if bounds and held + f["all"] <= min(rows_per_key, in_total):
+            bounds[-1], held = (bounds[-1][0], end), held + f["all"]
+        else:
+            bounds.append((start, end))
+            held = f["all"]
+    return bounds
 
 
 def run_in_slices(df: DataFrame, key: str, order: str, build: Callable[[DataFrame], DataFrame],
