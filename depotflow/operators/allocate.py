@@ -3,11 +3,13 @@
 Documents ask for quantities of several resources. In the order of ``doc``, each
 one is accepted if every line fits into what the accepted earlier ones left, and
 takes nothing otherwise. The result equals running the documents one after the
-other, but no document waits for a task that holds the whole queue:
+other, but no task holds the whole queue of a resource:
 
-1. A resource whose total need fits into its capacity can refuse nobody. Only
-   lines on the other, contended resources are looked at further.
-2. For the rest, two running totals bound what earlier documents take: all that
+1. A line larger than the whole capacity refuses its document for good. Such
+   documents take nothing and leave the queue at once.
+2. A resource whose remaining total need fits into its capacity can refuse nobody.
+   Only lines on the other, contended resources are looked at further.
+3. For the rest, two running totals bound what earlier documents take: all that
    are not yet refused (``most``) and those surely accepted (``least``). A
    document that fits under ``most`` is accepted, one that does not fit over
    ``least`` is refused. Each round settles at least the first open document of
@@ -16,6 +18,7 @@ other, but no document waits for a task that holds the whole queue:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -25,55 +28,93 @@ from depotflow.operators.running import SPAN, running_totals
 from depotflow.session import durable
 
 
-def allocate(docs: DataFrame, lines: DataFrame, resource: list[str], span: int = SPAN) -> DataFrame:
+@dataclass(frozen=True)
+class Allocation:
+    """The decisions; ``verdicts`` has ``doc`` and ``accepted``."""
+
+    verdicts: DataFrame
+    _limited: DataFrame
+    _refused: DataFrame
+    _resource: list[str]
+    _span: int
+
+    def failed(self) -> DataFrame:
+        """For each refused ``doc`` the resource of its first line that did not fit.
+
+        A line above the whole capacity is sure, and one that fits with all that was
+        ever accepted never failed. Only for lines in between the totals at the turn
+        of the document are needed.
+        """
+        resource = self._resource
+        flagged = self._limited.join(self._refused, "doc", "left")
+        taken = flagged.filter("refused IS NULL").groupBy(*resource).agg(
+            F.sum("need").alias("taken"))
+        suspects = durable(
+            flagged.filter("refused").join(taken, resource, "left")
+            .filter("need > free OR need + taken > free")
+            .select("doc", "line_no", *resource, "need", "free"))
+        failing = suspects.filter("need > free")
+        unsure = suspects.filter("need <= free")
+        if not unsure.isEmpty():
+            met = running_totals(
+                flagged.join(unsure.select(*resource).distinct(), resource, "left_semi"),
+                resource, "doc",
+                {"before": F.when(F.col("refused").isNull(), F.col("need"))}, self._span)
+            failing = failing.unionByName(
+                met.filter("refused AND before + need > free").select(*suspects.columns))
+        first = failing.groupBy("doc").agg(F.min_by(F.struct(*resource), "line_no").alias("r"))
+        return first.select("doc", "r.*")
+
+
+def allocate(docs: DataFrame, lines: DataFrame, resource: list[str],
+             span: int = SPAN) -> Allocation:
     """Decide documents.
 
     ``docs``: ``doc`` (unique bigint, the arrival order). ``lines``: ``doc``, the
     resource columns, ``need``, ``free`` (capacity, the same on all lines of a
-    resource; NULL means no limit), ``line_no`` (order in the document) and
-    ``reason`` (what to say if this line does not fit). A document has at most one
-    line per resource. Returns ``doc``, ``accepted`` and ``reason``.
+    resource; NULL means no limit) and ``line_no`` (order in the document). A document
+    has at most one line per resource. ``lines`` is read several times and should be stored.
     """
     limited = lines.filter("free IS NOT NULL")
+    hopeless = durable(limited.filter("need > free").select("doc").distinct())
+    hopeful = limited.join(hopeless, "doc", "left_anti")
     contended = (
-        limited.groupBy(*resource)
+        hopeful.groupBy(*resource)
         .agg(F.sum("need").alias("asked"), F.min("free").alias("limit"))
         .filter("asked > limit").select(*resource))
-    queue = durable(limited.join(contended, resource, "left_semi"))
+    queue = durable(hopeful.select("doc", *resource, "need", "free").join(
+        contended, resource, "left_semi"))
 
-    waiting = queue.select("doc", *resource, "need", "free").withColumn(
-        "state", F.lit(None).cast("boolean"))
-    settled: list[DataFrame] = []
-    while not waiting.isEmpty():
+    waiting = queue.withColumn("state", F.lit(None).cast("boolean"))
+    settled = [hopeless.withColumn("verdict", F.lit(False))]
+    some_open = not queue.isEmpty()
+    while some_open:
         flows = running_totals(waiting, resource, "doc", {
             "most": F.col("need"),
             "least": F.when(F.col("state"), F.col("need")),
         }, span)
         need, free = F.col("need"), F.col("free")
-        verdict = durable(
+        verdict = (
             flows.filter("state IS NULL").groupBy("doc").agg(
                 F.bool_and(F.col("most") + need <= free).alias("fits"),
                 F.bool_or(F.col("least") + need > free).alias("fails"))
-            .filter("fits OR fails").select("doc", F.col("fits").alias("verdict")))
-        settled.append(verdict)
-        marked = (
-            waiting.join(verdict, "doc", "left")
-            .withColumn("state", F.coalesce("state", "verdict")).drop("verdict")
-            .filter("state IS NULL OR state"))
-        unsettled = marked.filter("state IS NULL").select(*resource).distinct()
-        waiting = durable(marked.join(unsettled, resource, "left_semi"))
-
-    if not settled:
-        return docs.select("doc", F.lit(True).alias("accepted"),
-                           F.lit(None).cast("string").alias("reason"))
+            .select("doc", F.expr("CASE WHEN fits THEN true WHEN fails THEN false END")
+                    .alias("verdict"), F.lit(True).alias("was_open")))
+        marked = durable(waiting.join(verdict, "doc", "left").select(
+            "doc", *resource, "need", "free", F.coalesce("state", "verdict").alias("state"),
+            "was_open"))
+        settled.append(
+            marked.filter("was_open AND state IS NOT NULL").groupBy("doc").agg(
+                F.bool_and("state").alias("verdict")))
+        undecided = marked.filter("state IS NULL")
+        some_open = not undecided.isEmpty()
+        # refused lines take nothing; the queue of a settled resource is done with
+        waiting = marked.drop("was_open").filter("state IS NULL OR state").join(
+            undecided.select(*resource).distinct(), resource, "left_semi")
+
     verdicts = reduce(DataFrame.unionByName, settled)
+    refused = verdicts.filter("NOT verdict").select("doc", F.lit(True).alias("refused"))
 
-    # What each refused document met at its turn: totals of accepted lines only.
-    met = running_totals(queue.join(verdicts, "doc"), resource, "doc", {
-        "before": F.when(F.col("verdict"), F.col("need"))}, span)
-    reasons = (
-        met.filter("NOT verdict AND before + need > free")
-        .groupBy("doc").agg(F.min_by("reason", "line_no").alias("reason")))
-    return (
-        docs.select("doc").join(verdicts, "doc", "left").join(reasons, "doc", "left")
-        .select("doc", F.coalesce("verdict", F.lit(True)).alias("accepted"), "reason"))
+    accepted = docs.select("doc").join(verdicts, "doc", "left").select(
+        "doc", F.coalesce("verdict", F.lit(True)).alias("accepted"))
+    return Allocation(accepted, limited, refused, resource, span)

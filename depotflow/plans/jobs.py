@@ -9,8 +9,8 @@ as a row with its reason.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Mapping
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,16 +25,40 @@ Tables = Mapping[str, DataFrame]
 ACCEPTED, REJECTED, UNCHANGED = "accepted", "rejected", "unchanged"
 
 
-@dataclass(frozen=True)
+class Changes(Mapping):
+    """Changed tables by name; the plan of each is built when it is asked for."""
+
+    def __init__(self, **builders: Callable[[], DataFrame]) -> None:
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 class Result:
     """Changed tables by name, and the outcome of each request."""
 
-    changed: dict[str, DataFrame]
-    outcome: DataFrame
+    def __init__(self, changed: Mapping[str, DataFrame],
+                 outcome: DataFrame | Callable[[], DataFrame]) -> None:
+        self.changed = changed
+        self._outcome = outcome
+
+    @cached_property
+    def outcome(self) -> DataFrame:
+        return self._outcome() if callable(self._outcome) else self._outcome
 
-    def applied_to(self, tables: Tables) -> dict[str, DataFrame]:
+    def applied_to(self, tables: Tables) -> Tables:
         """All tables after the job."""
-        return {**{name: tables[name] for name in tables}, **self.changed}
+        return After(tables, self.changed)
 
 
 class After(Mapping):
@@ -46,7 +70,7 @@ class After(Mapping):
     def __getitem__(self, name: str) -> DataFrame:
         return self._changed[name] if name in self._changed else self._tables[name]
 
-    def __iter__(self):
+    def __iter__(self) -> Iterator[str]:
         return iter({*self._tables, *self._changed})
 
     def __len__(self) -> int:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotflow.functions.columns import is_falsy, stamp, with_defaults
+from depotflow.functions.columns import is_falsy, with_defaults
 from depotflow.functions.messages import DUPLICATE, message
 from depotflow.plans.jobs import (
-    ACCEPTED, REJECTED, UNCHANGED, After, Result, Tables, append, checked, decided, next_ids)
+    ACCEPTED, REJECTED, UNCHANGED, Changes, Result, Tables, append, checked, decided, next_ids)
 from depotflow.plans.lists import role_id_by_name
 from depotflow.schemas import MODEL, QTY
 from depotflow.session import durable
@@ -59,22 +59,26 @@ def upsert_master(tables: Tables, table: str, requests: DataFrame, as_of: str) -
     new = rows.filter("is_new AND reject_reason IS NULL").drop("target")
     new = with_defaults(new, table, as_of, [n for n in MODEL[table].names if n != key])
     new = next_ids(new, tables, table)
-    last = (
-        rows.filter("known AND reject_reason IS NULL")
-        .groupBy("target").agg(F.max_by(F.struct(*fields), "req_seq").alias("_set"))
-        .withColumnRenamed("target", key))
-    kept = tables[table].join(last, key, "left").withColumns({
-        f: F.when(F.col("_set").isNotNull(), F.col(f"_set.{f}")).otherwise(F.col(f))
-        for f in fields}).drop("_set")
-    changed = {table: append(After(tables, {table: kept}), table, new)}
+
+    def changed_rows() -> DataFrame:
+        last = (
+            rows.filter("known AND reject_reason IS NULL")
+            .groupBy("target").agg(F.max_by(F.struct(*fields), "req_seq").alias("_set"))
+            .withColumnRenamed("target", key))
+        kept = tables[table].join(last, key, "left").withColumns({
+            f: F.when(F.col("_set").isNotNull(), F.col(f"_set.{f}")).otherwise(F.col(f))
+            for f in fields}).drop("_set")
+        return append({table: kept}, table, new)
+
+    changed = {table: changed_rows}
     if table == "items":
-        changed["stock_balance"] = init_stock(tables, new, as_of)
+        changed["stock_balance"] = lambda: init_stock(tables, new, as_of)
     outcome = rows.join(new.select("req_seq", key), "req_seq", "left").select(
         "req_seq", F.coalesce(key, "target").alias(key),
         F.when(F.col("reject_reason").isNotNull(), REJECTED)
         .when(F.col("is_new") | F.col("known"), ACCEPTED).otherwise(UNCHANGED).alias("outcome"),
         F.col("reject_reason").alias("reason"))
-    return Result(changed, outcome)
+    return Result(Changes(**changed), outcome)
 
 
 def deactivate(tables: Tables, table: str, keys: DataFrame) -> DataFrame:
@@ -112,6 +116,6 @@ def assign_roles(tables: Tables, requests: DataFrame, as_of: str) -> Result:
     new = durable(next_ids(rows.filter("reject_reason IS NULL"), tables, "users"))
     outcome = decided(rows.join(new.select("req_seq", "user_id"), "req_seq", "left"),
                       "username", "user_id")
-    return Result({
-        "users": append(tables, "users", new),
-        "user_roles": append(tables, "user_roles", new)}, outcome)
+    return Result(Changes(
+        users=lambda: append(tables, "users", new),
+        user_roles=lambda: append(tables, "user_roles", new)), outcome)

@@ -11,8 +11,8 @@ from depotflow.functions.messages import (
 from depotflow.operators.allocate import allocate
 from depotflow.operators.running import SPAN
 from depotflow.plans.jobs import (
-    ACCEPTED, REJECTED, UNCHANGED, Result, Tables, append, checked, decided, first_requests,
-    is_free_pair, move_stock, next_ids, stamped, text_null)
+    ACCEPTED, REJECTED, UNCHANGED, Changes, Result, Tables, append, checked, decided, first_requests,
+    is_free_pair, move_stock, next_ids, stamped)
 from depotflow.schemas import MODEL, QTY
 from depotflow.session import durable
 
@@ -29,7 +29,7 @@ def create_documents(tables: Tables, table: str, requests: DataFrame, as_of: str
     key = MODEL[table].key[0]
     new = next_ids(rows.filter("reject_reason IS NULL"), tables, table)
     outcome = decided(rows.drop(key).join(new.select("req_seq", key), "req_seq", "left"), key)
-    return Result({table: append(tables, table, new)}, outcome)
+    return Result(Changes(**{table: lambda: append(tables, table, new)}), outcome)
 
 
 # line table -> (header key, name of the quantity, name of the price)
@@ -74,7 +74,7 @@ def add_lines(tables: Tables, table: str, requests: DataFrame) -> Result:
             message(DUPLICATE, F.lit(f"{header}, item_id")))))
     new = next_ids(rows.filter("reject_reason IS NULL"), tables, table)
     outcome = decided(rows, header, "item_id")
-    return Result({table: append(tables, table, new)}, outcome)
+    return Result(Changes(**{table: lambda: append(tables, table, new)}), outcome)
 
 
 def confirm_grn(tables: Tables, requests: DataFrame, as_of: str, span: int = SPAN) -> Result:
@@ -98,55 +98,65 @@ def confirm_grn(tables: Tables, requests: DataFrame, as_of: str, span: int = SPA
         .select("doc", "grn_id", "po_id", "item_id", F.col("grn_line_id").alias("line_no"),
                 F.col("received_quantity").alias("need"))
         .join(ordered, ["po_id", "item_id"], "left"))
-    verdict = durable(allocate(
-        todo, lines.withColumn("reason", message(OVER_RECEIPT, F.col("item_id"))),
-        ["po_id", "item_id"], span))
+    queue = allocate(todo, lines, ["po_id", "item_id"], span)
 
-    done = todo.join(verdict.filter("accepted"), "doc").select("doc", "grn_id", "po_id")
+    done = todo.join(queue.verdicts.filter("accepted"), "doc").select("doc", "grn_id", "po_id")
     taken = lines.join(done.select("doc"), "doc", "left_semi")
-    stock = move_stock(
-        tables["stock_balance"],
-        taken.select("item_id", F.col("need").alias("available"),
-                     F.lit(0).cast(QTY).alias("reserved")),
-        as_of)
-    sums = taken.groupBy("po_id", "item_id").agg(F.sum("need").alias("_in"))
-    raised = order_lines.join(sums, ["po_id", "item_id"], "left").withColumn(
-        "received_quantity",
-        (F.col("received_quantity") + F.coalesce("_in", F.lit(0))).cast(QTY))
-    raised = with_generated(raised, "purchase_order_lines")
-
-    touched = done.select("po_id").distinct()
-    complete = raised.select("po_id", "pending_quantity").join(touched, "po_id", "left_semi") \
-        .groupBy("po_id").agg(F.bool_and(F.col("pending_quantity") == 0).alias("_complete"))
-    # an order without lines has no verdict on completeness and counts as open
-    state = touched.join(complete, "po_id", "left").select(
-        "po_id", F.coalesce("_complete", F.lit(False)).alias("_complete"))
-    orders = tables["purchase_orders"].join(state, "po_id", "left")
-    hit = F.col("_complete").isNotNull()
-    orders = orders.select(
-        "po_id", "supplier_id", "created_by",
-        F.when(F.col("_complete"), "Completed").when(hit, "Partially_Received")
-        .otherwise(F.col("status")).alias("status"),
-        "notes", "created_at", stamped(hit, "updated_at", as_of),
-        F.when(F.col("_complete"), stamp(as_of)).otherwise(F.col("received_at"))
-        .alias("received_at"))
-    confirmed = receipts.join(
-        done.select("grn_id", F.lit(True).alias("_done")), "grn_id", "left").withColumn(
-        "status", F.when(F.col("_done"), "Confirmed").otherwise(F.col("status"))).select(
-        *MODEL["goods_receipts"].names)
-
-    unmatched = lines.groupBy("doc").agg(F.bool_or(F.col("free").isNull()).alias("unmatched"))
-    state_of = asked.join(verdict, "doc", "left").join(unmatched, "doc", "left")
-    outcome = requests.select("req_seq", "grn_id").join(
-        state_of.select("grn_id", "doc", "accepted", "reason", "unmatched"), "grn_id", "left"
-    ).select(
-        "req_seq", "grn_id",
-        F.when(F.col("accepted") & (F.col("req_seq") == F.col("doc")), ACCEPTED)
-        .when(~F.col("accepted"), REJECTED).otherwise(UNCHANGED).alias("outcome"),
-        "reason", F.coalesce("unmatched", F.lit(False)).alias("unmatched"))
-    return Result({
-        "goods_receipts": confirmed, "stock_balance": stock, "purchase_order_lines": raised,
-        "purchase_orders": orders}, outcome)
+
+    def stock() -> DataFrame:
+        return move_stock(
+            tables["stock_balance"],
+            taken.select("item_id", F.col("need").alias("available"),
+                         F.lit(0).cast(QTY).alias("reserved")),
+            as_of)
+
+    def raised() -> DataFrame:
+        sums = taken.groupBy("po_id", "item_id").agg(F.sum("need").alias("_in"))
+        return with_generated(
+            order_lines.join(sums, ["po_id", "item_id"], "left").withColumn(
+                "received_quantity",
+                (F.col("received_quantity") + F.coalesce("_in", F.lit(0))).cast(QTY)),
+            "purchase_order_lines")
+
+    def orders() -> DataFrame:
+        touched = done.select("po_id").distinct()
+        complete = raised().select("po_id", "pending_quantity").join(
+            touched, "po_id", "left_semi").groupBy("po_id").agg(
+            F.bool_and(F.col("pending_quantity") == 0).alias("_complete"))
+        # an order without lines has no verdict on completeness and counts as open
+        state = touched.join(complete, "po_id", "left").select(
+            "po_id", F.coalesce("_complete", F.lit(False)).alias("_complete"))
+        hit = F.col("_complete").isNotNull()
+        return tables["purchase_orders"].join(state, "po_id", "left").select(
+            "po_id", "supplier_id", "created_by",
+            F.when(F.col("_complete"), "Completed").when(hit, "Partially_Received")
+            .otherwise(F.col("status")).alias("status"),
+            "notes", "created_at", stamped(hit, "updated_at", as_of),
+            F.when(F.col("_complete"), stamp(as_of)).otherwise(F.col("received_at"))
+            .alias("received_at"))
+
+    def confirmed() -> DataFrame:
+        return receipts.join(
+            done.select("grn_id", F.lit(True).alias("_done")), "grn_id", "left").withColumn(
+            "status", F.when(F.col("_done"), "Confirmed").otherwise(F.col("status"))).select(
+            *MODEL["goods_receipts"].names)
+
+    def outcome() -> DataFrame:
+        unmatched = lines.groupBy("doc").agg(F.bool_or(F.col("free").isNull()).alias("unmatched"))
+        reasons = queue.failed().select("doc", message(OVER_RECEIPT, F.col("item_id")).alias("reason"))
+        state_of = asked.join(queue.verdicts, "doc", "left").join(reasons, "doc", "left").join(
+            unmatched, "doc", "left")
+        return requests.select("req_seq", "grn_id").join(
+            state_of.select("grn_id", "doc", "accepted", "reason", "unmatched"), "grn_id", "left"
+        ).select(
+            "req_seq", "grn_id",
+            F.when(F.col("accepted") & (F.col("req_seq") == F.col("doc")), ACCEPTED)
+            .when(~F.col("accepted"), REJECTED).otherwise(UNCHANGED).alias("outcome"),
+            "reason", F.coalesce("unmatched", F.lit(False)).alias("unmatched"))
+
+    return Result(Changes(
+        goods_receipts=confirmed, stock_balance=stock, purchase_order_lines=raised,
+        purchase_orders=orders), outcome)
 
 
 def cancel_po(tables: Tables, requests: DataFrame, as_of: str) -> Result:
@@ -163,10 +173,13 @@ def cancel_po(tables: Tables, requests: DataFrame, as_of: str) -> Result:
         F.when(F.col("status").isNull(), message(PO_UNKNOWN, F.col("po_id")))
         .when(F.col("status") != "Pending",
               message(PO_NOT_CANCELLED, F.col("po_id"), F.col("status"))))
-    hit = F.col("_asked") & (F.col("status") == "Pending")
-    marked = orders.join(first.select("po_id", F.lit(True).alias("_asked")), "po_id", "left")
-    cancelled = marked.withColumns({
-        "updated_at": stamped(F.coalesce(hit, F.lit(False)), "updated_at", as_of),
-        "status": F.when(hit, "Cancelled").otherwise(F.col("status")),
-    }).select(*MODEL["purchase_orders"].names)
-    return Result({"purchase_orders": cancelled}, decided(rows, "po_id"))
+
+    def cancelled() -> DataFrame:
+        marked = orders.join(first.select("po_id", F.lit(True).alias("_asked")), "po_id", "left")
+        hit = F.coalesce(F.col("_asked") & (F.col("status") == "Pending"), F.lit(False))
+        return marked.withColumns({
+            "updated_at": stamped(hit, "updated_at", as_of),
+            "status": F.when(hit, "Cancelled").otherwise(F.col("status")),
+        }).select(*MODEL["purchase_orders"].names)
+
+    return Result(Changes(purchase_orders=cancelled), decided(rows, "po_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depotflow.functions.columns import choose, stamp, with_defaults, with_generated
+from depotflow.functions.columns import choose, with_defaults, with_generated
 from depotflow.functions.messages import (
     DUPLICATE, OVER_SHIPMENT, RESERVED_BELOW_ZERO, SHORT_STOCK, SO_NOT_ADVANCED,
     SO_NOT_CANCELLED, SO_NOT_PACKED, SO_UNKNOWN, message)
@@ -13,7 +13,7 @@ from depotflow.operators import reserve as reservation
 from depotflow.operators.allocate import allocate
 from depotflow.operators.running import SPAN
 from depotflow.plans.jobs import (
-    ACCEPTED, REJECTED, UNCHANGED, Result, Tables, append, checked, decided, first_requests,
+    ACCEPTED, REJECTED, UNCHANGED, Changes, Result, Tables, append, checked, decided, first_requests,
     is_free_pair, move_stock, next_ids, stamped)
 from depotflow.plans.procurement import line_rows
 from depotflow.schemas import MODEL, QTY
@@ -54,15 +54,15 @@ def reserve_stock(tables: Tables, requests: DataFrame, as_of: str,
             .when(F.col("verdict") == reservation.DUPLICATE, duplicate)))
     taken = rows.filter("reject_reason IS NULL")
     quantity = F.col("ordered_quantity")
-    moved = move_stock(stock, taken.select(
-        "item_id", (-quantity).alias("available"), quantity.alias("reserved")), as_of)
-    new = next_ids(taken, tables, "sales_order_lines")
     outcome = decided(
         rows.withColumn("no_stock_row", F.col("reject_reason").isNull() & F.col("free").isNull()),
         "so_id", "item_id", "no_stock_row")
-    return Result({
-        "sales_order_lines": append(tables, "sales_order_lines", new),
-        "stock_balance": moved}, outcome)
+    return Result(Changes(
+        sales_order_lines=lambda: append(
+            tables, "sales_order_lines", next_ids(taken, tables, "sales_order_lines")),
+        stock_balance=lambda: move_stock(stock, taken.select(
+            "item_id", (-quantity).alias("available"), quantity.alias("reserved")), as_of),
+    ), outcome)
 
 
 def create_dc(tables: Tables, requests: DataFrame, as_of: str) -> Result:
@@ -88,7 +88,8 @@ def create_dc(tables: Tables, requests: DataFrame, as_of: str) -> Result:
     new = next_ids(rows.filter("reject_reason IS NULL"), tables, "delivery_challans")
     outcome = decided(
         rows.join(new.select("req_seq", "dc_id"), "req_seq", "left"), "so_id", "dc_id")
-    return Result({"delivery_challans": append(tables, "delivery_challans", new)}, outcome)
+    return Result(Changes(
+        delivery_challans=lambda: append(tables, "delivery_challans", new)), outcome)
 
 
 def dispatch_dc(tables: Tables, requests: DataFrame, as_of: str, span: int = SPAN) -> Result:
@@ -117,53 +118,65 @@ def dispatch_dc(tables: Tables, requests: DataFrame, as_of: str, span: int = SPA
     limits = lines.select("doc", "need", F.explode(F.array(
         F.struct(F.lit("order").alias("kind"), F.col("so_id").alias("owner"), item,
                  F.col("order_free").cast("decimal(13,2)").alias("free"),
-                 (F.col("dc_line_id") * 2).alias("line_no"),
-                 message(OVER_SHIPMENT, item).alias("reason")),
+                 (F.col("dc_line_id") * 2).alias("line_no")),
         F.struct(F.lit("stock").alias("kind"), F.lit(0).cast("bigint").alias("owner"), item,
                  F.col("stock_free").cast("decimal(13,2)").alias("free"),
-                 (F.col("dc_line_id") * 2 + 1).alias("line_no"),
-                 message(RESERVED_BELOW_ZERO, item).alias("reason")))).alias("l"))
-    verdict = durable(allocate(
-        todo, limits.select("doc", "need", "l.*"), ["kind", "owner", "item_id"], span))
+                 (F.col("dc_line_id") * 2 + 1).alias("line_no")))).alias("l"))
+    queue = allocate(todo, limits.select("doc", "need", "l.*"), ["kind", "owner", "item_id"], span)
 
-    done = todo.join(verdict.filter("accepted"), "doc").select("doc", "dc_id", "so_id")
+    done = todo.join(queue.verdicts.filter("accepted"), "doc").select("doc", "dc_id", "so_id")
     taken = lines.join(done.select("doc"), "doc", "left_semi")
-    moved = move_stock(stock, taken.select(
-        "item_id", F.lit(0).cast(QTY).alias("available"), (-F.col("need")).alias("reserved")),
-        as_of)
-    sums = taken.groupBy("so_id", "item_id").agg(F.sum("need").alias("_out"))
-    raised = order_lines.join(sums, ["so_id", "item_id"], "left").withColumn(
-        "shipped_quantity", (F.col("shipped_quantity") + F.coalesce("_out", F.lit(0))).cast(QTY))
-    raised = with_generated(raised, "sales_order_lines")
-
-    touched = done.select("so_id").distinct()
-    state = touched.join(_complete(raised, touched), "so_id", "left").select(
-        "so_id", F.coalesce("_complete", F.lit(False)).alias("_complete"))
-    new_status = F.when(F.col("_complete"), "Shipped").when(~F.col("_complete"), "Processing")
-    orders = _set_status(tables["sales_orders"], state, new_status, as_of)
-    sent = challans.join(done.select("dc_id", F.lit(True).alias("_done")), "dc_id", "left") \
-        .withColumns({
+
+    def moved() -> DataFrame:
+        return move_stock(stock, taken.select(
+            "item_id", F.lit(0).cast(QTY).alias("available"),
+            (-F.col("need")).alias("reserved")), as_of)
+
+    def raised() -> DataFrame:
+        sums = taken.groupBy("so_id", "item_id").agg(F.sum("need").alias("_out"))
+        return with_generated(
+            order_lines.join(sums, ["so_id", "item_id"], "left").withColumn(
+                "shipped_quantity",
+                (F.col("shipped_quantity") + F.coalesce("_out", F.lit(0))).cast(QTY)),
+            "sales_order_lines")
+
+    def orders() -> DataFrame:
+        touched = done.select("so_id").distinct()
+        state = touched.join(_complete(raised(), touched), "so_id", "left").select(
+            "so_id", F.coalesce("_complete", F.lit(False)).alias("_complete"))
+        return _set_status(
+            tables["sales_orders"], state,
+            F.when(F.col("_complete"), "Shipped").otherwise("Processing"), as_of)
+
+    def sent() -> DataFrame:
+        marked = challans.join(done.select("dc_id", F.lit(True).alias("_done")), "dc_id", "left")
+        return marked.withColumns({
             "status": F.when(F.col("_done"), "Dispatched").otherwise(F.col("status")),
             "dispatched_at": stamped(F.col("_done"), "dispatched_at", as_of),
         }).select(*MODEL["delivery_challans"].names)
 
-    unmatched = lines.groupBy("doc").agg(
-        F.bool_or(F.col("order_free").isNull()).alias("unmatched"))
-    again = asked.filter("status = 'Delivered'").select("doc", F.lit(True).alias("was_delivered"))
-    state_of = asked.join(verdict, "doc", "left").join(unmatched, "doc", "left").join(
-        again, "doc", "left")
-    outcome = requests.select("req_seq", "dc_id").join(
-        state_of.select("dc_id", "doc", "accepted", "reason", "unmatched", "was_delivered"),
-        "dc_id", "left"
-    ).select(
-        "req_seq", "dc_id",
-        F.when(F.col("accepted") & (F.col("req_seq") == F.col("doc")), ACCEPTED)
-        .when(~F.col("accepted"), REJECTED).otherwise(UNCHANGED).alias("outcome"),
-        "reason", F.coalesce("unmatched", F.lit(False)).alias("unmatched"),
-        F.coalesce("was_delivered", F.lit(False)).alias("was_delivered"))
-    return Result({
-        "delivery_challans": sent, "stock_balance": moved, "sales_order_lines": raised,
-        "sales_orders": orders}, outcome)
+    def outcome() -> DataFrame:
+        unmatched = lines.groupBy("doc").agg(
+            F.bool_or(F.col("order_free").isNull()).alias("unmatched"))
+        again = asked.filter("status = 'Delivered'").select("doc", F.lit(True).alias("was_delivered"))
+        reasons = queue.failed().select(
+            "doc", F.when(F.col("kind") == "order", message(OVER_SHIPMENT, item))
+            .otherwise(message(RESERVED_BELOW_ZERO, item)).alias("reason"))
+        state_of = asked.join(queue.verdicts, "doc", "left").join(reasons, "doc", "left").join(
+            unmatched, "doc", "left").join(again, "doc", "left")
+        return requests.select("req_seq", "dc_id").join(
+            state_of.select("dc_id", "doc", "accepted", "reason", "unmatched", "was_delivered"),
+            "dc_id", "left"
+        ).select(
+            "req_seq", "dc_id",
+            F.when(F.col("accepted") & (F.col("req_seq") == F.col("doc")), ACCEPTED)
+            .when(~F.col("accepted"), REJECTED).otherwise(UNCHANGED).alias("outcome"),
+            "reason", F.coalesce("unmatched", F.lit(False)).alias("unmatched"),
+            F.coalesce("was_delivered", F.lit(False)).alias("was_delivered"))
+
+    return Result(Changes(
+        delivery_challans=sent, stock_balance=moved, sales_order_lines=raised,
+        sales_orders=orders), outcome)
 
 
 def _complete(lines: DataFrame, touched: DataFrame) -> DataFrame:
@@ -193,15 +206,19 @@ def deliver_dc(tables: Tables, requests: DataFrame, as_of: str) -> Result:
         challans.select("dc_id", "so_id", "status"), "dc_id", "left")
     first = durable(first)
     done = first.filter("status <> 'Delivered'")
-    touched = done.select("so_id").distinct()
-    state = _complete(tables["sales_order_lines"], touched)
-    orders = _set_status(
-        tables["sales_orders"], state, F.when(F.col("_complete"), "Delivered"), as_of)
-    sent = challans.join(done.select("dc_id", F.lit(True).alias("_done")), "dc_id", "left") \
-        .withColumns({
+
+    def orders() -> DataFrame:
+        state = _complete(tables["sales_order_lines"], done.select("so_id").distinct())
+        return _set_status(
+            tables["sales_orders"], state, F.when(F.col("_complete"), "Delivered"), as_of)
+
+    def sent() -> DataFrame:
+        marked = challans.join(done.select("dc_id", F.lit(True).alias("_done")), "dc_id", "left")
+        return marked.withColumns({
             "status": F.when(F.col("_done"), "Delivered").otherwise(F.col("status")),
             "delivered_at": stamped(F.col("_done"), "delivered_at", as_of),
         }).select(*MODEL["delivery_challans"].names)
+
     outcome = requests.select("req_seq", "dc_id").join(
         first.select("dc_id", "doc", "status"), "dc_id", "left").select(
         "req_seq", "dc_id",
@@ -209,7 +226,7 @@ def deliver_dc(tables: Tables, requests: DataFrame, as_of: str) -> Result:
         .otherwise(UNCHANGED).alias("outcome"),
         F.coalesce(~F.col("status").isin("Dispatched", "Delivered"), F.lit(False))
         .alias("not_dispatched"))
-    return Result({"delivery_challans": sent, "sales_orders": orders}, outcome)
+    return Result(Changes(delivery_challans=sent, sales_orders=orders), outcome)
 
 
 def advance_so(tables: Tables, requests: DataFrame, as_of: str) -> Result:
@@ -242,15 +259,18 @@ def advance_so(tables: Tables, requests: DataFrame, as_of: str) -> Result:
         F.when(F.col("status").isNull(), message(SO_UNKNOWN, F.col("so_id")))
         .when(F.col("new_status").isNull(),
               message(SO_NOT_ADVANCED, F.col("so_id"), F.col("found"))))
-    steps = early.groupBy("so_id").agg(F.max("step").alias("steps"))
-    moved = orders.join(steps, "so_id", "left").withColumn(
-        "_new", F.when(F.col("steps") == 2, F.coalesce(twice, once))
-        .when(F.col("steps") == 1, once))
-    advanced = moved.withColumns({
-        "updated_at": stamped(F.col("_new").isNotNull(), "updated_at", as_of),
-        "status": F.coalesce("_new", "status"),
-    }).select(*MODEL["sales_orders"].names)
-    return Result({"sales_orders": advanced}, decided(rows, "so_id", "new_status"))
+
+    def advanced() -> DataFrame:
+        steps = early.groupBy("so_id").agg(F.max("step").alias("steps"))
+        moved = orders.join(steps, "so_id", "left").withColumn(
+            "_new", F.when(F.col("steps") == 2, F.coalesce(twice, once))
+            .when(F.col("steps") == 1, once))
+        return moved.withColumns({
+            "updated_at": stamped(F.col("_new").isNotNull(), "updated_at", as_of),
+            "status": F.coalesce("_new", "status"),
+        }).select(*MODEL["sales_orders"].names)
+
+    return Result(Changes(sales_orders=advanced), decided(rows, "so_id", "new_status"))
 
 
 def cancel_so(tables: Tables, requests: DataFrame, as_of: str, span: int = SPAN) -> Result:
@@ -270,23 +290,30 @@ def cancel_so(tables: Tables, requests: DataFrame, as_of: str, span: int = SPAN)
         .select("doc", "so_id", "item_id", F.col("so_line_id").alias("line_no"),
                 (F.col("ordered_quantity") - F.col("shipped_quantity")).cast(QTY).alias("need"))
         .join(held, "item_id", "left"))
-    verdict = durable(allocate(
-        todo, lines.withColumn("reason", message(RESERVED_BELOW_ZERO, F.col("item_id"))),
-        ["item_id"], span))
-    done = todo.join(verdict.filter("accepted"), "doc").select("doc", "so_id")
+    queue = allocate(todo, lines, ["item_id"], span)
+    done = todo.join(queue.verdicts.filter("accepted"), "doc").select("doc", "so_id")
     released = lines.join(done.select("doc"), "doc", "left_semi")
-    moved = move_stock(stock, released.select(
-        "item_id", F.col("need").alias("available"), (-F.col("need")).alias("reserved")), as_of)
-    cancelled = _set_status(orders, done.select("so_id"), F.lit("Cancelled"), as_of)
-
-    state_of = first.join(verdict, "doc", "left")
-    rows = requests.select("req_seq", "so_id").join(
-        state_of.select("so_id", "doc", "status", "accepted", "reason"), "so_id", "left")
-    now = F.when(F.col("accepted") & (F.col("req_seq") != F.col("doc")), "Cancelled").otherwise(
-        F.col("status"))
-    rows = rows.withColumn(
-        "reject_reason",
-        F.when(F.col("status").isNull(), message(SO_UNKNOWN, F.col("so_id")))
-        .when(now.isin(*CLOSED_STATUS), message(SO_NOT_CANCELLED, F.col("so_id"), now))
-        .otherwise(F.col("reason")))
-    return Result({"sales_orders": cancelled, "stock_balance": moved}, decided(rows, "so_id"))
+
+    def moved() -> DataFrame:
+        return move_stock(stock, released.select(
+            "item_id", F.col("need").alias("available"), (-F.col("need")).alias("reserved")), as_of)
+
+    def cancelled() -> DataFrame:
+        return _set_status(orders, done.select("so_id"), F.lit("Cancelled"), as_of)
+
+    def outcome() -> DataFrame:
+        reasons = queue.failed().select(
+            "doc", message(RESERVED_BELOW_ZERO, F.col("item_id")).alias("reason"))
+        state_of = first.join(queue.verdicts, "doc", "left").join(reasons, "doc", "left")
+        rows = requests.select("req_seq", "so_id").join(
+            state_of.select("so_id", "doc", "status", "accepted", "reason"), "so_id", "left")
+        now = F.when(F.col("accepted") & (F.col("req_seq") != F.col("doc")), "Cancelled").otherwise(
+            F.col("status"))
+        rows = rows.withColumn(
+            "reject_reason",
+            F.when(F.col("status").isNull(), message(SO_UNKNOWN, F.col("so_id")))
+            .when(now.isin(*CLOSED_STATUS), message(SO_NOT_CANCELLED, F.col("so_id"), now))
+            .otherwise(F.col("reason")))
+        return decided(rows, "so_id")
+
+    return Result(Changes(sales_orders=cancelled, stock_balance=moved), outcome)

@@ -3,7 +3,8 @@
 Each function returns a lazy DataFrame; nothing is read until a query runs.
 Lines are summed per (document, item) before they meet any other table, so a
 document or item that holds a large share of the rows is spread over the pair key
-and shrinks on the map side first.
+and shrinks on the map side first. Raw quantities are doubles with at most two
+decimals: they are summed as they are and rounded once, to DECIMAL(12,2).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from depotflow.functions.columns import stamp, with_generated
 from depotflow.schemas import MODEL, QTY
 from depotflow.sources.seeds import SEED_ROWS, seed_rows
+from depotflow.sources.snapshots import SnapshotStore
 
 LOADED_AT = "2026-01-01 00:00:00"
 AS_OF = "2026-02-01 00:00:00"
@@ -68,14 +70,16 @@ class StarWarehouse(Mapping[str, DataFrame]):
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
+        self._plans: dict[str, DataFrame] = {}
         self._derive: dict[str, Callable[[], DataFrame]] = {
             name: getattr(self, name) for name in MODEL if name not in SEED_ROWS
         }
 
     def __getitem__(self, table: str) -> DataFrame:
-        if table in SEED_ROWS:
-            return seed_rows(self.spark, table)
-        return self._derive[table]()
+        if table not in self._plans:
+            self._plans[table] = (
+                seed_rows(self.spark, table) if table in SEED_ROWS else self._derive[table]())
+        return self._plans[table]
 
     def __iter__(self) -> Iterator[str]:
         return iter(MODEL)
@@ -86,6 +90,14 @@ class StarWarehouse(Mapping[str, DataFrame]):
     def raw(self, table: str) -> DataFrame:
         return star(self.spark, self.sf_dir, table)
 
+    def loaded(self, root: str) -> StarWarehouse:
+        """The same warehouse with its tables stored under ``root`` once."""
+        store = SnapshotStore(self.spark, root)
+        store.commit({name: self[name] for name in self._derive})
+        stored = StarWarehouse(self.spark, self.sf_dir)
+        stored._plans.update(store.tables())
+        return stored
+
     # -- master data ---------------------------------------------------------
 
     def items(self) -> DataFrame:
@@ -159,7 +171,7 @@ class StarWarehouse(Mapping[str, DataFrame]):
 
     def _sold(self) -> DataFrame:
         """Quantities per (order, item) with the state of the order."""
-        quantity = _qty(F.col("l_quantity"))
+        quantity = F.col("l_quantity")
         summed = self.raw("lineitem").groupBy("l_orderkey", "l_partkey").agg(
             F.sum(quantity).alias("ordered"),
             F.sum(F.when(F.col("l_linestatus") == "F", quantity)).alias("gone"),
@@ -240,7 +252,7 @@ class StarWarehouse(Mapping[str, DataFrame]):
             (F.col("l_suppkey") * 10000 + (F.year("l_shipdate") - 1995) * 12
              + F.month("l_shipdate")).alias("po_id"),
             F.col("l_partkey").alias("item_id"),
-            _qty(F.col("l_quantity")).alias("quantity"),
+            F.col("l_quantity").alias("quantity"),
             "l_returnflag",
         )
 

@@ -18,7 +18,7 @@ def one_by_one(docs, lines, free):
         short = [r for no, r, q in mine if left[r] is not None and q > left[r]]
         accepted[doc] = not short
         if short:
-            reasons[doc] = f"short of {short[0]}"
+            reasons[doc] = short[0]
         else:
             for _, r, q in mine:
                 if left[r] is not None:
@@ -39,20 +39,21 @@ def test_allocate_equals_one_by_one(spark, seed):
                   for no, r in enumerate(rnd.sample(sorted(wanted), len(wanted)))]
     accepted, reasons = one_by_one(docs, lines, free)
     line_rows = spark.createDataFrame(
-        [(d, r, q, no, free[r], f"short of {r}") for d, r, q, no in lines],
-        "doc long, resource long, need decimal(12,2), line_no long, free decimal(12,2), reason string")
+        [(d, r, q, no, free[r]) for d, r, q, no in lines],
+        "doc long, resource long, need decimal(12,2), line_no long, free decimal(12,2)")
     doc_rows = spark.createDataFrame([(d,) for d in docs], "doc long")
-    got = allocate(doc_rows, line_rows, ["resource"], span=512).collect()
-    assert {r.doc: r.accepted for r in got} == accepted
-    assert {r.doc: r.reason for r in got if r.reason} == reasons
+    got = allocate(doc_rows, line_rows, ["resource"], span=512)
+    assert {r.doc: r.accepted for r in got.verdicts.collect()} == accepted
+    assert {r.doc: r.resource for r in got.failed().collect()} == reasons
     assert 0 < sum(accepted.values()) < len(docs)
 
 
 def test_allocate_without_contention(spark):
     docs = spark.range(5).withColumnRenamed("id", "doc")
     lines = docs.selectExpr("doc", "1L AS resource", "1.00BD AS need", "5.00BD AS free",
-                            "0L AS line_no", "'x' AS reason")
-    assert allocate(docs, lines, ["resource"]).filter("accepted").count() == 5
+                            "0L AS line_no")
+    got = allocate(docs, lines, ["resource"])
+    assert got.verdicts.filter("accepted").count() == 5 and got.failed().isEmpty()
 
 
 def greedy(rows):
