@@ -127,6 +127,16 @@ def foreign_key(tables: Tables, df: DataFrame, table: str) -> DataFrame:
     return result
 
 
+def rows_for(table: DataFrame, batch: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of a table that a batch of requests is about.
+
+    A batch is mostly small against the table it looks up. The distinct keys of a
+    small batch are broadcast, so the table is filtered where it is read and not
+    shuffled as a whole; for a large one this is a plain semi join on the same key.
+    """
+    return table.join(batch.select(*on).distinct(), on, "left_semi")
+
+
 def orphan_flags(tables: Tables, df: DataFrame, table: str) -> DataFrame:
     """``df`` with ``orphan``: the first reference column without a parent, or NULL."""
     flags = []
@@ -136,7 +146,7 @@ def orphan_flags(tables: Tables, df: DataFrame, table: str) -> DataFrame:
         parent_key = MODEL[reference.parent].key[0]
         parents = tables[reference.parent].select(
             F.col(parent_key).alias(reference.column), F.lit(True).alias(f"_has_{i}"))
-        df = df.join(parents, reference.column, "left")
+        df = df.join(rows_for(parents, df, [reference.column]), reference.column, "left")
         flags.append((i, reference.column))
     orphan = F.coalesce(*[
         F.when(F.col(c).isNotNull() & F.col(f"_has_{i}").isNull(), F.lit(c)) for i, c in flags

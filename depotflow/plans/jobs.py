@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotflow.functions.columns import stamp, with_generated
-from depotflow.operators.quality import orphan_flags, row_reason
+from depotflow.operators.quality import orphan_flags, row_reason, rows_for
 from depotflow.operators.running import ranked
 from depotflow.schemas import MODEL, QTY
+from depotflow.session import durable
 
 Tables = Mapping[str, DataFrame]
 
@@ -86,6 +87,11 @@ def first_requests(requests: DataFrame, key: str) -> DataFrame:
     return requests.groupBy(key).agg(F.min("req_seq").alias("doc"))
 
 
+def looked_up(requests: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Requests with the row of ``table`` they name, or NULLs where there is none."""
+    return requests.join(rows_for(table, requests, [key]), key, "left")
+
+
 def next_ids(rows: DataFrame, tables: Tables, table: str) -> DataFrame:
     """Give new rows the ids after the highest one, in arrival order."""
     key = MODEL[table].key[0]
@@ -106,7 +112,8 @@ def append(tables: Tables, table: str, rows: DataFrame) -> DataFrame:
 
 def checked(tables: Tables, rows: DataFrame, table: str) -> DataFrame:
     """``rows`` with ``reject_reason``: broken row rules first, then missing parents."""
-    rows = orphan_flags(tables, rows.withColumn("_rule", row_reason(rows, table)), table)
+    rows = durable(rows.withColumn("_rule", row_reason(rows, table)))
+    rows = orphan_flags(tables, rows, table)
     reason = F.coalesce("_rule", F.when(
         F.col("orphan").isNotNull(), F.concat(F.lit("foreign_key "), F.col("orphan"))))
     return rows.withColumn("reject_reason", reason).drop("_rule", "orphan")
@@ -114,7 +121,7 @@ def checked(tables: Tables, rows: DataFrame, table: str) -> DataFrame:
 
 def is_free_pair(rows: DataFrame, tables: Tables, table: str, pair: tuple[str, ...]) -> DataFrame:
     """``rows`` with ``pair_used``: true where the table already has the key pair."""
-    used = tables[table].select(*pair, F.lit(True).alias("pair_used"))
+    used = rows_for(tables[table].select(*pair, F.lit(True).alias("pair_used")), rows, list(pair))
     return rows.join(used, list(pair), "left").withColumn(
         "pair_used", F.coalesce("pair_used", F.lit(False)))
 

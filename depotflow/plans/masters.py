@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from depotflow.functions.columns import is_falsy, with_defaults
 from depotflow.functions.messages import DUPLICATE, message
 from depotflow.plans.jobs import (
-    ACCEPTED, REJECTED, UNCHANGED, Changes, Result, Tables, append, checked, decided, next_ids)
+    ACCEPTED, REJECTED, UNCHANGED, Changes, Result, Tables, append, checked, decided, looked_up,
+    next_ids)
 from depotflow.plans.lists import role_id_by_name
 from depotflow.schemas import MODEL, QTY
 from depotflow.session import durable
@@ -43,7 +44,7 @@ def upsert_master(tables: Tables, table: str, requests: DataFrame, as_of: str) -
         f: F.lit(0).cast(QTY) if f == "reorder_level" else F.lit(None).cast(model[f].dtype)
         for f in fields if f not in requests.columns})
     known = tables[table].select(F.col(key), F.lit(True).alias("known"))
-    rows = rows.join(known, key, "left")
+    rows = looked_up(rows, known, key)
     rows = rows.withColumn("is_new", F.col(key).isNull()).withColumnRenamed(key, "target")
     # a create also refuses an empty name or unit, which an update lets through
     needed = [f for f in fields if f.endswith("_name") or f == "uom_id"]
@@ -99,7 +100,7 @@ def assign_roles(tables: Tables, requests: DataFrame, as_of: str) -> Result:
     empty = is_falsy("username", text) | is_falsy("role", text)
     rows = role_id_by_name(tables, requests).withColumnRenamed("reject_reason", "_role")
     taken = tables["users"].select("username", F.lit(True).alias("name_used"))
-    rows = rows.join(taken, "username", "left")
+    rows = looked_up(rows, taken, "username")
     rows = checked(tables, with_defaults(rows, "users", as_of, ["is_active", "created_at"]),
                    "users")
     rows = durable(rows.withColumn(

@@ -9,10 +9,11 @@ from depotflow.functions.columns import stamp, with_defaults, with_generated
 from depotflow.functions.messages import (
     DUPLICATE, OVER_RECEIPT, PO_NOT_CANCELLED, PO_UNKNOWN, message)
 from depotflow.operators.allocate import allocate
+from depotflow.operators.quality import rows_for
 from depotflow.operators.running import SPAN
 from depotflow.plans.jobs import (
     ACCEPTED, REJECTED, UNCHANGED, Changes, Result, Tables, append, checked, decided, first_requests,
-    is_free_pair, move_stock, next_ids, stamped)
+    is_free_pair, looked_up, move_stock, next_ids, stamped)
 from depotflow.schemas import MODEL, QTY
 from depotflow.session import durable
 
@@ -86,9 +87,8 @@ def confirm_grn(tables: Tables, requests: DataFrame, as_of: str, span: int = SPA
     """
     receipts = tables["goods_receipts"]
     order_lines = tables["purchase_order_lines"]
-    asked = first_requests(requests, "grn_id").join(
-        receipts.select("grn_id", "po_id", "status"), "grn_id", "left")
-    asked = durable(asked)
+    asked = durable(looked_up(
+        first_requests(requests, "grn_id"), receipts.select("grn_id", "po_id", "status"), "grn_id"))
     todo = asked.filter("status <> 'Confirmed'").select("doc", "grn_id", "po_id")
     ordered = order_lines.select(
         "po_id", "item_id",
@@ -97,7 +97,7 @@ def confirm_grn(tables: Tables, requests: DataFrame, as_of: str, span: int = SPA
         tables["goods_receipt_lines"].join(todo, "grn_id")
         .select("doc", "grn_id", "po_id", "item_id", F.col("grn_line_id").alias("line_no"),
                 F.col("received_quantity").alias("need"))
-        .join(ordered, ["po_id", "item_id"], "left"))
+        .join(rows_for(ordered, todo, ["po_id"]), ["po_id", "item_id"], "left"))
     queue = allocate(todo, lines, ["po_id", "item_id"], span)
 
     done = todo.join(queue.verdicts.filter("accepted"), "doc").select("doc", "grn_id", "po_id")
@@ -162,8 +162,8 @@ def confirm_grn(tables: Tables, requests: DataFrame, as_of: str, span: int = SPA
 def cancel_po(tables: Tables, requests: DataFrame, as_of: str) -> Result:
     """Cancel pending purchase orders; stock is not touched."""
     orders = tables["purchase_orders"]
-    first = first_requests(requests, "po_id").join(
-        orders.select("po_id", "status"), "po_id", "left")
+    first = durable(looked_up(
+        first_requests(requests, "po_id"), orders.select("po_id", "status"), "po_id"))
     rows = requests.select("req_seq", "po_id").join(first, "po_id", "left")
     # a second request finds the order already cancelled by the first
     now = F.when((F.col("status") == "Pending") & (F.col("req_seq") != F.col("doc")),

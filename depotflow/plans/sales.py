@@ -11,10 +11,11 @@ from depotflow.functions.messages import (
     SO_NOT_CANCELLED, SO_NOT_PACKED, SO_UNKNOWN, message)
 from depotflow.operators import reserve as reservation
 from depotflow.operators.allocate import allocate
+from depotflow.operators.quality import rows_for
 from depotflow.operators.running import SPAN
 from depotflow.plans.jobs import (
     ACCEPTED, REJECTED, UNCHANGED, Changes, Result, Tables, append, checked, decided, first_requests,
-    is_free_pair, move_stock, next_ids, stamped)
+    is_free_pair, looked_up, move_stock, next_ids, stamped)
 from depotflow.plans.procurement import line_rows
 from depotflow.schemas import MODEL, QTY
 from depotflow.session import durable
@@ -75,7 +76,7 @@ def create_dc(tables: Tables, requests: DataFrame, as_of: str) -> Result:
         if field not in requests.columns:
             requests = requests.withColumn(field, F.lit(""))
     status = tables["sales_orders"].select("so_id", F.col("status").alias("so_status"))
-    rows = requests.join(status, "so_id", "left")
+    rows = looked_up(requests, status, "so_id")
     guard = (
         F.when(F.col("so_status").isNull(), message(SO_UNKNOWN, F.col("so_id")))
         .when(F.col("so_status") != "Packed",
@@ -102,8 +103,8 @@ def dispatch_dc(tables: Tables, requests: DataFrame, as_of: str, span: int = SPA
     """
     challans, order_lines = tables["delivery_challans"], tables["sales_order_lines"]
     stock = tables["stock_balance"]
-    asked = durable(first_requests(requests, "dc_id").join(
-        challans.select("dc_id", "so_id", "status"), "dc_id", "left"))
+    asked = durable(looked_up(
+        first_requests(requests, "dc_id"), challans.select("dc_id", "so_id", "status"), "dc_id"))
     todo = asked.filter("status <> 'Dispatched'").select("doc", "dc_id", "so_id")
     ordered = order_lines.select(
         "so_id", "item_id",
@@ -113,7 +114,8 @@ def dispatch_dc(tables: Tables, requests: DataFrame, as_of: str, span: int = SPA
         tables["delivery_challan_lines"].join(todo, "dc_id")
         .select("doc", "dc_id", "so_id", "item_id", "dc_line_id",
                 F.col("shipped_quantity").alias("need"))
-        .join(ordered, ["so_id", "item_id"], "left").join(held, "item_id", "left"))
+        .join(rows_for(ordered, todo, ["so_id"]), ["so_id", "item_id"], "left")
+        .join(held, "item_id", "left"))
     item = F.col("item_id")
     limits = lines.select("doc", "need", F.explode(F.array(
         F.struct(F.lit("order").alias("kind"), F.col("so_id").alias("owner"), item,
@@ -202,9 +204,8 @@ def deliver_dc(tables: Tables, requests: DataFrame, as_of: str) -> Result:
     that was never dispatched is delivered without stock effect, and flagged.
     """
     challans = tables["delivery_challans"]
-    first = first_requests(requests, "dc_id").join(
-        challans.select("dc_id", "so_id", "status"), "dc_id", "left")
-    first = durable(first)
+    first = durable(looked_up(
+        first_requests(requests, "dc_id"), challans.select("dc_id", "so_id", "status"), "dc_id"))
     done = first.filter("status <> 'Delivered'")
 
     def orders() -> DataFrame:
@@ -244,7 +245,7 @@ def advance_so(tables: Tables, requests: DataFrame, as_of: str) -> Result:
     rows = (
         requests.select("req_seq", "so_id")
         .join(early.select("req_seq", "step"), "req_seq", "left")
-        .join(orders.select("so_id", "status"), "so_id", "left")
+        .join(rows_for(orders.select("so_id", "status"), requests, ["so_id"]), "so_id", "left")
         .withColumn("step", F.coalesce("step", F.lit(3))))
     once = choose(F.col("status"), NEXT_STATUS)
     twice = choose(once, NEXT_STATUS)
@@ -280,8 +281,8 @@ def cancel_so(tables: Tables, requests: DataFrame, as_of: str, span: int = SPAN)
     below zero refuses the whole cancellation.
     """
     orders, stock = tables["sales_orders"], tables["stock_balance"]
-    first = durable(first_requests(requests, "so_id").join(
-        orders.select("so_id", "status"), "so_id", "left"))
+    first = durable(looked_up(
+        first_requests(requests, "so_id"), orders.select("so_id", "status"), "so_id"))
     todo = first.filter(~F.col("status").isin(*CLOSED_STATUS)).select("doc", "so_id")
     held = stock.select("item_id", F.col("reserved_quantity").alias("free"))
     lines = durable(
