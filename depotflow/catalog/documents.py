@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from depotflow.catalog.registry import register
 from depotflow.catalog.reports import asked_roles
 from depotflow.catalog.star_sql import AS_OF as SQL_AS_OF
-from depotflow.plans import masters, procurement, sales
+from depotflow.functions.columns import stamp
+from depotflow.plans import masters, procurement, replay, sales
 from depotflow.plans.jobs import After, Result, stamp_changes
 from depotflow.schemas import QTY
-from depotflow.sources.star import AS_OF, StarWarehouse
+from depotflow.sources.star import AS_OF, LOADED_AT, StarWarehouse
 
 # --- create headers --------------------------------------------------------------
 
@@ -621,3 +622,62 @@ register("assign_roles_users", lambda w: new_users(w).changed["users"], f"""
 register("assign_roles_user_roles", lambda w: new_users(w).changed["user_roles"], """
     SELECT * FROM user_roles UNION ALL SELECT user_id, CAST(role_nr AS BIGINT)
     FROM new_users""", USER_SQL)
+
+# --- whole scenarios --------------------------------------------------------------------
+
+
+def replay_all(w: StarWarehouse) -> DataFrame:
+    """Buy what was received so far, sell every order from it, and show the stock left.
+
+    Starts with no documents and no stock. Less is bought than is ordered, so part of
+    the reservations are refused; everything that was reserved is shipped.
+    """
+    zero = F.lit(0).cast(QTY)
+    documents = (
+        "purchase_orders", "purchase_order_lines", "goods_receipts", "goods_receipt_lines",
+        "sales_orders", "sales_order_lines", "delivery_challans", "delivery_challan_lines")
+    start = After(w, {
+        **{t: w[t].filter("false") for t in documents},
+        "stock_balance": w["items"].select(
+            "item_id", zero.alias("available_quantity"), zero.alias("reserved_quantity"),
+            stamp(LOADED_AT).alias("last_updated")),
+    })
+    bought = replay.buy(
+        start,
+        w["purchase_orders"].select(F.col("po_id").alias("req_seq"), "supplier_id", "created_by"),
+        w["purchase_order_lines"].select(
+            F.col("po_line_id").alias("req_seq"), F.col("po_id").alias("order_seq"), "item_id",
+            F.col("received_quantity").alias("quantity"), "unit_cost"),
+        AS_OF, strict=False)
+    sold = replay.sell(
+        bought,
+        w["sales_orders"].select(F.col("so_id").alias("req_seq"), "customer_id", "created_by"),
+        w["sales_order_lines"].select(
+            F.col("so_line_id").alias("req_seq"), F.col("so_id").alias("order_seq"), "item_id",
+            F.col("ordered_quantity").alias("quantity"), "unit_price"),
+        AS_OF, strict=False)
+    return sold["stock_balance"]
+
+
+REPLAY_SQL = {
+    "bought": "SELECT item_id, sum(received_quantity) AS qty FROM purchase_order_lines "
+              "WHERE received_quantity > 0 GROUP BY item_id",
+    "wanted": """
+        SELECT item_id, ordered_quantity AS qty,
+            row_number() OVER (PARTITION BY item_id ORDER BY so_line_id) AS nr
+        FROM sales_order_lines""",
+    "steps": """
+        SELECT i.item_id, 0::BIGINT AS nr, CAST(coalesce(b.qty, 0) AS DECIMAL(12,2)) AS available,
+            b.qty IS NOT NULL AS touched
+        FROM items i LEFT JOIN bought b ON b.item_id = i.item_id
+        UNION ALL
+        SELECT q.item_id, q.nr, CAST(CASE WHEN q.qty <= s.available THEN s.available - q.qty
+            ELSE s.available END AS DECIMAL(12,2)), s.touched
+        FROM steps s JOIN wanted q ON q.item_id = s.item_id AND q.nr = s.nr + 1""",
+}
+register("replay", replay_all, f"""
+    SELECT item_id, arg_max(available, nr) AS available_quantity,
+        CAST(0 AS DECIMAL(12,2)) AS reserved_quantity,
+        CASE WHEN bool_or(touched) THEN {SQL_AS_OF} ELSE TIMESTAMP '{LOADED_AT}' END
+            AS last_updated
+    FROM steps GROUP BY item_id""", REPLAY_SQL)

@@ -64,8 +64,9 @@ def found_rows(source: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def missing_keys(source: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Asked keys without a row in ``source``."""
-    return keys.select(key).distinct().join(source.select(key), key, "left_anti")
+    """Asked keys without a row in ``source``; only asked rows of it are looked at."""
+    found = found_rows(source, keys, key).select(key).distinct()
+    return keys.select(key).distinct().join(found, key, "left_anti")
 
 
 def lookup_by_keys(source: DataFrame, keys: DataFrame, key: str) -> DataFrame:

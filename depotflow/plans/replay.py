@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotflow.plans import procurement, sales
-from depotflow.plans.jobs import REJECTED, After, Result, Tables
+from depotflow.plans.jobs import REJECTED, After, Changes, Result, Tables
 from depotflow.session import durable
 
 
@@ -19,19 +19,25 @@ class ScenarioFailed(RuntimeError):
 
 
 class _Run:
-    """The tables as they are after the steps so far."""
+    """The tables as they are after the steps so far.
+
+    A changed table is written when a later step first reads it, so every step starts
+    from stored tables and tables that nobody reads are never made.
+    """
 
     def __init__(self, tables: Tables, strict: bool) -> None:
         self.tables, self.strict = tables, strict
 
-    def step(self, name: str, result: Result) -> DataFrame:
-        outcome = durable(result.outcome)
+    def step(self, name: str, result: Result, wanted: bool = False) -> DataFrame | None:
+        """Take over the changes; returns the stored outcome where it is ``wanted``."""
+        outcome = durable(result.outcome) if wanted or self.strict else None
         if self.strict and "reason" in outcome.columns:
             refused = outcome.filter(F.col("outcome") == REJECTED).select("reason").head()
             if refused is not None:
                 raise ScenarioFailed(f"{name} failed and rolled back: {refused.reason}")
-        changed = {table: durable(rows) for table, rows in result.changed.items()}
-        self.tables = After(self.tables, changed)
+        self.tables = After(self.tables, Changes(**{
+            table: lambda table=table: durable(result.changed[table])
+            for table in result.changed}))
         return outcome
 
 
@@ -44,7 +50,7 @@ def buy(tables: Tables, orders: DataFrame, lines: DataFrame, as_of: str,
     """
     run = _Run(tables, strict)
     made = run.step("create", procurement.create_documents(
-        run.tables, "purchase_orders", orders, as_of)).select(
+        run.tables, "purchase_orders", orders, as_of), wanted=True).select(
         F.col("req_seq").alias("order_seq"), "po_id")
     lines = lines.join(made.dropna(), "order_seq")
     run.step("lines", procurement.add_lines(
@@ -53,7 +59,8 @@ def buy(tables: Tables, orders: DataFrame, lines: DataFrame, as_of: str,
         "req_seq", F.col("created_by").alias("received_by")).join(
         made.dropna().withColumnRenamed("order_seq", "req_seq"), "req_seq")
     received = run.step("receipts", procurement.create_documents(
-        run.tables, "goods_receipts", receipts, as_of)).select("req_seq", "grn_id").dropna()
+        run.tables, "goods_receipts", receipts, as_of), wanted=True).select(
+        "req_seq", "grn_id").dropna()
     run.step("receipt lines", procurement.add_lines(
         run.tables, "goods_receipt_lines",
         lines.select("req_seq", "order_seq", "item_id", "quantity").join(
@@ -73,15 +80,15 @@ def sell(tables: Tables, orders: DataFrame, lines: DataFrame, as_of: str,
     run = _Run(tables, strict)
     carriers = [c for c in ("driver_name", "vehicle_number") if c in orders.columns]
     made = run.step("create", procurement.create_documents(
-        run.tables, "sales_orders", orders.drop(*carriers), as_of)).select(
+        run.tables, "sales_orders", orders.drop(*carriers), as_of), wanted=True).select(
         "req_seq", "so_id").dropna()
     lines = lines.join(made.withColumnRenamed("req_seq", "order_seq"), "order_seq")
     reserved = run.step("reserve", sales.reserve_stock(
-        run.tables, lines.drop("order_seq"), as_of)).filter("outcome = 'accepted'")
+        run.tables, lines.drop("order_seq"), as_of), wanted=True).filter("outcome = 'accepted'")
     for _ in range(2):
         run.step("advance", sales.advance_so(run.tables, made, as_of))
     packed = orders.select("req_seq", "created_by", *carriers).join(made, "req_seq")
-    sent = run.step("challans", sales.create_dc(run.tables, packed, as_of)).select(
+    sent = run.step("challans", sales.create_dc(run.tables, packed, as_of), wanted=True).select(
         "so_id", "req_seq", "dc_id").dropna()
     loaded = reserved.select("req_seq", "so_id", "item_id").join(
         lines.select("req_seq", "quantity"), "req_seq").join(sent.select("so_id", "dc_id"), "so_id")
