@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotflow.llm.text import encode, gather, slices
+from depotflow.llm.text import MIX, encode, gather, slices
 
 SPACE = "▁"  # the model's sign for a space
 NONE = np.int32(2**31 - 1)
-CACHED = 200_000  # distinct segments a task keeps between slices
+CACHED = 600_000  # distinct segments a task keeps between slices
 
 
 class PieceModel:
@@ -83,28 +83,64 @@ class PieceModel:
         single[[i for i, score in scores.items() if shared[score] > 1]] = True
         single[left[rank <= own[left]]] = True
         single[right[rank <= own[right]]] = True
-        keys = left * size + right
-        by_key = np.argsort(keys)
-        self.keys, self.made, self.rank = keys[by_key], made[by_key], rank[by_key]
         self.single = single
+        self.rank, self.made = np.append(rank, NONE), np.append(made, np.int32(0))
+        self._index(left * size + right)
+        self.low = np.arange(1 << 16, dtype=np.int32) + size
+        for char, i in self.chars.items():
+            if ord(char) < 1 << 16:
+                self.low[ord(char)] = i
+        self.spelled = [b"%d," % i for i in range(size)]
+        self.digits = np.array([len(s) for s in self.spelled], np.int64)
+        self.widths = np.array([len(b) for b in self.bytes], np.int64)
+
+    def _index(self, keys: np.ndarray) -> None:
+        """Place the pairs in a table by hash, each in the next free slot from its own."""
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int64)
+        self.pairs = np.full(1 << bits, len(keys), np.int32)
+        left, at, self.probes = np.arange(len(keys)), self._slot(keys), 0
+        while len(left):
+            self.probes += 1
+            free = self.slots[at] < 0
+            _, first = np.unique(np.where(free, at, -1), return_index=True)
+            first = first[free[first]]
+            self.slots[at[first]], self.pairs[at[first]] = keys[left[first]], left[first]
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left, at = left[rest], (at[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * MIX) >> self.shift).astype(np.int64)
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of merging each pair; rank NONE if it is no piece."""
-        known = (left < self.size) & (right < self.size)
         keys = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        found = known & (self.keys[at] == keys)
-        return np.where(found, self.rank[at], NONE).astype(np.int32), self.made[at]
+        keys[(left >= self.size) | (right >= self.size)] = -2
+        at = self._slot(keys)
+        found = self.slots[at]
+        pair = np.where(found == keys, self.pairs[at], len(self.rank) - 1)
+        left_over = np.flatnonzero((found != keys) & (found >= 0))
+        for _ in range(self.probes):
+            if not len(left_over):
+                break
+            at[left_over] = (at[left_over] + 1) & self.mask
+            found = self.slots[at[left_over]]
+            hit = found == keys[left_over]
+            pair[left_over[hit]] = self.pairs[at[left_over[hit]]]
+            left_over = left_over[~hit & (found >= 0)]
+        return self.rank[pair], self.made[pair]
 
     def encode_segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments, one after the other, and their counts."""
         texts = [s.decode().replace(" ", SPACE) for s in segments]
         joined = "".join(texts)
         chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        points, inverse = np.unique(chars, return_inverse=True)
         # A character without a piece keeps a symbol of its own above all ids.
-        table = np.array([self.chars.get(chr(p), self.size + int(p)) for p in points], np.int32)
-        symbols = table[inverse] if len(points) else np.zeros(0, np.int32)
+        symbols = self.low[np.minimum(chars, len(self.low) - 1)]
+        for i in np.flatnonzero(chars >= len(self.low)).tolist():
+            symbols[i] = self.chars.get(chr(chars[i]), self.size + int(chars[i]))
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         rank, made = self._pairs(symbols, owner)
         done_symbols, done_owner = [], []
@@ -135,7 +171,9 @@ class PieceModel:
             keep[at + 1] = False
             moved = at - np.arange(len(at))  # where the merged symbols stand after compaction
             symbols, owner, rank, made = symbols[keep], owner[keep], rank[keep], made[keep]
-            touched = np.unique(np.r_[moved, moved[moved > 0] - 1])
+            near = np.zeros(len(symbols) + 1, bool)
+            near[moved] = near[moved - 1] = True  # -1 is the spare place at the end
+            touched = np.flatnonzero(near[:-1])
             rank[touched] = NONE
             inner = touched[touched + 1 < len(symbols)]
             inner = inner[owner[inner] == owner[inner + 1]]
@@ -222,41 +260,66 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes, distinct, np.searchsorted(starts, offsets)
 
 
+class Pool:
+    """Byte strings one after the other, to be joined by place."""
+
+    def __init__(self):
+        self.data, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def add(self, joined: bytes, lengths: np.ndarray) -> None:
+        self.data = np.concatenate((self.data, np.frombuffer(joined, np.uint8)))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(lengths)))
+
+    def join(self, places: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings at ``places``, joined, and where each row of them begins."""
+        lengths = self.ends[places + 1] - self.ends[places]
+        sums = np.concatenate(([0], np.cumsum(lengths)))
+        return self.data[gather(self.ends[places], lengths)], sums[rows]
+
+
 class Coder:
     """Encodes texts in a task; keeps the last distinct segments between slices."""
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.known: dict[bytes, tuple[bytes, int, bytes]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.names, self.decoded = Pool(), Pool()
+        self.counts = np.zeros(0, np.int64)
 
     def learn(self, values: list[bytes]) -> None:
         missing = [v for v in values if v not in self.known]
         if not missing:
             return
         if len(self.known) + len(missing) > CACHED:
-            self.known = {}
+            self.clear()
             missing = values
-        ids, counts = self.model.encode_segments(missing)
-        ids, pieces, at = ids.tolist(), self.model.bytes, 0
-        for value, n in zip(missing, counts.tolist(), strict=True):
-            own = ids[at:at + n]
-            at += n
-            self.known[value] = (b",".join([b"%d" % i for i in own]), n,
-                                 b"".join([pieces[i] for i in own]))
+        model, n = self.model, len(missing)
+        ids, counts = model.encode_segments(missing)
+        owner, listed = np.repeat(np.arange(n), counts), ids.tolist()
+        self.names.add(b"".join([model.spelled[i] for i in listed]),
+                       np.bincount(owner, model.digits[ids], n).astype(np.int64))
+        self.decoded.add(b"".join([model.bytes[i] for i in listed]),
+                         np.bincount(owner, model.widths[ids], n).astype(np.int64))
+        self.counts = np.concatenate((self.counts, counts))
+        first = len(self.known)
+        self.known.update(zip(missing, range(first, first + n), strict=True))
 
     def texts(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
         """Of each text: number of ids, ids as decimals joined by commas, decoded bytes."""
         codes, distinct, rows = segments([t.replace(SPACE.encode(), b" ") for t in texts])
         values = distinct.to_pylist()
         self.learn(values)
-        entries = [self.known[v] for v in values]
-        spelled = np.array([e[0] for e in entries] + [None], object)[:-1]
-        decoded = np.array([e[2] for e in entries] + [None], object)[:-1]
-        counts = np.concatenate(([0], np.cumsum(np.array([e[1] for e in entries] or [0])[codes])
-                                 if len(codes) else [])).astype(np.int64)
-        names, parts = spelled[codes].tolist(), decoded[codes].tolist()
-        for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-            yield (int(counts[b] - counts[a]), b",".join(names[a:b]), b"".join(parts[a:b])[1:])
+        places = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))[codes]
+        counts = np.concatenate(([0], np.cumsum(self.counts[places])))[rows]
+        names, name_rows = self.names.join(places, rows)
+        decoded, decoded_rows = self.decoded.join(places, rows)
+        for i, n in enumerate(np.diff(counts).tolist()):
+            # Every name ends in a comma, and every text begins with the dummy space.
+            yield (n, names[name_rows[i]:max(name_rows[i + 1] - 1, name_rows[i])].tobytes(),
+                   decoded[decoded_rows[i] + 1:decoded_rows[i + 1]].tobytes())
 
 
 def encoded(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text",

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that one numpy step works on; arrays of eight bytes a byte stay small.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 22
 
 # Word classes by byte: what is true belongs to a word.
 NOT_SPACE = np.ones(256, bool)

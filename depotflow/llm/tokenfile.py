@@ -31,9 +31,8 @@ from depotflow.session import fresh_path
 
 SEQUENCE = 2048  # ids in a sequence
 BATCH = 256  # sequences in a record batch
-CACHED = 300_000  # distinct words a task keeps
+CACHED = 500_000  # distinct units a task keeps
 PART_BYTES = 32 << 20  # text that one part holds, about
-WORDS_AT_ONCE = 20_000
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -42,66 +41,110 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
+# Kinds of bytes. A word (between white space) of ASCII letters, digits and signs and of Latin-1
+# letters is cut into units: runs of letters, single digits, runs of signs. A word with any
+# other character, an apostrophe (contractions) or "<" (special tokens) is one unit.
+LETTER, DIGIT, SIGN, OTHER = 1, 2, 3, 4
+KIND = np.full(256, OTHER, np.uint8)
+KIND[0x21:0x7F] = SIGN
+KIND[0x30:0x3A] = DIGIT
+KIND[0x41:0x5B] = KIND[0x61:0x7B] = LETTER
+KIND[[0x27, 0x3C]] = OTHER
+KIND[~NOT_SPACE] = 0
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the units of all texts, and the bytes with plain units in lower case."""
+    kind = KIND[data]
+    lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    kind[lead] = kind[lead + 1] = LETTER
+    first, last, _ = word_bounds(data, offsets, NOT_SPACE)
+    others = np.concatenate(([0], np.cumsum(kind == OTHER)))
+    plain = others[last] == others[first]
+    step = np.zeros(len(data) + 1, np.int8)
+    step[first[plain]] += 1
+    step[last[plain]] -= 1
+    inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    begin = np.zeros(len(data), bool)
+    begin[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+    begin[first] = True
+    starts = np.flatnonzero(begin)
+    word = np.searchsorted(first, starts, side="right") - 1
+    ends = np.minimum(np.r_[starts[1:], len(data)], last[word])
+    capital = inside & (data >= 0x41) & (data <= 0x5A)
+    capital[lead + 1] |= inside[lead] & (data[lead + 1] < 0x9F)
+    return starts, ends, data + capital.view(np.uint8) * np.uint8(0x20)
+
+
 class WordCoder:
-    """Ids of white-space separated words by the tokenizers library, each distinct word once.
+    """Ids of texts by the tokenizers library, where each distinct unit of a task is encoded once.
 
-    The tokenizer must split at white space and drop it; special tokens without white
-    space are then found word by word as in the whole text.
+    The tokenizer must drop white space, map letters to lower case, and split runs of letters,
+    single digits and runs of other signs; this is tried when it is loaded. A plain
+    unit then goes straight to the library's merge model; words with other
+    characters go through the whole library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         if any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]
-               for t in spec["added_tokens"]):
+               or not t["content"].startswith("<") for t in spec["added_tokens"]):
             raise ValueError("a special token reaches over white space; not supported")
-        probe = "one  two\n\tone"
-        alone = [i for w in probe.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        if self.tokenizer.encode(probe, add_special_tokens=False).ids != alone:
-            raise ValueError("the tokenizer joins words over white space; not supported")
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[bytes, np.ndarray] = {}
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        sign = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(0x21, 0x7F)}
+        for b in range(0x80, 0xC0):
+            sign[0xC3], sign[b] = level.pre_tokenize_str(bytes([0xC3, b]).decode())[0][0]
+        self.letters = str.maketrans({chr(b): c for b, c in sign.items()})
+        letter = rb"(?:[a-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+"
+        self.plain = re.compile(letter + rb"|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+        self.known: dict[bytes, int] = {}
+        self.flat, self.firsts = np.zeros(0, self.type), np.zeros(1, np.int64)
+        probe = "One  two,3,45(ÉtÉ)\n\tx--y.THE!! ß"
+        ids, _ = self.texts(pa.array([probe]), None)
+        if self.tokenizer.encode(probe, add_special_tokens=False).ids != ids.tolist():
+            raise ValueError("the tokenizer splits in another way; not supported")
 
     def learn(self, values: list[bytes]) -> None:
         missing = [v for v in values if v not in self.known]
         if len(self.known) + len(missing) > CACHED:
             self.known, missing = {}, values
-        for first in range(0, len(missing), WORDS_AT_ONCE):
-            some = missing[first:first + WORDS_AT_ONCE]
-            coded = self.tokenizer.encode([w.decode() for w in some], is_pretokenized=True,
-                                          add_special_tokens=False)
-            ids = np.array(coded.ids, self.type)
-            owner = np.array([-1 if w is None else w for w in coded.word_ids], np.int64)
-            if len(owner) and (owner[0] < 0 or (np.diff(owner) < 0).any()):
-                owner = None  # a special token was found; its place among the words is not told
-            if owner is None:
-                for word in some:
-                    self.known[word] = np.array(
-                        self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.type)
-                continue
-            bounds = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
-            for k, word in enumerate(some):
-                self.known[word] = ids[bounds[k]:bounds[k + 1]]
+            self.flat, self.firsts = np.zeros(0, self.type), np.zeros(1, np.int64)
+        ids, lengths, merge = [], [], self.tokenizer.model.tokenize
+        for value in missing:
+            if self.plain.fullmatch(value):
+                own = [t.id for t in merge(value.decode("latin-1").translate(self.letters))]
+            else:
+                own = self.tokenizer.encode(value.decode(), add_special_tokens=False).ids
+            ids += own
+            lengths.append(len(own))
+        known = len(self.known)
+        self.known.update(zip(missing, range(known, known + len(missing)), strict=True))
+        self.flat = np.concatenate((self.flat, np.array(ids, self.type)))
+        self.firsts = np.concatenate((self.firsts, self.firsts[-1] + np.cumsum(lengths, dtype=np.int64)))
 
     def texts(self, column: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``end`` after each, and the number of ids of each."""
         data, offsets = text_bytes(column)
-        starts, ends, rows = word_bounds(data, offsets, NOT_SPACE)
+        starts, ends, data = units(data, offsets)
+        rows = np.searchsorted(starts, offsets)
         codes, distinct = encode(data, starts, ends)
         values = distinct.to_pylist()
         self.learn(values)
-        entries = [self.known[v] for v in values] + [np.array([] if end is None else [end], self.type)]
-        lengths = np.array([len(e) for e in entries], np.int64)
-        flat, firsts = np.concatenate(entries), np.cumsum(lengths) - lengths
+        at = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))
+        firsts = np.append(self.firsts[at], len(self.flat))
+        lengths = np.append(self.firsts[at + 1] - self.firsts[at], end is not None)
+        flat = np.append(self.flat, self.type(end or 0))
         codes = np.insert(codes.astype(np.int64), rows[1:], len(values))
-        places = rows + np.arange(len(rows))  # of each text's first word, among words and ends
         lengths_of = lengths[codes]
         ids = flat[gather(firsts[codes], lengths_of)]
         sums = np.concatenate(([0], np.cumsum(lengths_of)))
-        return ids, np.diff(sums[places])
+        return ids, np.diff(sums[rows + np.arange(len(rows))])
 
 
 def _sequences(chunks: Iterator[np.ndarray], kind: pa.DataType,
