@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotflow.llm import langid, subword, tokenfile
+from depotflow.llm import decontaminate, langid, subword, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,11 @@ def remainder(column: str, by: int):
     return F.crc32(F.col(column).cast("string")) % by
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"),
+                                       table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
@@ -46,6 +51,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_language_id": op3_language_id,
     "op5_subword_round_trip": op5_subword_round_trip,
     "op8_token_files": op8_token_files,
