@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotflow.llm import decontaminate, langid, subword, tokenfile
+from depotflow.llm import decontaminate, langid, licenses, pages, subword, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,24 @@ def op5_subword_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                            tokenizer("piece_bpe_32k.model")).drop("decoded")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages")
+    return pages.extract(rows, pages.train(rows))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: each source is a tree, 64 ids share a directory, and the first id of
+    a directory, and of 4,096 ids, is a file named LICENSE."""
+    number = F.col("doc_id")
+    folder = F.concat_ws("/", F.lit(""), "source", F.floor(number / 4096).cast("string"))
+    path = (F.when(number % 4096 == 0, F.concat_ws("/", folder, F.lit("LICENSE")))
+            .otherwise(F.concat_ws("/", folder, F.floor(number / 64).cast("string"),
+                                   F.when(number % 64 == 0, F.lit("LICENSE"))
+                                   .otherwise(F.concat(number.cast("string"), F.lit(".txt"))))))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -54,6 +72,8 @@ QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_language_id": op3_language_id,
     "op5_subword_round_trip": op5_subword_round_trip,
+    "op6_main_text": op6_main_text,
+    "op7_licence_scan": op7_licence_scan,
     "op8_token_files": op8_token_files,
 }
 
