@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotflow.llm import decontaminate, langid, licenses, pages, subword, tokenfile
+from depotflow.llm import covertree, decontaminate, langid, licenses, pages, subword, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                           keep=["doc_id", "held_out"])
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return covertree.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op5_subword_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.encoded(table(spark, sf_dir, "documents"),
                            tokenizer("piece_bpe_32k.model")).drop("decoded")
@@ -71,10 +76,26 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_language_id": op3_language_id,
+    "op4_top_k": op4_top_k,
     "op5_subword_round_trip": op5_subword_round_trip,
     "op6_main_text": op6_main_text,
     "op7_licence_scan": op7_licence_scan,
     "op8_token_files": op8_token_files,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_top_k": """
+        WITH whole AS (
+            SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS vector
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, d.vec_id,
+                   list_dot_product(q.vector, d.vector)::BIGINT AS score
+            FROM whole q JOIN whole d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+            FROM scored)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+}
