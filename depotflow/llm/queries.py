@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotflow.llm import covertree, decontaminate, langid, licenses, pages, subword, tokenfile
+from depotflow.llm import covertree, decontaminate, langid, licenses, pages, subword, suffixtree, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    return (suffixtree.scored(table(spark, sf_dir, "documents"), ~held_out)
+            .select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                    "base_score", "score"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
@@ -75,6 +82,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_suffix_tree": op2_suffix_tree,
     "op3_language_id": op3_language_id,
     "op4_top_k": op4_top_k,
     "op5_subword_round_trip": op5_subword_round_trip,
