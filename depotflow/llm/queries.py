@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotflow.llm import covertree, decontaminate, langid, licenses, pages, subword, suffixtree, tokenfile
+from depotflow.llm import covertree, decontaminate, langid, licenses, pages, repeats, subword, suffixtree, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +80,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_tree": op2_suffix_tree,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op6_main_text": op6_main_text,
     "op7_licence_scan": op7_licence_scan,
     "op8_token_files": op8_token_files,
+    "op9_repeated_strings": op9_repeated_strings,
 }
 
 SQL: dict[str, str] = {
