@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20  # text of a block, about
 SAID = "bucket int, block int, level int, keys binary, values binary"
 ANSWER = "block int, level int, bucket int, values binary, summary binary"
+MOST_PARTITIONS = 20_000  # beyond this, a task takes several blocks in turn
 KEY_BYTES = 6  # of a key within its bucket; the bucket stands for the highest bits
 
 
@@ -30,7 +31,13 @@ def blocked(docs: DataFrame, text_column: str = "text",
     size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     key = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if kind in ("bigint", "int", "string")])
-    return docs.withColumn("block", F.pmod(key, F.lit(n)).cast("int")), n
+    return dealt(docs.withColumn("block", F.pmod(key, F.lit(n)).cast("int")), n, "block"), n
+
+
+def dealt(rows: DataFrame, n: int, column: str) -> DataFrame:
+    """Deal rows to as many partitions as there are blocks: the work on a block is worth a task,
+    however small its rows are."""
+    return rows.repartition(min(n, MOST_PARTITIONS), column)
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -57,7 +64,7 @@ NOTHING = pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa
 Answerer = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, bytes]]
 
 
-def answered(said: DataFrame, kind: np.dtype, width: int, answer: Answerer) -> DataFrame:
+def answered(said: DataFrame, n: int, kind: np.dtype, width: int, answer: Answerer) -> DataFrame:
     """Let buckets answer. ``answer(group, values)`` gets, for all that was said in a bucket, the
     number of the key (equal keys, equal number) and the values (rows of ``width`` numbers of
     ``kind``); it returns a value each, and a few bytes on the bucket as a whole."""
@@ -78,7 +85,7 @@ def answered(said: DataFrame, kind: np.dtype, width: int, answer: Answerer) -> D
                                pa.binary()),
             "summary": pa.array([summary] * len(sizes), pa.binary())})
 
-    return said.groupBy("bucket").applyInArrow(work, ANSWER)
+    return dealt(said, n, "bucket").groupBy("bucket").applyInArrow(work, ANSWER)
 
 
 def heard(answers: pa.Table, level: int, kind: np.dtype, column: str = "values") -> np.ndarray:

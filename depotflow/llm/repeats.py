@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotflow.llm.blocks import NOTHING, SAID, answered, blocked, bucket_of, heard, say
+from depotflow.llm.blocks import NOTHING, SAID, answered, blocked, bucket_of, dealt, heard, say
 from depotflow.llm.text import MIX, gather, mix, text_bytes
 
 LENGTH = 200
@@ -38,7 +38,7 @@ LENGTH = 200
 GRAM_SHARE = 0.48
 MOST_SEGMENTS = 4096
 CHUNK = 1 << 20  # window starts that one numpy step works on
-TEXT_AT_ONCE = 1 << 20  # bytes of segments that share a transform, about
+TEXT_AT_ONCE = 1 << 18  # bytes of segments that share a transform, about
 
 SENT = "bucket int, block int, keys binary, lengths binary, text binary"
 FOUND = "block int, level int, bucket int, values binary, summary binary"
@@ -96,7 +96,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
         first = np.flatnonzero(new)
         ends = valid.copy()
         ends[:-1] &= ~valid[1:] | new[1:]
-        out.append((first + begin, np.flatnonzero(ends) + begin, hashes[place[first]]))
+        # Least hashes are small numbers; mixed once more, the keys fill the buckets evenly.
+        out.append((first + begin, np.flatnonzero(ends) + begin, mix(hashes[place[first]] * MIX)))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
@@ -249,43 +250,36 @@ def short_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     """The suffix order and, for each suffix in it, whether its common prefix with the one before
     is shorter than ``length``.
 
-    Rows of the transform are extended backwards: if the prefix of rows i - 1 and i is l bytes
-    long, then for every byte c the last row before i and the first row from i on that
-    are preceded by c lead to two neighbouring rows with a prefix of l + 1 bytes at most. Rows come
-    by increasing length; each is taken once, and length - 1 ends the search.
+    Rows come by increasing length of that prefix. Two neighbouring rows that begin with the same
+    byte are the backward extension, by that byte, of the rows of the suffixes one byte on. So
+    their prefix ends after l + 1 bytes if and only if, between those rows, a prefix
+    that ends after l bytes has been found (and none shorter). ``length - 1`` ends the search, as does
+    a length that finds nothing, since no longer one can follow.
     """
     n = len(text)
     order = suffix_order(text, length)
     before = text[order - 1]  # the transform; the first suffix is preceded by the last byte
-    starts = np.zeros(257, np.int64)
-    starts[1:] = np.cumsum(np.bincount(text, minlength=256))
-    rows_of = [np.flatnonzero(before == c) for c in range(256)]
-    used = [c for c in range(256) if len(rows_of[c])]
+    # Extension of a row by the byte before it: rows with this byte, in the same order (stable).
+    extended = np.empty(n, np.int64)
+    extended[np.argsort(before, kind="stable")] = np.arange(n)
+    back = np.empty(n, np.int64)
+    back[extended] = np.arange(n)  # the row that a row is the extension of
+    starts = np.cumsum(np.bincount(text, minlength=256))
     short = np.zeros(n, bool)
-    found = starts[:-1][np.diff(starts) > 0]  # prefixes of no byte
-    short[found] = True
+    short[0] = True
+    short[starts[starts < n]] = True  # rows that begin with another byte: prefixes of no byte
+    open_rows = np.flatnonzero(~short)
+    low, high = back[open_rows - 1].astype(np.int32), back[open_rows].astype(np.int32)
     for _ in range(1, length):
-        ahead = []
-        for c in used:
-            rows = rows_of[c]
-            nth = np.searchsorted(rows, found)
-            rows_there = starts[c] + nth[(nth > 0) & (nth < len(rows))]
-            ahead.append(rows_there)
-        ahead = np.concatenate(ahead)
-        ahead = ahead[~short[ahead]]
-        if not len(ahead):
+        found = np.cumsum(short, dtype=np.int32)
+        new = found[low] != found[high]
+        if not new.any():
             break
-        short[ahead] = True
-        found = np.flatnonzero(_marked(ahead, n)) if len(ahead) * 64 > n else np.unique(ahead)
+        short[open_rows[new]] = True
+        open_rows, low, high = open_rows[~new], low[~new], high[~new]
     return order, short
 
 
-def _marked(places: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, bool)
-    out[places] = True
-    return out
-
-
 def repeated_windows(text: np.ndarray, lengths: np.ndarray, length: int) -> np.ndarray:
     """Which windows of some strings (one after the other) are found twice, string by string."""
     ends = np.cumsum(lengths)
@@ -367,11 +361,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", te
         keys, _, times = block.crowd()
         return pa.Table.from_batches([say(number(left), CROWD, keys, times[:, None], n)])
 
-    kinds = answered(by_block.applyInArrow(tell, SAID), np.uint8, 9, _judge_kinds)
+    kinds = answered(by_block.applyInArrow(tell, SAID), n, np.uint8, 9, _judge_kinds)
     sent = by_block.cogroup(kinds.groupBy("block")).applyInArrow(send, SENT)
-    judged = sent.groupBy("bucket").applyInArrow(lambda table: judge(table, length), FOUND)
+    judged = dealt(sent, n, "bucket").groupBy("bucket").applyInArrow(lambda table: judge(table, length), FOUND)
     crowd = by_block.cogroup(kinds.groupBy("block")).applyInArrow(tell_crowd, SAID)
-    counted = answered(crowd, np.uint8, 1, _count_windows)
+    counted = answered(crowd, n, np.uint8, 1, _count_windows)
     answers = kinds.unionByName(judged).unionByName(counted)
     types = {"doc_id": rows.schema["__id"].dataType.simpleString()}
     types |= {c: rows.schema[f"__{i}"].dataType.simpleString() for i, c in enumerate(kept_columns)}

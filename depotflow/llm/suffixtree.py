@@ -213,12 +213,12 @@ def scored(docs: DataFrame, train: Column, id_column: str = "doc_id", text_colum
             return pa.Table.from_batches([say(left["block"][0].as_py(), 2 * length, keys, units, n)])
         return ask
 
-    answers = answered(by_block.applyInArrow(first, SAID), np.int64, 1, _sum_words)
+    answers = answered(by_block.applyInArrow(first, SAID), n, np.int64, 1, _sum_words)
     for length in range(1, depth + 1):
         for question, kind, width, answer in ((pairs_of, np.int32, 1, _sum_pairs),
                                               (gains_of, np.int32, len(SHARES), _test)):
             said = by_block.cogroup(answers.groupBy("block")).applyInArrow(question(length), SAID)
-            answers = answers.unionByName(answered(said, kind, width, answer))
+            answers = answers.unionByName(answered(said, n, kind, width, answer))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         block = load(left, right, depth)
