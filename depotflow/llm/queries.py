@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotflow.llm import covertree, decontaminate, langid, licenses, pages, repeats, subword, suffixtree, tokenfile
+from depotflow.llm import covertree, decontaminate, langid, licenses, neardup, pages, repeats, subword, suffixtree, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +84,10 @@ def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_tree": op2_suffix_tree,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op7_licence_scan": op7_licence_scan,
     "op8_token_files": op8_token_files,
     "op9_repeated_strings": op9_repeated_strings,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 SQL: dict[str, str] = {
