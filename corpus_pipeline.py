@@ -49,19 +49,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     names = docs.columns
     cut = repeats.repeats(docs, keep=[c for c in names if c != "doc_id"])
-    # A run may end inside a character; bytes that are no text are left out.
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(_readable("kept"))
-    rows = cut.where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0)).withColumn("text", text)
+    rows = (cut.where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
+            .withColumn("text", F.col("kept")))
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*names)
 
 
-@F.pandas_udf("string")
-def _readable(column):
-    return column.map(lambda b: bytes(b).decode(errors="ignore"))
-
-
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold passages of the benchmark."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))

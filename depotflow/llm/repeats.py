@@ -333,8 +333,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", te
     """Drop repeated strings of ``length`` bytes from every whole text; one row per input row.
 
     Returns ``doc_id``, the ``keep`` columns, ``n_bytes``, ``n_removed``, ``n_spans`` (runs of
-    dropped bytes), ``kept_sha256`` and ``kept``, the bytes that are left. A null text counts as
-    empty; texts below ``length`` lose nothing. Equal rows are repeats of each other.
+    dropped bytes), ``kept_sha256`` (of the bytes that are left) and ``kept``, those bytes as text: what
+    is left of a character that was cut through is no text. A null text counts as empty; texts
+    below ``length`` lose nothing. Equal rows are repeats of each other.
     """
     kept_columns = [c for c in keep or [] if c != text_column]
     rows = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("text"),
@@ -370,7 +371,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", te
     types = {"doc_id": rows.schema["__id"].dataType.simpleString()}
     types |= {c: rows.schema[f"__{i}"].dataType.simpleString() for i, c in enumerate(kept_columns)}
     types |= {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string",
-              "kept": "binary"}
+              "kept": "string"}
     schema = ", ".join(f"`{name}` {kind}" for name, kind in types.items())
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -384,11 +385,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", te
             out["n_removed"].append(int(own.sum()))
             out["n_spans"].append(int((own[1:] & ~own[:-1]).sum() + own[:1].sum()))
             out["kept_sha256"].append(hashlib.sha256(left_over).hexdigest())
-            out["kept"].append(left_over)
+            out["kept"].append(left_over.decode(errors="ignore"))
         columns = [left["__id"], *[left[f"__{i}"] for i in range(len(kept_columns))],
                    pa.array(np.diff(block.offsets)), pa.array(out["n_removed"], pa.int64()),
                    pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string()),
-                   pa.array(out["kept"], pa.binary())]
+                   pa.array(out["kept"], pa.string())]
         return pa.Table.from_arrays(columns, names=list(types))
 
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
