@@ -27,11 +27,54 @@ KEY_BYTES = 6  # of a key within its bucket; the bucket stands for the highest b
 
 def blocked(docs: DataFrame, text_column: str = "text",
             block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """Add ``block``; also the number of blocks, in proportion to the text."""
+    """Rows packed by ``block`` (see ``unpacked``), and the number of blocks, in proportion to the text.
+
+    The rows travel compressed, since every question to the blocks reads them again.
+    """
     size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     key = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if kind in ("bigint", "int", "string")])
-    return dealt(docs.withColumn("block", F.pmod(key, F.lit(n)).cast("int")), n, "block"), n
+    names = docs.columns
+
+    def pack(batches):
+        for batch in batches:
+            own = batch["block"].to_numpy()
+            order = np.argsort(own, kind="stable")
+            edges = np.flatnonzero(np.diff(own[order], prepend=-1)).tolist() + [len(own)]
+            blocks, packed = [], []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                rows = batch.select(names).take(pa.array(order[a:b]))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema,
+                                       options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(rows)
+                blocks.append(int(own[order[a]])), packed.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())],
+                                             names=["block", "rows"])
+
+    rows = docs.withColumn("block", F.pmod(key, F.lit(n)).cast("int"))
+    return dealt(rows.mapInArrow(pack, "block int, rows binary"), n, "block"), n
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The rows of a block."""
+    return pa.concat_tables([pa.ipc.open_stream(r.as_buffer()).read_all() for r in table["rows"]]) \
+        .combine_chunks()
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as bytes, the like bytes of all numbers together, compressed."""
+    raw = np.ascontiguousarray(values).reshape(len(values), -1).view(np.uint8).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else b""
+
+
+def unpack(data: bytes, kind: np.dtype, width: int = 1) -> np.ndarray:
+    """Rows of ``width`` numbers of ``kind``."""
+    item = np.dtype(kind).itemsize * width
+    if not data:
+        return np.zeros((0, width), kind)
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(item, -1).T).view(kind).reshape(-1, width)
 
 
 def dealt(rows: DataFrame, n: int, column: str) -> DataFrame:
@@ -44,15 +87,17 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
-def say(block: int, level: int, keys: np.ndarray, values: np.ndarray, n: int) -> pa.RecordBatch:
+def say(block: int, level: int, keys: np.ndarray, values: np.ndarray, n: int,
+        key_bytes: int = KEY_BYTES) -> pa.RecordBatch:
     """Rows for all buckets, also the empty ones; ``keys`` ascend, ``values`` has a row per key."""
     edges = np.searchsorted(bucket_of(keys, n), np.arange(n + 1)).tolist()
-    short = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    short = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :key_bytes]
+    parts = list(zip(edges[:-1], edges[1:], strict=True))
     return pa.RecordBatch.from_arrays(
         [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, block, np.int32)),
          pa.array(np.full(n, level, np.int32)),
-         pa.array([short[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
-         pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())],
+         pa.array([short[a:b].tobytes() for a, b in parts], pa.binary()),
+         pa.array([pack(values[a:b]) for a, b in parts], pa.binary())],
         names=["bucket", "block", "level", "keys", "values"])
 
 
@@ -64,33 +109,49 @@ NOTHING = pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa
 Answerer = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, bytes]]
 
 
-def answered(said: DataFrame, n: int, kind: np.dtype, width: int, answer: Answerer) -> DataFrame:
-    """Let buckets answer. ``answer(group, values)`` gets, for all that was said in a bucket, the
-    number of the key (equal keys, equal number) and the values (rows of ``width`` numbers of
-    ``kind``); it returns a value each, and a few bytes on the bucket as a whole."""
+#: How to answer on a level: kind and number of the values of a key, the answerer, bytes of a key.
+How = tuple[np.dtype, int, Answerer, int]
+
+
+def answered(said: DataFrame, n: int, how: dict[int, How]) -> DataFrame:
+    """Let buckets answer. ``answer(group, values)`` gets, for all that was said on a level in a
+    bucket, the number of the key (equal keys, equal number) and the values; it returns a value
+    each, and a few bytes on the bucket as a whole."""
 
     def work(table: pa.Table) -> pa.Table:
-        rows = table.combine_chunks()
-        sizes = [len(k) // KEY_BYTES for k in rows["keys"].to_pylist()]
-        joined = b"".join(rows["keys"].to_pylist())
-        keys = np.zeros((sum(sizes), 8), np.uint8)
-        keys[:, :KEY_BYTES] = np.frombuffer(joined, np.uint8).reshape(-1, KEY_BYTES)
-        values = np.frombuffer(b"".join(rows["values"].to_pylist()), kind).reshape(-1, width)
-        _, group = np.unique(keys.view(np.uint64).ravel(), return_inverse=True)
-        out, summary = answer(group, values)
-        edges = np.concatenate(([0], np.cumsum(sizes))).tolist()
-        return pa.table({
-            "block": rows["block"], "level": rows["level"], "bucket": rows["bucket"],
-            "values": pa.array([out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)],
-                               pa.binary()),
-            "summary": pa.array([summary] * len(sizes), pa.binary())})
+        out = []
+        levels = table["level"].to_numpy()
+        for level, (kind, width, answer, key_bytes) in how.items():
+            rows = table.take(pa.array(np.flatnonzero(levels == level)))
+            if not rows.num_rows:
+                continue
+            sizes = [len(k) // key_bytes for k in rows["keys"].to_pylist()]
+            keys = np.zeros((sum(sizes), 8), np.uint8)
+            keys[:, :key_bytes] = np.frombuffer(b"".join(rows["keys"].to_pylist()),
+                                                np.uint8).reshape(-1, key_bytes)
+            values = np.concatenate([unpack(v, kind, width) for v in rows["values"].to_pylist()])
+            _, group = np.unique(keys.view(np.uint64).ravel(), return_inverse=True)
+            found, summary = answer(group, values)
+            edges = np.concatenate(([0], np.cumsum(sizes))).tolist()
+            out.append(pa.table({
+                "block": rows["block"], "level": rows["level"], "bucket": rows["bucket"],
+                "values": pa.array([pack(found[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)],
+                                   pa.binary()),
+                "summary": pa.array([summary] * len(sizes), pa.binary())}))
+        return pa.concat_tables(out)
 
     return dealt(said, n, "bucket").groupBy("bucket").applyInArrow(work, ANSWER)
 
 
-def heard(answers: pa.Table, level: int, kind: np.dtype, column: str = "values") -> np.ndarray:
-    """The answers to a block of one level, in the order of its keys (or the buckets' summaries)."""
-    rows = sorted((b, v) for b, lv, v in zip(
+def rows_of(answers: pa.Table, level: int, column: str = "values") -> list[bytes]:
+    """What the buckets answered to a block on one level, by bucket."""
+    found = sorted((b, v) for b, lv, v in zip(
         answers["bucket"].to_pylist(), answers["level"].to_pylist(), answers[column].to_pylist(),
         strict=True) if lv == level)
-    return np.frombuffer(b"".join(v for _, v in rows), kind)
+    return [v for _, v in found]
+
+
+def heard(answers: pa.Table, level: int, kind: np.dtype) -> np.ndarray:
+    """The answers to a block of one level, in the order of its keys."""
+    rows = [unpack(v, kind).ravel() for v in rows_of(answers, level)]
+    return np.concatenate(rows) if rows else np.zeros(0, kind)

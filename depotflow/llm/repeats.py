@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotflow.llm.blocks import NOTHING, SAID, answered, blocked, bucket_of, dealt, heard, say
+from depotflow.llm.blocks import (KEY_BYTES, NOTHING, SAID, answered, blocked, bucket_of, dealt, heard,
+                                  rows_of, say, unpacked)
 from depotflow.llm.text import MIX, gather, mix, text_bytes
 
 LENGTH = 200
@@ -107,6 +108,7 @@ class Block:
     """Segments of a block's documents; distinct ones (k-gram and content) by number."""
 
     def __init__(self, table: pa.Table, length: int):
+        table = unpacked(table)
         self.table, self.length = table, length
         self.data, self.offsets = text_bytes(table["text"])
         self.first, self.last, gram = segments(self.data, self.offsets, length)
@@ -184,11 +186,8 @@ class Block:
     def _judged(self, answers: pa.Table) -> np.ndarray:
         """Which windows of the sent segments are repeated, in order; answers are packed by bucket."""
         n_windows = self.windows(self.sent)[1]
-        rows = sorted((b, v) for b, lv, v in zip(
-            answers["bucket"].to_pylist(), answers["level"].to_pylist(), answers["values"].to_pylist(),
-            strict=True) if lv == WINDOWS)
         bits = [np.unpackbits(np.frombuffer(v, np.uint8)[8:], count=int(np.frombuffer(v[:8], np.int64)[0]))
-                for _, v in rows]
+                for v in rows_of(answers, WINDOWS)]
         out = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
         if len(out) != int(n_windows.sum()):
             raise RuntimeError("answers do not fit the segments that were sent")
@@ -340,6 +339,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", te
     kept_columns = [c for c in keep or [] if c != text_column]
     rows = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("text"),
                        *[F.col(c).alias(f"__{i}") for i, c in enumerate(kept_columns)])
+    types = {"doc_id": rows.schema["__id"].dataType.simpleString()}
+    types |= {c: rows.schema[f"__{i}"].dataType.simpleString() for i, c in enumerate(kept_columns)}
     rows, n = blocked(rows, "text", *([block_bytes] if block_bytes else []))
     by_block = rows.groupBy("block")
 
@@ -362,14 +363,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", te
         keys, _, times = block.crowd()
         return pa.Table.from_batches([say(number(left), CROWD, keys, times[:, None], n)])
 
-    kinds = answered(by_block.applyInArrow(tell, SAID), n, np.uint8, 9, _judge_kinds)
+    kinds = answered(by_block.applyInArrow(tell, SAID), n, {KINDS: (np.uint8, 9, _judge_kinds, KEY_BYTES)})
     sent = by_block.cogroup(kinds.groupBy("block")).applyInArrow(send, SENT)
     judged = dealt(sent, n, "bucket").groupBy("bucket").applyInArrow(lambda table: judge(table, length), FOUND)
     crowd = by_block.cogroup(kinds.groupBy("block")).applyInArrow(tell_crowd, SAID)
-    counted = answered(crowd, n, np.uint8, 1, _count_windows)
+    counted = answered(crowd, n, {CROWD: (np.uint8, 1, _count_windows, KEY_BYTES)})
     answers = kinds.unionByName(judged).unionByName(counted)
-    types = {"doc_id": rows.schema["__id"].dataType.simpleString()}
-    types |= {c: rows.schema[f"__{i}"].dataType.simpleString() for i, c in enumerate(kept_columns)}
     types |= {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string",
               "kept": "string"}
     schema = ", ".join(f"`{name}` {kind}" for name, kind in types.items())
@@ -386,7 +385,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", te
             out["n_spans"].append(int((own[1:] & ~own[:-1]).sum() + own[:1].sum()))
             out["kept_sha256"].append(hashlib.sha256(left_over).hexdigest())
             out["kept"].append(left_over.decode(errors="ignore"))
-        columns = [left["__id"], *[left[f"__{i}"] for i in range(len(kept_columns))],
+        rows = block.table
+        columns = [rows["__id"], *[rows[f"__{i}"] for i in range(len(kept_columns))],
                    pa.array(np.diff(block.offsets)), pa.array(out["n_removed"], pa.int64()),
                    pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string()),
                    pa.array(out["kept"], pa.string())]

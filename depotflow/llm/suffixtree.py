@@ -21,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotflow.llm.blocks import NOTHING, SAID, answered, blocked, heard, say
+from depotflow.llm.blocks import (KEY_BYTES, NOTHING, SAID, answered, blocked, heard, rows_of, say,
+                                  unpacked)
 from depotflow.llm.text import MIX, NOT_SPACE, hash_all, mix, words
 
 DEPTH = 2  # words in the longest context
-LEAST = 8  # times that a context must be seen in training
+LEAST = 16  # times that a context of one word must be seen in training; twice that with each word more
 GAIN = 4.0  # natural log units that the test asks for
-SHARES = np.array([0.02, 0.1, 0.3, 0.6])  # of the parent's distribution
+SHARES = np.array([0.05, 0.25, 0.6])  # of the parent's distribution
 UNITS = 64  # steps of a natural log unit in sums, so that sums do not depend on their order
+#: Bytes that tell the pairs of a bucket apart. Of some 10**7 pairs about one shares its count with another.
+PAIR_BYTES = 5
 END = np.uint64(0x5EED0FE11D0F7E87)  # the key of the end of a text
 
 
@@ -36,7 +39,8 @@ class Block:
     """The tokens of a block and what the buckets said of them so far."""
 
     def __init__(self, table: pa.Table, answers: pa.Table | None, least: int, depth: int):
-        table = table.combine_chunks()
+        table = unpacked(table)
+        self.table = table
         self.n_docs, self.least = table.num_rows, least
         split = words(table["text"], NOT_SPACE)
         hashes = np.append(hash_all(split.distinct), END)
@@ -56,7 +60,7 @@ class Block:
 
     def load_words(self) -> None:
         self.count = heard(self.answers, 0, np.int64)
-        sums = heard(self.answers, 0, np.int64, "summary").reshape(-1, 2).sum(axis=0)
+        sums = np.frombuffer(b"".join(rows_of(self.answers, 0, "summary")), np.int64).reshape(-1, 2).sum(axis=0)
         self.total, self.types = int(sums[0]), int(sums[1])
         self.root = (self.count + 1.0) / (self.total + self.types + 1)
         # Of each level: the tokens with a context, its key and count, and the count of both.
@@ -77,7 +81,7 @@ class Block:
         key_of = np.zeros(len(self.word), np.uint64)
         seen[at], key_of[at] = counts, self.pair_keys(keys, self.keys[self.word[at]])
         at = np.flatnonzero(self.place >= length)
-        enough = seen[at - 1] >= self.least
+        enough = seen[at - 1] >= self.least << (length - 1)
         at = at[enough]
         return at, key_of[at - 1], seen[at - 1]
 
@@ -179,8 +183,8 @@ def scored(docs: DataFrame, train: Column, id_column: str = "doc_id", text_colum
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"),
                        F.coalesce(train, F.lit(True)).alias("train"))
-    rows, n = blocked(rows, "text", *([block_bytes] if block_bytes else []))
     doc_id = rows.schema["doc_id"].dataType.simpleString()
+    rows, n = blocked(rows, "text", *([block_bytes] if block_bytes else []))
     by_block = rows.groupBy("block")
 
     def load(left: pa.Table, right: pa.Table, length: int) -> Block:
@@ -196,34 +200,34 @@ def scored(docs: DataFrame, train: Column, id_column: str = "doc_id", text_colum
         return pa.Table.from_batches([say(table["block"][0].as_py(), 0, block.keys,
                                           block.word_counts()[:, None], n)])
 
-    def pairs_of(length: int):
-        def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows:
-                return NOTHING
-            keys, _, times = load(left, right, length - 1).pairs(length)
-            return pa.Table.from_batches([say(left["block"][0].as_py(), 2 * length - 1, keys,
-                                              times[:, None], n)])
-        return ask
-
-    def gains_of(length: int):
+    def ask_of(tested: int, counted: int):
+        """Ask for the test of contexts of ``tested`` words and the counts of the next longer ones."""
         def ask(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:
                 return NOTHING
-            keys, units = load(left, right, length).gains(length)
-            return pa.Table.from_batches([say(left["block"][0].as_py(), 2 * length, keys, units, n)])
+            block, number, said = load(left, right, tested), left["block"][0].as_py(), []
+            if tested:
+                keys, units = block.gains(tested)
+                said.append(say(number, 2 * tested, keys, units, n))
+            if counted:
+                keys, _, times = block.pairs(counted)
+                said.append(say(number, 2 * counted - 1, keys, times[:, None], n, PAIR_BYTES))
+            return pa.Table.from_batches(said)
         return ask
 
-    answers = answered(by_block.applyInArrow(first, SAID), n, np.int64, 1, _sum_words)
-    for length in range(1, depth + 1):
-        for question, kind, width, answer in ((pairs_of, np.int32, 1, _sum_pairs),
-                                              (gains_of, np.int32, len(SHARES), _test)):
-            said = by_block.cogroup(answers.groupBy("block")).applyInArrow(question(length), SAID)
-            answers = answers.unionByName(answered(said, n, kind, width, answer))
+    answers = answered(by_block.applyInArrow(first, SAID), n, {0: (np.int64, 1, _sum_words, KEY_BYTES)})
+    for tested in range(depth + 1):
+        counted = tested + 1 if tested < depth else 0
+        said = by_block.cogroup(answers.groupBy("block")).applyInArrow(ask_of(tested, counted), SAID)
+        how = {2 * tested: (np.int32, len(SHARES), _test, KEY_BYTES)} if tested else {}
+        if counted:
+            how[2 * counted - 1] = (np.int32, 1, _sum_pairs, PAIR_BYTES)
+        answers = answers.unionByName(answered(said, n, how))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         block = load(left, right, depth)
         n_tokens, known, total, base, own = block.scores()
-        return pa.table({"doc_id": left["doc_id"], "train": left["train"], "n_tokens": n_tokens,
+        return pa.table({"doc_id": block.table["doc_id"], "train": block.table["train"], "n_tokens": n_tokens,
                          "n_known": known, "train_tokens": total, "base_score": base, "score": own})
 
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(
