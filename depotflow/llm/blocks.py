@@ -64,8 +64,10 @@ def unpacked(table: pa.Table) -> pa.Table:
 
 def pack(values: np.ndarray) -> bytes:
     """Numbers as bytes, the like bytes of all numbers together, compressed."""
+    if not len(values):
+        return b""
     raw = np.ascontiguousarray(values).reshape(len(values), -1).view(np.uint8).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else b""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpack(data: bytes, kind: np.dtype, width: int = 1) -> np.ndarray:

@@ -131,7 +131,7 @@ def best_lines(column, terms, idf, unseen, matrix) -> tuple[np.ndarray, np.ndarr
     # The weight of a word that is no term: its count in the line times the unseen weight.
     other = rich & ~known
     pair, times = np.unique(line[other] * (int(codes.max()) + 1) + codes[other], return_counts=True)
-    square = np.bincount(pair // (int(codes.max()) + 1), (times * unseen) ** 2, n_lines)
+    square = np.bincount(pair // (int(codes.max()) + 1), (times * unseen) ** 2, n_lines).astype(float)
     pair, times = np.unique(line[rich & known] * len(terms) + term[rich & known], return_counts=True)
     at, weight = pair // len(terms), times * idf[pair % len(terms)]
     square += np.bincount(at, weight ** 2, n_lines)
