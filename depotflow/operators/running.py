@@ -1,12 +1,13 @@
 """Running totals and prior values that do not depend on one task per key.
 
-A window over a key puts all rows of that key into one task. Here the order column
-is cut into spans of fixed width, so a key with a third of all rows is spread over
-its spans: one window works inside each span, a second one runs over one row per
-span, and a join on (key, span) adds the two.
+A window over a key puts all rows of that key into one task. Here the order column is
+cut into digits instead: rows of a key that differ only in the last digit share a window,
+then one row per such span stands for it, spans that differ only in the next digit share
+a window, and so on. With digits of 20 bits a bigint has three full ones and a
+last one of 4 bits, so no window holds more than 2^20 rows of a key, whatever gaps
+the order has, and the last one 16.
 
-The order column is a bigint that is unique within a key, so a span holds at most
-``span`` rows of a key, and there are at most (range of the order / span) spans.
+The order column is a bigint that is unique within a key.
 """
 
 from __future__ import annotations
@@ -15,6 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 1 << 20
+LEVELS = 3
+
+
+def _cut(df: DataFrame, column: str, name: str, span: int) -> DataFrame:
+    return df.withColumn(name, F.expr(f"`{column}` div {span}"))
+
+
+def _before(keys: list[str], order: str):
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_totals(df: DataFrame, keys: list[str], order: str, values: dict[str, Column],
@@ -23,35 +33,58 @@ def running_totals(df: DataFrame, keys: list[str], order: str, values: dict[str,
 
     NULL values count as nothing; a first row gets zero. ``df`` is read twice.
     """
-    spanned = df.withColumn("_span", F.expr(f"`{order}` div {span}"))
-    spanned = spanned.withColumns({f"_v_{n}": F.coalesce(v, F.lit(0)) for n, v in values.items()})
-    inside = (Window.partitionBy(*keys, "_span").orderBy(order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    local = spanned.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(inside) for n in values})
-    across = (Window.partitionBy(*keys).orderBy("_span")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (
-        spanned.groupBy(*keys, "_span").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
-        .select(*keys, "_span", *[F.sum(f"_s_{n}").over(across).alias(f"_o_{n}") for n in values]))
-    return local.join(offsets, [*keys, "_span"]).select(
+    rows = _cut(df, order, "_g1", span).withColumns(
+        {f"_v_{n}": F.coalesce(v, F.lit(0)) for n, v in values.items()})
+    local = rows.withColumns(
+        {f"_t0_{n}": F.sum(f"_v_{n}").over(_before([*keys, "_g1"], order)) for n in values})
+    spans = rows.groupBy(*keys, "_g1").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    offsets, levels = None, []
+    for level in range(1, LEVELS + 1):
+        here, up = f"_g{level}", f"_g{level + 1}"
+        last = level == LEVELS
+        spans = spans if last else _cut(spans, here, up, span)
+        shared = keys if last else [*keys, up]
+        levels.append(spans.select(*shared, here, *[
+            F.coalesce(F.sum(f"_s_{n}").over(_before(shared, here)), F.lit(0)).alias(f"_t{level}_{n}")
+            for n in values]))
+        if not last:
+            spans = spans.groupBy(*keys, up).agg(*[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in values])
+    offsets = levels[-1]
+    for level in range(LEVELS - 1, 0, -1):
+        offsets = levels[level - 1].join(offsets, [*keys, f"_g{level + 1}"])
+    return local.join(offsets, [*keys, "_g1"]).select(
         *df.columns,
-        *[(F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_o_{n}", F.lit(0))).alias(n)
-          for n in values])
+        *[sum([F.col(f"_t{level}_{n}") for level in range(1, LEVELS + 1)],
+              F.coalesce(f"_t0_{n}", F.lit(0))).alias(n) for n in values])
 
 
 def prior_value(df: DataFrame, keys: list[str], order: str, value: str, name: str,
                 span: int = SPAN) -> DataFrame:
     """Add ``name``: the value of the row before in the key, NULL for the first row."""
-    spanned = df.withColumn("_span", F.expr(f"`{order}` div {span}"))
-    inside = Window.partitionBy(*keys, "_span").orderBy(order)
-    local = spanned.withColumns({
+    rows = _cut(df, order, "_g1", span)
+    inside = Window.partitionBy(*keys, "_g1").orderBy(order)
+    local = rows.withColumns({
         "_before": F.lag(value).over(inside), "_first": F.row_number().over(inside) == 1})
-    across = Window.partitionBy(*keys).orderBy("_span")
-    ends = spanned.groupBy(*keys, "_span").agg(F.max_by(value, order).alias("_end")).select(
-        *keys, "_span", F.lag("_end").over(across).alias("_carried"))
-    return local.join(ends, [*keys, "_span"]).select(
-        *df.columns, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))
-        .alias(name))
+    # A span stands for its last row; a struct tells a NULL value from no row.
+    spans = rows.groupBy(*keys, "_g1").agg(F.max(order).alias("_at"),
+                                           F.struct(F.max_by(value, order).alias("x")).alias("_end"))
+    levels = []
+    for level in range(1, LEVELS + 1):
+        here, up = f"_g{level}", f"_g{level + 1}"
+        last = level == LEVELS
+        spans = spans if last else _cut(spans, here, up, span)
+        shared = keys if last else [*keys, up]
+        levels.append(spans.select(*shared, here, F.lag("_end").over(
+            Window.partitionBy(*shared).orderBy(here)).alias(f"_c{level}")))
+        if not last:
+            spans = spans.groupBy(*keys, up).agg(F.max("_at").alias("_at"),
+                                                 F.max_by("_end", "_at").alias("_end"))
+    carried = levels[-1]
+    for level in range(LEVELS - 1, 0, -1):
+        carried = levels[level - 1].join(carried, [*keys, f"_g{level + 1}"])
+    end = F.coalesce(*[f"_c{level}" for level in range(1, LEVELS + 1)])["x"]
+    return local.join(carried, [*keys, "_g1"]).select(
+        *df.columns, F.when(F.col("_first"), end).otherwise(F.col("_before")).alias(name))
 
 
 def ranked(df: DataFrame, order: str, name: str, span: int = SPAN) -> DataFrame:
@@ -59,3 +92,12 @@ def ranked(df: DataFrame, order: str, name: str, span: int = SPAN) -> DataFrame:
     numbered = running_totals(df.withColumn("_all", F.lit(0)), ["_all"], order,
                               {name: F.lit(1).cast("bigint")}, span)
     return numbered.drop("_all").withColumn(name, F.col(name) + 1)
+
+
+def line_ids(lines: DataFrame, document: str, item: str, name: str, span: int = SPAN) -> DataFrame:
+    """Number the lines of all documents 1, 2, 3 … in the order of document and item."""
+    counts = lines.groupBy(document).agg(F.count("*").alias("_lines")).withColumn("_all", F.lit(0))
+    offsets = running_totals(counts, ["_all"], document, {"_earlier": F.col("_lines")}, span)
+    own = F.row_number().over(Window.partitionBy(document).orderBy(item))
+    return lines.withColumn("_own", own).join(offsets.select(document, "_earlier"), document).select(
+        (F.col("_earlier") + F.col("_own")).cast("bigint").alias(name), *lines.columns)

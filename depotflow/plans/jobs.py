@@ -102,6 +102,19 @@ def next_ids(rows: DataFrame, tables: Tables, table: str) -> DataFrame:
                                                      ).drop("_nr")
 
 
+def taken_ids(tables: Tables, rows: DataFrame, table: str) -> DataFrame:
+    """Refuse given ids that are missing, in the table, or those of an earlier accepted request."""
+    key = MODEL[table].key[0]
+    used = rows_for(tables[table].select(key, F.lit(True).alias("_used")), rows, [key])
+    rows = rows.join(used, key, "left")
+    free = rows.filter(f"reject_reason IS NULL AND _used IS NULL AND {key} IS NOT NULL")
+    firsts = free.groupBy(key).agg(F.min("req_seq").alias("_first"))
+    reason = (F.when(F.col(key).isNull(), F.lit(f"not_null {key}"))
+              .when(F.col("_used") | (F.col("req_seq") > F.col("_first")), F.lit(f"primary_key {key}")))
+    return rows.join(firsts, key, "left").withColumn(
+        "reject_reason", F.coalesce("reject_reason", reason)).drop("_used", "_first")
+
+
 def append(tables: Tables, table: str, rows: DataFrame) -> DataFrame:
     """The table with new rows; generated columns are computed for them."""
     names = MODEL[table].names

@@ -13,7 +13,7 @@ from depotflow.operators.quality import rows_for
 from depotflow.operators.running import SPAN
 from depotflow.plans.jobs import (
     ACCEPTED, REJECTED, UNCHANGED, Changes, Result, Tables, append, checked, decided, first_requests,
-    is_free_pair, looked_up, move_stock, next_ids, stamped)
+    is_free_pair, looked_up, move_stock, next_ids, stamped, taken_ids)
 from depotflow.schemas import MODEL, QTY
 from depotflow.session import durable
 
@@ -22,12 +22,15 @@ def create_documents(tables: Tables, table: str, requests: DataFrame, as_of: str
     """New purchase orders, receipts or sales orders.
 
     ``requests`` has ``req_seq`` and the fields of the header; absent fields take
-    their default. Ids are given by the caller or follow the highest one.
+    their default. Ids are given by the caller or follow the highest one; of requests with
+    an id that is taken, by the table or by an earlier request, none is accepted.
     """
     fields = [f for f in MODEL[table].names if f != MODEL[table].key[0]]
     rows = checked(tables, with_defaults(requests, table, as_of, fields), table)
     rows = durable(rows)
     key = MODEL[table].key[0]
+    if key in rows.columns:
+        rows = durable(taken_ids(tables, rows, table))
     new = next_ids(rows.filter("reject_reason IS NULL"), tables, table)
     outcome = decided(rows.drop(key).join(new.select("req_seq", key), "req_seq", "left"), key)
     return Result(Changes(**{table: lambda: append(tables, table, new)}), outcome)

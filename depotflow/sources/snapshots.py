@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from depotflow.schemas import MODEL
 
-_MANIFEST = "version bigint, batch_id bigint, table string, path string"
+# A row per table, and one per stream that has committed, with its last batch.
+_MANIFEST = "version bigint, table string, path string, stream string, batch_id bigint"
 
 
 def scan_table(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -35,42 +36,51 @@ class SnapshotStore:
 
     def _manifest(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema(_MANIFEST).json(f"{self.root}/_manifest")
+            return (self.spark.read.schema(_MANIFEST).option("recursiveFileLookup", "true")
+                    .json(f"{self.root}/_manifest"))
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
 
-    def _current(self) -> tuple[int, int, dict[str, str]]:
-        """(version, last batch, folder of each table); at most one row per table."""
+    def _current(self) -> tuple[int, dict[str, int], dict[str, str]]:
+        """(version, last batch of each stream, folder of each table); a row per table and stream."""
         manifest = self._manifest()
         if manifest is None:
-            return 0, -1, {}
+            return 0, {}, {}
         newest = manifest.agg(F.max("version")).scalar()
         rows = manifest.filter(F.col("version") == newest).collect()
         if not rows:
-            return 0, -1, {}
-        return rows[0].version, rows[0].batch_id, {r.table: r.path for r in rows}
+            return 0, {}, {}
+        return (rows[0].version, {r.stream: r.batch_id for r in rows if r.stream},
+                {r.table: r.path for r in rows if r.table})
 
     def tables(self) -> Mapping[str, DataFrame]:
         """The tables of the newest commit; later commits do not show in them."""
         return _StoredTables(self.spark, self._current()[2])
 
-    def last_batch(self) -> int:
-        """The last stream batch that was committed, -1 before the first."""
-        return self._current()[1]
+    def last_batch(self, stream: str) -> int:
+        """The last batch of the stream that was committed, -1 before the first."""
+        return self._current()[1].get(stream, -1)
 
-    def commit(self, changed: Mapping[str, DataFrame], batch_id: int | None = None) -> int:
-        """Write the changed tables and make them current; returns the new version."""
-        version, last, paths = self._current()
+    def commit(self, changed: Mapping[str, DataFrame], stream: str | None = None,
+               batch_id: int | None = None) -> int:
+        """Write the changed tables and make them current; returns the new version.
+
+        A version is named once: if another writer has committed it meanwhile, this
+        commit fails and changes nothing.
+        """
+        version, batches, paths = self._current()
         for table, rows in changed.items():
             path = f"{self.root}/{table}/v{version + 1}-{uuid.uuid4().hex}"
             rows.select(*MODEL[table].names).write.parquet(path)
             paths[table] = path
-        batch = last if batch_id is None else batch_id
-        entries = [(version + 1, batch, table, path) for table, path in paths.items()]
-        self.spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.mode("append").json(
-            f"{self.root}/_manifest")
+        if stream is not None:
+            batches[stream] = batch_id
+        entries = [(version + 1, table, path, None, None) for table, path in paths.items()]
+        entries += [(version + 1, None, None, name, batch) for name, batch in batches.items()]
+        self.spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.mode("error").json(
+            f"{self.root}/_manifest/v{version + 1:09d}")
         return version + 1
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depotflow.functions.columns import stamp, with_generated
+from depotflow.operators.running import line_ids
 from depotflow.schemas import MODEL, QTY
 from depotflow.sources.seeds import SEED_ROWS, seed_rows
 from depotflow.sources.snapshots import SnapshotStore
@@ -191,9 +192,8 @@ class StarWarehouse(Mapping[str, DataFrame]):
         price = self.raw("part").select(
             F.col("p_partkey").alias("item_id"), _qty(F.col("p_retailprice")).alias("unit_price"))
         lines = self._sold().join(price, "item_id").select(
-            (F.col("so_id") * 1000000 + F.col("item_id")).alias("so_line_id"),
             "so_id", "item_id", "ordered_quantity", "shipped_quantity", "unit_price")
-        return with_generated(lines, "sales_order_lines")
+        return with_generated(line_ids(lines, "so_id", "item_id", "so_line_id"), "sales_order_lines")
 
     def delivery_challans(self) -> DataFrame:
         orders = self.sales_orders().select("so_id", "created_by", "status")
@@ -225,12 +225,10 @@ class StarWarehouse(Mapping[str, DataFrame]):
         quantity = F.when(first_part, F.col("ordered_quantity")
                           * F.when(F.col("so_id") % 17 == 0, 2).otherwise(1)
                           ).otherwise(F.col("shipped_quantity"))
-        return self._sold().filter(first_part | (F.col("shipped_quantity") > 0)).select(
+        lines = self._sold().filter(first_part | (F.col("shipped_quantity") > 0)).select(
             (F.col("so_id") * 2 + packed.cast("int")).alias("dc_id"),
-            "item_id", _qty(quantity).alias("shipped_quantity"),
-        ).select(
-            (F.col("dc_id") * 1000000 + F.col("item_id")).alias("dc_line_id"),
-            "dc_id", "item_id", "shipped_quantity")
+            "item_id", _qty(quantity).alias("shipped_quantity"))
+        return line_ids(lines, "dc_id", "item_id", "dc_line_id")
 
     def stock_balance(self) -> DataFrame:
         cancelled = (F.col("o_orderstatus") == "O") & (F.col("so_id") % 4 == 3)
@@ -266,9 +264,8 @@ class StarWarehouse(Mapping[str, DataFrame]):
         cost = self.raw("part").select(
             F.col("p_partkey").alias("item_id"), _qty(F.col("p_retailprice")).alias("unit_cost"))
         lines = self._bought_lines().join(cost, "item_id").select(
-            (F.col("po_id") * 1000000 + F.col("item_id")).alias("po_line_id"),
             "po_id", "item_id", "ordered_quantity", "received_quantity", "unit_cost")
-        return with_generated(lines, "purchase_order_lines")
+        return with_generated(line_ids(lines, "po_id", "item_id", "po_line_id"), "purchase_order_lines")
 
     def purchase_orders(self) -> DataFrame:
         totals = self._bought().groupBy("po_id").agg(
@@ -304,8 +301,7 @@ class StarWarehouse(Mapping[str, DataFrame]):
             self._bought().filter("l_returnflag <> 'N'")
             .groupBy(self._receipt_key(), "item_id").agg(F.sum("quantity").alias("quantity")))
         over = (F.col("grn_id") % 2 == 1) & (F.expr("grn_id div 2") % 13 == 0)
-        return summed.select(
-            (F.col("grn_id") * 1000000 + F.col("item_id")).alias("grn_line_id"),
+        lines = summed.select(
             "grn_id", "item_id",
-            _qty(F.col("quantity") * F.when(over, 3).otherwise(1)).alias("received_quantity"),
-        )
+            _qty(F.col("quantity") * F.when(over, 3).otherwise(1)).alias("received_quantity"))
+        return line_ids(lines, "grn_id", "item_id", "grn_line_id")

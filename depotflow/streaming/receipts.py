@@ -12,16 +12,20 @@ from depotflow.streaming.feed import state_settings
 def confirm_stream(requests: DataFrame, root: str, checkpoint: str, as_of: str) -> None:
     """Apply each micro-batch of confirm requests to the warehouse under ``root``.
 
-    The batch number is committed with the tables, so a batch that is run again
-    after a failure is skipped if its commit was made, and done afresh if not.
+    The id of the stream, which its checkpoint keeps, and the number of the batch are
+    committed with the tables. So a batch that is run again after a failure is skipped if its
+    commit was made, and done afresh if not; another stream, or a new checkpoint, has
+    numbers of its own.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         store = SnapshotStore(batch.sparkSession, root)
-        if batch_id <= store.last_batch():
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if batch_id <= store.last_batch(stream):
             return
         result = confirm_grn(store.tables(), batch, as_of)
-        result.outcome.write.mode("overwrite").parquet(f"{root}/_outcome/batch_id={batch_id}")
-        store.commit(result.changed, batch_id)
+        result.outcome.write.mode("overwrite").parquet(
+            f"{root}/_outcome/stream={stream}/batch_id={batch_id}")
+        store.commit(result.changed, stream, batch_id)
 
     with state_settings(requests.sparkSession):
         query = (

@@ -22,8 +22,10 @@ class _LastStatus(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("event_id", ignore_index=True)
         before = batch["status"].shift(1)
         before[0] = self._last.get()[0] if self._last.exists() else None
-        self._last.update((batch["status"].iloc[-1],))
-        changed = before.notna() & (before != batch["status"])
+        last = batch["status"].iloc[-1]
+        self._last.update((None if pd.isna(last) else last,))
+        # as in SQL, an unknown status differs from nothing
+        changed = before.notna() & batch["status"].notna() & (before != batch["status"])
         yield pd.DataFrame({
             "document": batch["document"], "event_id": batch["event_id"],
             "old_status": before, "new_status": batch["status"]})[changed]

@@ -7,7 +7,7 @@ import pytest
 
 from depotflow.operators.allocate import allocate
 from depotflow.operators.reserve import reserve
-from depotflow.operators.running import prior_value, ranked, running_totals
+from depotflow.operators.running import line_ids, prior_value, ranked, running_totals
 from pyspark.sql import functions as F
 
 
@@ -117,3 +117,13 @@ def test_prior_value_and_rank_over_spans(spark):
     assert got == {3: None, 9: "s3", 40: "s9", 41: "s40", 99: "s41"}
     assert {r.o: r.nr for r in ranked(df, "o", "nr", span=8).collect()} == {
         3: 1, 9: 2, 40: 3, 41: 4, 99: 5}
+
+
+def test_sparse_orders_are_cut_by_digits_and_lines_get_ids_of_their_own(spark):
+    rows = [(1, i * 10**6 - 5 * 10**7, i) for i in range(100)] + [(2, 2**40, 7), (2, 3, None)]
+    df = spark.createDataFrame(rows, "k long, o long, v long")
+    got = {(r.k, r.o): r.before for r in running_totals(df, ["k"], "o", {"before": F.col("v")}, span=16).collect()}
+    assert got == {(1, i * 10**6 - 5 * 10**7): i * (i - 1) // 2 for i in range(100)} | {(2, 3): 0, (2, 2**40): 0}
+    lines = spark.createDataFrame([(5, 1), (4, 1_000_001), (4, 2)], "doc long, item long")
+    ids = {(r.doc, r.item): r.id for r in line_ids(lines, "doc", "item", "id").collect()}
+    assert ids == {(4, 2): 1, (4, 1_000_001): 2, (5, 1): 3}

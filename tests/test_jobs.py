@@ -382,3 +382,16 @@ def test_table_helper_follows_the_model(spark, name):
     from depotflow.schemas import MODEL
 
     assert table(spark, name, [{}]).columns == MODEL[name].names
+
+
+def test_given_ids_that_are_taken_are_refused(spark, star):
+    rows = [(1, 1, 1), (2, 900001, 1), (3, 900001, 1), (4, None, 1)]
+    taken = star["sales_orders"].agg({"so_id": "min"}).first()[0]
+    rows[0] = (1, taken, 1)
+    asked = spark.createDataFrame(rows, "req_seq long, so_id long, customer_id long").withColumn(
+        "created_by", F.lit(1).cast("bigint"))
+    result = procurement.create_documents(star, "sales_orders", asked, AS_OF)
+    got = {r.req_seq: (r.outcome, r.reason) for r in result.outcome.collect()}
+    assert got == {1: ("rejected", "primary_key so_id"), 2: ("accepted", None),
+                   3: ("rejected", "primary_key so_id"), 4: ("rejected", "not_null so_id")}
+    assert result.changed["sales_orders"].filter("so_id = 900001").count() == 1

@@ -113,13 +113,53 @@ def test_confirm_stream_applies_each_batch_once(spark, buying):
         1: "Confirmed", 2: "Draft", 3: "Confirmed"}
     assert by_key(store.tables()["stock_balance"], "item_id", "available_quantity") == {1: D(10)}
 
-    # a fresh checkpoint numbers its batches from 0 again: all of them are known
+    # another stream numbers its batches from 0 again; its requests are applied, once
+    def run(rows, source, checkpoint):
+        requests(spark, "req_seq long, grn_id long", rows).write.mode("append").parquet(source)
+        confirm_stream(spark.readStream.schema(asked.schema).parquet(source), root, checkpoint, AS_OF)
+
     version = store.commit({})
-    source = fresh_path(spark, "again")
-    asked.write.parquet(source)
-    confirm_stream(spark.readStream.schema(asked.schema).parquet(source), root,
-                   fresh_path(spark, "checkpoint"), AS_OF)
-    assert store.commit({}) == version + 1
+    source, checkpoint = fresh_path(spark, "again"), fresh_path(spark, "checkpoint")
+    run([(1, 2)], source, checkpoint)
+    assert store.commit({}) == version + 2
+    run([], source, checkpoint)
+    stock = by_key(store.tables()["stock_balance"], "item_id", "available_quantity")
+    assert stock == {1: D(10)}
+
+
+def test_a_second_stream_is_not_skipped(spark, buying):
+    root = fresh_path(spark, "store")
+    store = SnapshotStore(spark, root)
+    store.commit({t: buying[t] for t in ("goods_receipts", "goods_receipt_lines", "purchase_orders",
+                                         "purchase_order_lines", "stock_balance")})
+    for grn in (1, 3):
+        source = fresh_path(spark, "source")
+        asked = requests(spark, "req_seq long, grn_id long", [(1, grn)])
+        asked.write.parquet(source)
+        confirm_stream(spark.readStream.schema(asked.schema).parquet(source), root,
+                       fresh_path(spark, "checkpoint"), AS_OF)
+    assert by_key(store.tables()["goods_receipts"], "grn_id", "status") == {
+        1: "Confirmed", 2: "Draft", 3: "Confirmed"}
+
+
+def test_a_version_is_committed_once(spark, buying):
+    root = fresh_path(spark, "store")
+    one, other = SnapshotStore(spark, root), SnapshotStore(spark, root)
+    one.commit({"stock_balance": buying["stock_balance"]})
+    seen = other._current()
+    one.commit({})
+    other._current = lambda: seen
+    with pytest.raises(Exception, match="(?i)exist"):
+        other.commit({})
+
+
+def test_unknown_statuses_change_nothing_in_stream_and_batch(spark):
+    source = fresh_path(spark, "log")
+    log = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "b"), (1, 4, "c"), (2, 1, None)],
+                                "document long, event_id long, status string")
+    log.write.parquet(source)
+    batch = transitions.status_transitions(log).collect()
+    assert [(r.event_id, r.old_status, r.new_status) for r in batch] == [(4, "b", "c")]
 
 
 def test_confirm_stream_equals_one_batch(spark, buying):
