@@ -122,6 +122,8 @@ def answered(said: DataFrame, n: int, how: dict[int, How]) -> DataFrame:
 
     def work(table: pa.Table) -> pa.Table:
         out = []
+        # Rows come in any order, and may come in another one when a stage is run again.
+        table = table.sort_by("block")
         levels = table["level"].to_numpy()
         for level, (kind, width, answer, key_bytes) in how.items():
             rows = table.take(pa.array(np.flatnonzero(levels == level)))
