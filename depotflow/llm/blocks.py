@@ -6,7 +6,7 @@ buckets of the key space as packed arrays: one row per block and bucket. A bucke
 said of its keys and answers each block, one value a key in the same order. So a key that a
 third of all rows hold reaches its bucket once a block, and a task holds one block or one bucket.
 
-Rows of a block may come in any order; nothing here depends on it.
+Rows of a block may come in any order; they are sorted before anything depends on it.
 """
 
 from __future__ import annotations
@@ -57,9 +57,11 @@ def blocked(docs: DataFrame, text_column: str = "text",
 
 
 def unpacked(table: pa.Table) -> pa.Table:
-    """The rows of a block."""
-    return pa.concat_tables([pa.ipc.open_stream(r.as_buffer()).read_all() for r in table["rows"]]) \
-        .combine_chunks()
+    """The rows of a block, in an order of their own: parts of a shuffle come in any order, and a
+    block that is read again must look alike."""
+    rows = pa.concat_tables([pa.ipc.open_stream(r.as_buffer()).read_all() for r in table["rows"]])
+    by = [f.name for f in rows.schema if pa.types.is_integer(f.type) or pa.types.is_string(f.type)]
+    return rows.sort_by([(name, "ascending") for name in by]).combine_chunks()
 
 
 def pack(values: np.ndarray) -> bytes:
