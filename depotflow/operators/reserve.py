@@ -38,7 +38,7 @@ def reserve(requests: DataFrame, fold_limit: int = FOLD_LIMIT, span: int = SPAN)
     ``pair`` (bigint; one accepted request per item and pair), ``qty`` (> 0) and
     ``free`` (what the item has at the start; NULL means it keeps no stock and
     accepts everything). Returns ``req_seq``, ``verdict`` and ``available``, what was
-    left when the request came.
+    left when the request came; a copy of a taken pair is not measured and has NULL.
     """
     requests = durable(requests.select("item_id", "req_seq", "pair", "qty", "free"))
     sizes = requests.groupBy("item_id").agg(F.count("*").alias("n"))
@@ -62,7 +62,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                   for c in ("item_id", "pair", "repeated", "cents", "free_cents"))):
             if next_item != item:
                 item, left, taken = next_item, free, set()
-            available.append(left)
+            available.append(None if repeated and pair in taken else left)
             if repeated and pair in taken:
                 verdicts.append(DUPLICATE)
             elif left is not None and left < cents:
@@ -164,4 +164,4 @@ def _next_band(waiting: DataFrame, some_repeat: bool, span: int) -> DataFrame:
         F.expr(f"""CASE WHEN req_seq > stop THEN NULL WHEN req_seq = stop THEN '{ACCEPTED}'
                    WHEN blocked THEN '{DUPLICATE}' WHEN counted THEN '{ACCEPTED}'
                    ELSE '{SHORT}' END""").alias("verdict"),
-        (F.col("free") - F.col("used")).cast(QTY).alias("available"))
+        F.when(~F.col("blocked"), F.col("free") - F.col("used")).cast(QTY).alias("available"))
