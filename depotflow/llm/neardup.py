@@ -9,7 +9,10 @@
    greater depth. So the depth adapts to the region.
 3. Candidates whose sizes and signatures allow the similarity are confirmed on the full sets, and
    links are joined to components by rounds of hooking to the least neighbour.
-4. Regions that were too dense to compare all of their classes, and that still hold more than one
+4. The first ``FIRST`` trees, in which each class meets the next one only, join most of a large group
+   by a few links a class. Then all trees are looked at, across the components known by then: a
+   pair within a component adds nothing, so a large group does not come up again in every tree.
+5. Regions that were too dense to compare all of their classes, and that still hold more than one
    component, are compared in blocks of signatures, across components only, and what is
    found is confirmed in the same way. So no class is left out for standing in a crowd.
 
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +36,7 @@ SHINGLE = 3
 THRESHOLD = 85  # per cent: shared shingles of all shingles of the two
 NUMBERS = 192  # numbers of a signature, 16 bits each
 TREES = 32
+FIRST = 4  # trees that join most of large groups before all trees are looked at
 SHALLOW = 6  # numbers that a region of a tree has in common at least
 DEEP = 14  # numbers by which a tree sorts
 NEXT = 2  # classes that a class is compared with in the order of a tree, on either side
@@ -80,7 +85,8 @@ def _node(values: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Of each row of (doc_id, text): size of its set, the set's digest (null if empty), signature."""
+    """Of each row of (doc_id, text): size of its set, the set's digest (null if empty), signature,
+    and a mark of the text, by which the text is found again."""
     doc_id = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches):
@@ -92,31 +98,35 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     numbers.append(signature(values).astype(">u2").tobytes() if len(values) else None)
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()),
-                     pa.array(numbers, pa.binary())], names=["doc_id", "n_shingles", "node", "numbers"])
+                     pa.array(numbers, pa.binary()), part["mark"]],
+                    names=["doc_id", "n_shingles", "node", "numbers", "mark"])
 
-    return docs.mapInArrow(work, f"doc_id {doc_id}, n_shingles long, node binary, numbers binary")
+    return docs.withColumn("mark", F.xxhash64("text")).mapInArrow(
+        work, f"doc_id {doc_id}, n_shingles long, node binary, numbers binary, mark long")
 
 
-def forest(classes: DataFrame) -> DataFrame:
-    """A row per tree and class: the class's numbers in the tree's order."""
+def forest(classes: DataFrame, trees: int = TREES) -> DataFrame:
+    """A row per tree and class: the class's numbers in the tree's order, and its component so far."""
+    kind = pa.binary(2 * DEEP)
 
     def work(batches):
         for batch in batches:
             n = batch.num_rows
             table = np.frombuffer(b"".join(batch["numbers"].to_pylist()), np.uint8).reshape(n, NUMBERS, 2)
-            for tree in range(TREES):
-                keys = np.ascontiguousarray(table[:, ORDERS[tree]]).reshape(n, -1)
+            for tree in range(trees):
+                keys = pa.Array.from_buffers(kind, n, [None, pa.py_buffer(table[:, ORDERS[tree]].tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, tree, np.int32)),
-                     pa.array([k.tobytes() for k in keys], pa.binary()), batch["node"], batch["n"]],
-                    names=["tree", "key", "node", "n"])
+                    [pa.array(np.full(n, tree, np.int32)), keys.cast(pa.binary()), batch["node"],
+                     batch["root"], batch["n"]],
+                    names=["tree", "key", "node", "root", "n"])
 
-    return classes.select("node", "n", "numbers").mapInArrow(
-        work, "tree int, key binary, node binary, n long")
+    return classes.select("node", "root", "n", "numbers").mapInArrow(
+        work, "tree int, key binary, node binary, root binary, n long")
 
 
-def neighbours(trees: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of classes next to each other in the order of a tree, across tasks too."""
+def neighbours(trees: DataFrame, threshold: int, steps: int) -> DataFrame:
+    """Pairs of classes of different components, up to ``steps`` places from each other in the order
+    of a tree, across tasks too."""
     in_order = trees.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     prefix = 2 * SHALLOW
 
@@ -132,46 +142,51 @@ def neighbours(trees: DataFrame, threshold: int) -> DataFrame:
             region = keys[:, :prefix]
             n = rows["n"].to_numpy()
             left, right = [], []
-            for step in range(1, NEXT + 1):
+            for step in range(1, steps + 1):
                 second = np.arange(max(new_from, step), len(tree))
                 one = second - step
                 near = ((tree[one] == tree[second]) & (region[one] == region[second]).all(axis=1)
                         & (100 * np.minimum(n[one], n[second]) >= threshold * np.maximum(n[one], n[second])))
                 left.append(one[near]), right.append(second[near])
             one, second = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
+            apart = pc.not_equal(rows["root"].take(one), rows["root"].take(second))
+            one, second = one.filter(apart), second.filter(apart)
             none = pa.nulls(len(one))
             return pa.RecordBatch.from_arrays(
                 [rows["node"].take(one), rows["node"].take(second), none.cast(pa.int32()),
-                 none.cast(pa.binary()), none.cast(pa.int64())], names=["a", "b", "tree", "key", "n"])
+                 none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.binary())],
+                names=["a", "b", "tree", "key", "n", "root"])
 
         def edges(rows):
             return pa.RecordBatch.from_arrays(
-                [rows["node"], pa.nulls(rows.num_rows, pa.binary()), rows["tree"], rows["key"], rows["n"]],
-                names=["a", "b", "tree", "key", "n"])
+                [rows["node"], pa.nulls(rows.num_rows, pa.binary()), rows["tree"], rows["key"], rows["n"],
+                 rows["root"]], names=["a", "b", "tree", "key", "n", "root"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if n_edges < NEXT:
-                first_rows.append(batch.slice(0, NEXT - n_edges))
+            if n_edges < steps:
+                first_rows.append(batch.slice(0, steps - n_edges))
                 n_edges += first_rows[-1].num_rows
             old = held.num_rows if held is not None else 0
             rows = pa.Table.from_batches([held, batch] if old else [batch]).combine_chunks().to_batches()[0]
             yield pairs(rows, old)
-            held = rows.slice(max(0, rows.num_rows - NEXT))
+            held = rows.slice(max(0, rows.num_rows - steps))
         for rows in first_rows + ([held] if held is not None else []):
             yield edges(rows)
 
-    found = durable(in_order.mapInArrow(work, "a binary, b binary, tree int, key binary, n long"))
+    found = durable(in_order.mapInArrow(work, "a binary, b binary, tree int, key binary, n long, "
+                                             "root binary"))
     # The first and last rows of each task stand next to those of other tasks: a few rows a task.
     region = Window.partitionBy("tree", F.substring("key", 1, prefix)).orderBy("key", "a")
-    edges = found.where(F.col("b").isNull()).select("tree", "key", "a", "n").distinct()
+    edges = found.where(F.col("b").isNull()).select("tree", "key", "a", "n", "root").distinct()
     across = [edges.select("a", F.lead("a", step).over(region).alias("b"), "n",
-                           F.lead("n", step).over(region).alias("m")) for step in range(1, NEXT + 1)]
+                           F.lead("n", step).over(region).alias("m"), "root",
+                           F.lead("root", step).over(region).alias("other")) for step in range(1, steps + 1)]
     over = across[0]
     for more in across[1:]:
         over = over.unionByName(more)
-    over = over.where(F.col("b").isNotNull()
+    over = over.where(F.col("b").isNotNull() & (F.col("root") != F.col("other"))
                       & (100 * F.least("n", "m") >= threshold * F.greatest("n", "m")))
     return (found.where(F.col("b").isNotNull()).select("a", "b").unionByName(over.select("a", "b"))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -197,17 +212,14 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(work, "a binary, b binary, same int")
 
 
-def _place(node):
-    """A place in the bit table from the node's first bytes."""
-    return F.shiftrightunsigned(F.conv(F.hex(F.substring(node, 1, 4)), 16, 10).cast("long"), 32 - BITS)
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Pairs that reach the threshold on the full sets of shingles, which are made anew for the
-    classes in question; a bit table of fixed size tells tasks which those may be."""
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
+              threshold: int) -> DataFrame:
+    """Pairs that reach the threshold on the full sets of shingles. The sets are made anew of one
+    text of each class in question; a bit table of fixed size tells tasks which texts those may be."""
     pairs = durable(pairs.select("a", "b"))
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    places = (asked.select(_place("node").alias("place")).distinct()
+    asked = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+                    .join(classes.select("node", "mark"), "node"))
+    places = (asked.select(F.shiftrightunsigned("mark", 64 - BITS).alias("place")).distinct()
               .groupBy(F.shiftright("place", 6).alias("word"))
               .agg(F.expr("bit_or(shiftleft(1L, CAST(place % 64 AS INT)))").alias("bits")).toPandas())
     table = np.zeros(1 << (BITS - 6), np.int64)
@@ -217,20 +229,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> D
     def work(batches):
         table, told = shared.value, set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            place = (batch["mark"].to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+            for part in slices(batch.filter(pa.array(table[place >> 6] >> (place & 63) & 1 == 1)), "text"):
                 nodes, sets = [], []
                 for values in _sets(part["text"], size):
                     node = _node(values)
-                    if node is None or node in told:
-                        continue
-                    place = int.from_bytes(node[:4], "big") >> (32 - BITS)
-                    if table[place >> 6] >> (place & 63) & 1:
+                    if node is not None and node not in told:
                         told.add(node)
                         nodes.append(node), sets.append(values.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())],
                                                  names=["node", "items"])
 
-    sets = (docs.select("text").mapInArrow(work, "node binary, items binary")
+    sets = (docs.select("text", F.xxhash64("text").alias("mark")).mapInArrow(work, "node binary, items binary")
             .join(asked, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")))
     sets = durable(sets)
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
@@ -283,17 +293,19 @@ def components(links: DataFrame) -> DataFrame:
     return roots if roots is not None else spark.createDataFrame([], "node binary, root binary")
 
 
-def crowded(trees: DataFrame, classes: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """Candidates across components in regions that were too dense to compare in full."""
-    trees = trees.withColumn("region", F.substring("key", 1, 2 * SHALLOW))
-    dense = trees.groupBy("tree", "region").agg(F.count("*").alias("size")).where(F.col("size") > NEXT + 1)
-    rows = (trees.join(dense, ["tree", "region"]).select("tree", "region", "size", "node", "n")
-            .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    rows = durable(rows)
-    several = (rows.groupBy("tree", "region").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-               .where("x <> y").select("tree", "region"))
+def crowds(classes: DataFrame) -> DataFrame:
+    """Regions of trees that were too dense to compare in full and hold several components."""
+    region = F.substring("key", 1, 2 * SHALLOW).alias("region")
+    return (forest(classes).groupBy("tree", region)
+            .agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y"))
+            .where((F.col("size") > NEXT + 1) & (F.col("x") != F.col("y"))).select("tree", "region", "size"))
+
+
+def crowded(regions: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Candidates across components in such regions."""
+    rows = forest(classes).withColumn("region", F.substring("key", 1, 2 * SHALLOW)).drop("key")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    placed = (rows.join(several, ["tree", "region"]).withColumn("chunks", chunks)
+    placed = (rows.join(regions, ["tree", "region"]).withColumn("chunks", chunks)
               .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
               .join(classes.select("node", "numbers"), "node")
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -333,14 +345,31 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     sketched = durable(sketches(docs, size))
     classes = durable(sketched.where(F.col("node").isNotNull()).groupBy("node")
-                      .agg(F.first("n_shingles").alias("n"), F.first("numbers").alias("numbers")))
-    trees = durable(forest(classes))
-    candidates = agreeing(neighbours(trees, threshold), classes)
-    links = confirmed(candidates, docs, size, threshold)
-    roots = durable(components(links))
-    more = confirmed(crowded(trees, classes, roots, threshold), docs, size, threshold)
-    if more.limit(1).count():
-        roots = components(links.unionByName(more))
+                      .agg(F.first("n_shingles").alias("n"), F.first("numbers").alias("numbers"),
+                           F.min("mark").alias("mark")))
+
+    def linked(candidates: DataFrame) -> DataFrame:
+        return confirmed(candidates, classes, docs, size, threshold)
+
+    def further(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """The components when more links are known."""
+        if links.isEmpty():
+            return roots
+        return durable(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+                                  .unionByName(links)))
+
+    def with_roots(roots: DataFrame) -> DataFrame:
+        return durable(classes.join(roots, "node", "left")
+                       .withColumn("root", F.coalesce("root", "node")))
+
+    alone = durable(forest(classes.withColumn("root", F.col("node")), FIRST))
+    roots = durable(components(linked(agreeing(neighbours(alone, threshold, 1), classes))))
+    trees = durable(forest(with_roots(roots)))
+    roots = further(roots, linked(agreeing(neighbours(trees, threshold, NEXT), classes)))
+    own = with_roots(roots)
+    regions = durable(crowds(own))
+    if not regions.isEmpty():
+        roots = further(roots, linked(crowded(regions, own, threshold)))
     rows = (sketched.select("doc_id", "n_shingles", "node")
             .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
