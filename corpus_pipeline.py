@@ -16,6 +16,8 @@ from depotflow.llm.queries import remainder, table, tokenizer
 from depotflow.session import durable
 
 LANGUAGE_SHARE = 0.5  # a text whose best language has less is rejected
+SHINGLE = 5  # words of a shingle in the near-duplicate stage; the query op10 takes three, and 85 per cent
+NEAR = 80  # per cent: shared shingles of all shingles of two near copies
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words are in no group and stay.
     """
-    marks = neardup.near_duplicates(docs)
+    marks = neardup.near_duplicates(docs, size=SHINGLE, threshold=NEAR)
     digest = F.sha2("text", 256)
     kept = (marks.where(F.col("kept") | F.col("doc_id").isNull() & F.col("component_id").isNull())
             .select(F.col("doc_id").alias("__id")).distinct())

@@ -4,7 +4,7 @@
    Texts with equal sets are one class from here on, however many there are.
 2. The forest: every tree sorts the classes by its own order of the signature's numbers. The
    tables are sorted by range, so that a dense region is spread over tasks. Classes next to
-   each other, with at least ``SHALLOW`` numbers in common, are candidates: where few classes share
+   each other, with at least ``Forest.shallow`` numbers in common, are candidates: where few classes share
    a prefix, all of them are compared; where many do, only the next ones, which agree to a
    greater depth. So the depth adapts to the region.
 3. Candidates whose sizes and signatures allow the similarity are confirmed on the full sets, and
@@ -16,12 +16,16 @@
    component, are compared in blocks of signatures, across components only, and what is
    found is confirmed in the same way. So no class is left out for standing in a crowd.
 
-Links are found with a probability that grows with the number of trees: a pair at the threshold
-of 0.85 shares a prefix in at least one of the trees but for about one pair in 4 * 10**6; one at 0.9 but for less than one in 10**10.
+Links are found with a probability that grows with the number of trees. Both it and the depth of a
+prefix follow from the threshold: a pair at the threshold shares a prefix in at least one of the trees
+but for a chance of ``MISS``, a pair above it with a smaller one.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,23 +39,45 @@ from depotflow.session import durable
 SHINGLE = 3
 THRESHOLD = 85  # per cent: shared shingles of all shingles of the two
 NUMBERS = 192  # numbers of a signature, 16 bits each
-TREES = 32
+MISS = 2.7e-7  # chance at most that a pair at the threshold shares a region in no tree
 FIRST = 4  # trees that join most of large groups before all trees are looked at
-SHALLOW = 6  # numbers that a region of a tree has in common at least
 DEEP = 14  # numbers by which a tree sorts
 NEXT = 2  # classes that a class is compared with in the order of a tree, on either side
 CHUNK = 512  # classes of a block where a dense region is compared in blocks
-#: Agreeing numbers of two signatures at least: the threshold less six standard deviations.
-AGREE = 133
+DEVIATIONS = 6  # standard deviations by which a pair's agreeing numbers may fall short of the threshold
 BITS = 25  # places of the table that tells tasks which classes are asked for
 
 _step = np.arange(1, NUMBERS + 1, dtype=np.uint64)
 FACTORS = mix(_step * MIX) | np.uint64(1)
 SHIFTS = mix(_step + (_step << np.uint64(32)))
-#: The first numbers of all trees are different ones; each goes on with numbers of others.
-ORDERS = np.array([[(SHALLOW * t + k) % NUMBERS if k < SHALLOW
-                    else (SHALLOW * t + 4 + 37 * (k + 1) + 11 * t) % NUMBERS for k in range(DEEP)]
-                   for t in range(TREES)])
+
+
+@dataclass(frozen=True)
+class Forest:
+    """What a threshold asks of the trees."""
+
+    trees: int
+    shallow: int  # numbers that a region of a tree has in common at least
+    agree: int  # agreeing numbers of two signatures at least
+
+    @property
+    def orders(self) -> np.ndarray:
+        """The first numbers of all trees are different ones; each goes on with numbers of others."""
+        return np.array([[(self.shallow * t + k) % NUMBERS if k < self.shallow
+                          else (self.shallow * t + 4 + 37 * (k + 1) + 11 * t) % NUMBERS for k in range(DEEP)]
+                         for t in range(self.trees)])
+
+
+def planned(threshold: int) -> Forest:
+    """The deepest regions for which the numbers suffice for as many trees as ``MISS`` asks for."""
+    like = threshold / 100
+    agree = math.floor(NUMBERS * like - DEVIATIONS * math.sqrt(NUMBERS * like * (1 - like)))
+    for shallow in range(DEEP, 0, -1):
+        shared = like ** shallow
+        trees = math.ceil(math.log(MISS) / math.log(1 - shared)) if shared < 1 else 1
+        if trees * shallow <= NUMBERS:
+            return Forest(trees, shallow, agree)
+    raise ValueError(f"a threshold of {threshold} per cent asks for more than {NUMBERS} numbers")
 
 
 def signature(values: np.ndarray) -> np.ndarray:
@@ -105,16 +131,18 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         work, f"doc_id {doc_id}, n_shingles long, node binary, numbers binary, mark long")
 
 
-def forest(classes: DataFrame, trees: int = TREES) -> DataFrame:
-    """A row per tree and class: the class's numbers in the tree's order, and its component so far."""
+def forest(classes: DataFrame, plan: Forest, first: int | None = None) -> DataFrame:
+    """A row per tree (of the first trees only, if told) and class: the class's numbers in the tree's
+    order, and its component so far."""
     kind = pa.binary(2 * DEEP)
+    orders = plan.orders[:first]
 
     def work(batches):
         for batch in batches:
             n = batch.num_rows
             table = np.frombuffer(b"".join(batch["numbers"].to_pylist()), np.uint8).reshape(n, NUMBERS, 2)
-            for tree in range(trees):
-                keys = pa.Array.from_buffers(kind, n, [None, pa.py_buffer(table[:, ORDERS[tree]].tobytes())])
+            for tree, order in enumerate(orders):
+                keys = pa.Array.from_buffers(kind, n, [None, pa.py_buffer(table[:, order].tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, tree, np.int32)), keys.cast(pa.binary()), batch["node"],
                      batch["root"], batch["n"]],
@@ -124,11 +152,11 @@ def forest(classes: DataFrame, trees: int = TREES) -> DataFrame:
         work, "tree int, key binary, node binary, root binary, n long")
 
 
-def neighbours(trees: DataFrame, threshold: int, steps: int) -> DataFrame:
+def neighbours(trees: DataFrame, plan: Forest, threshold: int, steps: int) -> DataFrame:
     """Pairs of classes of different components, up to ``steps`` places from each other in the order
     of a tree, across tasks too."""
     in_order = trees.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    prefix = 2 * SHALLOW
+    prefix = 2 * plan.shallow
 
     def work(batches):
         held = None
@@ -192,7 +220,7 @@ def neighbours(trees: DataFrame, threshold: int, steps: int) -> DataFrame:
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def agreeing(pairs: DataFrame, classes: DataFrame, plan: Forest) -> DataFrame:
     """Pairs whose signatures agree in enough numbers, with that number."""
     numbers = classes.select("node", "numbers")
     both = (pairs.join(numbers.select(F.col("node").alias("a"), F.col("numbers").alias("x")), "a")
@@ -204,7 +232,7 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 continue
             x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, NUMBERS) for c in "xy")
             same = (x == y).sum(axis=1)
-            keep = pa.array(np.flatnonzero(same >= AGREE))
+            keep = pa.array(np.flatnonzero(same >= plan.agree))
             yield pa.RecordBatch.from_arrays(
                 [batch["a"].take(keep), batch["b"].take(keep), pa.array(same.astype(np.int32)).take(keep)],
                 names=["a", "b", "same"])
@@ -293,17 +321,17 @@ def components(links: DataFrame) -> DataFrame:
     return roots if roots is not None else spark.createDataFrame([], "node binary, root binary")
 
 
-def crowds(classes: DataFrame) -> DataFrame:
+def crowds(classes: DataFrame, plan: Forest) -> DataFrame:
     """Regions of trees that were too dense to compare in full and hold several components."""
-    region = F.substring("key", 1, 2 * SHALLOW).alias("region")
-    return (forest(classes).groupBy("tree", region)
+    region = F.substring("key", 1, 2 * plan.shallow).alias("region")
+    return (forest(classes, plan).groupBy("tree", region)
             .agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y"))
             .where((F.col("size") > NEXT + 1) & (F.col("x") != F.col("y"))).select("tree", "region", "size"))
 
 
-def crowded(regions: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+def crowded(regions: DataFrame, classes: DataFrame, plan: Forest, threshold: int) -> DataFrame:
     """Candidates across components in such regions."""
-    rows = forest(classes).withColumn("region", F.substring("key", 1, 2 * SHALLOW)).drop("key")
+    rows = forest(classes, plan).withColumn("region", F.substring("key", 1, 2 * plan.shallow)).drop("key")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     placed = (rows.join(regions, ["tree", "region"]).withColumn("chunks", chunks)
               .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -323,7 +351,7 @@ def crowded(regions: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
         for x in left.tolist():
             near = right[(group[right] != group[x])
                          & (100 * np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x]))]
-            near = near[(numbers[near] == numbers[x]).sum(axis=1) >= AGREE]
+            near = near[(numbers[near] == numbers[x]).sum(axis=1) >= plan.agree]
             a += [min(node[x], node[y]) for y in near.tolist()]
             b += [max(node[x], node[y]) for y in near.tolist()]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
@@ -343,6 +371,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     columns are left out.
     """
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    plan = planned(threshold)
     sketched = durable(sketches(docs, size))
     classes = durable(sketched.where(F.col("node").isNotNull()).groupBy("node")
                       .agg(F.first("n_shingles").alias("n"), F.first("numbers").alias("numbers"),
@@ -362,14 +391,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         return durable(classes.join(roots, "node", "left")
                        .withColumn("root", F.coalesce("root", "node")))
 
-    alone = durable(forest(classes.withColumn("root", F.col("node")), FIRST))
-    roots = durable(components(linked(agreeing(neighbours(alone, threshold, 1), classes))))
-    trees = durable(forest(with_roots(roots)))
-    roots = further(roots, linked(agreeing(neighbours(trees, threshold, NEXT), classes)))
+    alone = durable(forest(classes.withColumn("root", F.col("node")), plan, FIRST))
+    roots = durable(components(linked(agreeing(neighbours(alone, plan, threshold, 1), classes, plan))))
+    trees = durable(forest(with_roots(roots), plan))
+    roots = further(roots, linked(agreeing(neighbours(trees, plan, threshold, NEXT), classes, plan)))
     own = with_roots(roots)
-    regions = durable(crowds(own))
+    regions = durable(crowds(own, plan))
     if not regions.isEmpty():
-        roots = further(roots, linked(crowded(regions, own, threshold)))
+        roots = further(roots, linked(crowded(regions, own, plan, threshold)))
     rows = (sketched.select("doc_id", "n_shingles", "node")
             .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))

@@ -380,3 +380,44 @@ def test_pipeline_equals_brute_force(spark, texts, tmp_path):
     whole = {i: t for i, t in cut}
     same = [r for r in got if whole[r.doc_id] == rows[min(r.doc_id, len(rows) - 1)][1]]
     assert same and all(r.decoded_sha256 == hashlib.sha256(whole[r.doc_id].encode()).hexdigest() for r in same)
+
+
+def brute_near(texts, size, threshold):
+    """The least index that each text reaches over links."""
+    sets = []
+    for t in texts:
+        found = SPACED.findall(low(t))
+        sets.append({tuple(found[k:k + size]) for k in range(max(1, len(found) - size + 1))})
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= threshold * len(a | sets[j]):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark):
+    texts = []
+    for k in range(12):
+        base = prose(700 + k, 200 + 10 * k)
+        words = base.split()
+        edited = [*words]
+        for place in range(5, len(words), 18 + k):  # by three words closer than by five
+            edited[place] = f"edit{place}"
+        texts += [base, f"{base} {prose(800 + k, len(words) // 5)}", " ".join(edited)]
+    table = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, table, "").collect())
+    root = brute_near(texts, 5, 80)
+    assert kept == [i for i, r in enumerate(root) if i == r]
+    assert root != brute_near(texts, 3, 85)
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_pairs_at_the_threshold_are_not_missed_by_plan(threshold):
+    plan, like = neardup.planned(threshold), threshold / 100
+    assert (1 - like ** plan.shallow) ** plan.trees <= neardup.MISS
+    short = neardup.NUMBERS * like - plan.agree
+    assert short >= 6 * math.sqrt(neardup.NUMBERS * like * (1 - like))
+    firsts = plan.orders[:, :plan.shallow].ravel()
+    assert len(set(firsts.tolist())) == len(firsts)
