@@ -421,3 +421,51 @@ def test_pairs_at_the_threshold_are_not_missed_by_plan(threshold):
     assert short >= 6 * math.sqrt(neardup.NUMBERS * like * (1 - like))
     firsts = plan.orders[:, :plan.shallow].ravel()
     assert len(set(firsts.tolist())) == len(firsts)
+
+
+def brute_scores(rows, least, depth=2, shares=(0.02, 0.1, 0.3, 0.6), gain=4.0):
+    """log10 scores of (text, train) rows by the whole suffix tree, as the module describes it."""
+    tokens = [([*SPACED.findall(low(t)), "\n"], train) for t, train in rows]
+    seen = [collections.Counter() for _ in range(depth + 1)]  # training counts of pairs, by length of context
+    for own, train in tokens:
+        for i in range(len(own) if train else 0):
+            for n in range(min(i, depth) + 1):
+                seen[n][tuple(own[i - n:i + 1])] += 1
+    total, types = sum(seen[0].values()), len(seen[0])
+    states = {}  # context: share of its parent
+
+    def p(own, i, upto, less):
+        out = (seen[0][own[i],] + 1) / (total + types + 1)
+        for n in range(1, min(i, upto) + 1):
+            context = tuple(own[i - n:i])
+            if context in states:
+                times, count = seen[n][(*context, own[i])] - less, seen[n - 1][context] - less
+                out = (1 - states[context]) * times / max(count, 1) + states[context] * out
+        return out
+
+    for n in range(1, depth + 1):
+        gains = collections.defaultdict(lambda: [0] * len(shares))
+        for own, train in tokens:
+            for i in range(n, len(own) if train else 0):
+                context = tuple(own[i - n:i])
+                if seen[n - 1][context] >= least and (n == 1 or seen[n - 2][context[:-1]] >= least):
+                    ratio = ((seen[n][(*context, own[i])] - 1) / max(seen[n - 1][context] - 1, 1)
+                             / p(own, i, n - 1, 1))
+                    for k, share in enumerate(shares):
+                        gains[context][k] += round(math.log((1 - share) * ratio + share) * 64)
+        for context, sums in gains.items():
+            if max(sums) >= gain * 64:
+                states[context] = shares[sums.index(max(sums))]
+    return [sum(math.log10(p(own, i, depth, 0)) for i in range(len(own))) for own, _ in tokens], states
+
+
+def test_contexts_seen_eight_times_become_states(spark):
+    rng = random.Random(8)
+    rows = [(" ".join(f"w{rng.randrange(60)}" for _ in range(40)) + " rare cue goes here" * (i % 5 == 0)
+             + " w1 w2 end" * (i % 4 == 0), True) for i in range(40)]
+    rows += [("w5 rare cue goes here w1 w2 end", False), ("cue goes here w3 w1 w2 end", False)]
+    want, states = brute_scores(rows, 8)
+    assert ("rare",) in states and ("rare", "cue") in brute_scores(rows, 8, gain=-1e9)[1]
+    table = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(rows)], "doc_id long, text string, train boolean")
+    got = sorted(suffixtree.scored(table, F.col("train"), block_bytes=2000).collect(), key=lambda r: r.doc_id)
+    assert [round(r.score, 6) for r in got] == [round(x, 6) for x in want]
