@@ -90,11 +90,11 @@ class Block:
         return mix(context * MIX + word)
 
     def pairs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the distinct pairs of a context and a word seen twice, their number of each
-        token (-1 if the word is seen less), and their training counts."""
+        """Keys of the distinct pairs of a context and a word seen in training, their number of each
+        token (-1 if the word is not seen), and their training counts."""
         at, keys, _ = self.contexts(length)
         word = self.word[at]
-        known = self.count[word] >= 2
+        known = self.count[word] >= 1
         distinct, number = np.unique(self.pair_keys(keys[known], self.keys[word[known]]),
                                      return_inverse=True)
         number_of = np.full(len(at), -1, np.int64)
@@ -106,10 +106,7 @@ class Block:
         at, keys, seen = self.contexts(length)
         _, number, _ = self.pairs(length)
         counts = np.append(heard(self.answers, 2 * length - 1, np.int32), 0).astype(np.int64)
-        # A word seen once in training is after its context once, if the text trains.
-        times = np.where(number >= 0, counts[number], np.minimum(self.count[self.word[at]], 1)
-                         * self.train[at])
-        self.levels.append((at, keys, seen, times))
+        self.levels.append((at, keys, seen, counts[number]))  # a word that no text trains has none
 
     def states(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the distinct contexts of a level and the number of each token's context."""

@@ -469,3 +469,14 @@ def test_contexts_seen_eight_times_become_states(spark):
     table = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(rows)], "doc_id long, text string, train boolean")
     got = sorted(suffixtree.scored(table, F.col("train"), block_bytes=2000).collect(), key=lambda r: r.doc_id)
     assert [round(r.score, 6) for r in got] == [round(x, 6) for x in want]
+
+
+def test_held_out_texts_get_the_counts_of_words_seen_once(spark):
+    rows = [(f"{prose(900 + i, 30, 12)} the name known {prose(i, 5, 90)} the name known {prose(i + 50, 5, 90)} "
+             f"the name once{i}", i % 3 != 0) for i in range(45)]
+    rows += [(t, not train) for t, train in rows]  # a held-out copy of each
+    want, states = brute_scores(rows, 8)
+    assert ("name",) in states
+    table = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(rows)], "doc_id long, text string, train boolean")
+    got = sorted(suffixtree.scored(table, F.col("train"), block_bytes=8000).collect(), key=lambda r: r.doc_id)
+    assert [round(r.score, 6) for r in got] == [round(x, 6) for x in want]
