@@ -1,9 +1,12 @@
-"""Licence scans: TF-IDF cosine of lines to licence templates, then inheritance by directory.
+"""Licence scans: TF-IDF cosine of lines, windows and whole files to templates, then inheritance.
 
 1. Terms of the templates are weighted by how many files hold them; all files are counted.
 2. Every line of every file is compared with every template: both as sparse TF-IDF vectors, where
-   a word that no template has counts with the weight of the rarest term. The best template at
-   or above the threshold is the line's licence; the best line is the file's own licence.
+   a word that no template has counts with the weight of the rarest term. So is every run of as many
+   words as the template has, across line breaks: a notice may be wrapped, or stand within a
+   longer line. Of a file named like a licence file, the text as a whole is compared too, with
+   the templates and with whole licence texts. The best of these at or above the threshold is the
+   file's own licence.
 3. A file named like a licence file gives its licence to its directory. A file without a licence
    takes that of the nearest directory above it that has one, by joins on paths.
 """
@@ -40,6 +43,9 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
             "and associated documentation files"),
@@ -48,6 +54,30 @@ TEMPLATES = (
 )
 
 
+#: Licences as whole texts, without the line that names the holder.
+WHOLE = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+            "associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+            "including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+            "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+            "furnished to do so, subject to the following conditions: The above copyright notice and this "
+            "permission notice shall be included in all copies or substantial portions of the Software. THE "
+            "SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+            "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+            "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+            "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT "
+            "OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are "
+                     "permitted provided that the following conditions are met: 1. Redistributions of source code "
+                     "must retain the above copyright notice, this list of conditions and the following "
+                     "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+                     "this list of conditions and the following disclaimer in the documentation and/or other "
+                     "materials provided with the distribution. 3. Neither the name of the copyright holder nor "
+                     "the names of its contributors may be used to endorse or promote products derived from this "
+                     "software without specific prior written permission."),
+)
+
+
 def words_of(text: str) -> list[bytes]:
     data, offsets = text_bytes(pa.array([text]))
     data = LOWER[data]
@@ -94,14 +124,20 @@ def own_licences(files: DataFrame, path_column: str = "path", text_column: str =
                  threshold: float = THRESHOLD) -> DataFrame:
     """Add ``licence`` and ``score`` of the best line to path and id columns of every file."""
     of_template = [words_of(t) for _, t in templates]
-    terms = {w: i for i, w in enumerate(sorted({w for ws in of_template for w in ws}))}
-    names = [n for n, _ in templates]
+    of_whole = of_template + [words_of(t) for _, t in WHOLE]
+    first = sorted({w for ws in of_template for w in ws})
+    more = sorted({w for ws in of_whole for w in ws} - set(first))  # terms of whole texts only
+    terms = {w: i for i, w in enumerate(first + more)}
+    names = [n for n, _ in templates] + [n for n, _ in WHOLE]
     idf, unseen = term_weights(files, terms, text_column)
-    matrix = np.zeros((len(terms), len(templates)))
-    for k, ws in enumerate(of_template):
+    whole = np.zeros((len(terms), len(of_whole)))
+    for k, ws in enumerate(of_whole):
         for w in ws:
-            matrix[terms[w], k] += idf[terms[w]]
-    matrix /= np.linalg.norm(matrix, axis=0)
+            whole[terms[w], k] += idf[terms[w]]
+    whole /= np.linalg.norm(whole, axis=0)
+    matrix = whole[:len(first), :len(templates)]
+    lengths = [len(ws) for ws in of_template]
+    named = F.coalesce(F.element_at(F.split(F.col(path_column), "/"), -1).rlike(LICENCE_FILE), F.lit(False))
     rows = files.withColumnRenamed(text_column, "text") if text_column != "text" else files
     kept = [c for c in rows.columns if c not in ("text", "licence", "score")]
     schema = rows.select(*kept).schema.add("licence", "string").add("score", "double")
@@ -109,19 +145,26 @@ def own_licences(files: DataFrame, path_column: str = "path", text_column: str =
     def work(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                found = best_lines(part["text"], terms, idf, unseen, matrix)
+                split = _lines(part["text"], terms)
+                found = best_lines(part.num_rows, split, idf, unseen, matrix)
+                best_windows(found, split, idf, unseen, matrix, lengths, threshold)
+                best_whole(found, split, idf, unseen, whole, part["__named"].to_numpy(zero_copy_only=False))
                 licence = [names[k] if s >= threshold else None for s, k in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part[c] for c in kept] + [pa.array(licence, pa.string()), pa.array(found[0])],
                     names=kept + ["licence", "score"])
 
-    return rows.select(*kept, "text").mapInArrow(work, schema)
+    return rows.select(*kept, "text", named.alias("__named")).mapInArrow(work, schema)
 
 
-def best_lines(column, terms, idf, unseen, matrix) -> tuple[np.ndarray, np.ndarray]:
+Found = tuple[np.ndarray, np.ndarray]  # of each file the greatest cosine and its template
+
+
+def best_lines(n: int, split, idf, unseen, matrix) -> Found:
     """Of each file the greatest cosine of a line, and the template; the first of equal ones."""
-    n = len(column)
-    term, line, owner, codes = _lines(column, terms)
+    term, line, owner, codes = split
+    n_terms = len(matrix)  # terms of whole texts only come after these
+    term = np.where(term < n_terms, term, -1)
     score, which = np.zeros(n), np.zeros(n, np.int64)
     known = term >= 0
     if not known.any():
@@ -132,12 +175,12 @@ def best_lines(column, terms, idf, unseen, matrix) -> tuple[np.ndarray, np.ndarr
     other = rich & ~known
     pair, times = np.unique(line[other] * (int(codes.max()) + 1) + codes[other], return_counts=True)
     square = np.bincount(pair // (int(codes.max()) + 1), (times * unseen) ** 2, n_lines).astype(float)
-    pair, times = np.unique(line[rich & known] * len(terms) + term[rich & known], return_counts=True)
-    at, weight = pair // len(terms), times * idf[pair % len(terms)]
+    pair, times = np.unique(line[rich & known] * n_terms + term[rich & known], return_counts=True)
+    at, weight = pair // n_terms, times * idf[pair % n_terms]
     square += np.bincount(at, weight ** 2, n_lines)
     used, place = np.unique(at, return_inverse=True)
     dot = np.zeros((len(used), matrix.shape[1]))
-    np.add.at(dot, place, weight[:, None] * matrix[pair % len(terms)])
+    np.add.at(dot, place, weight[:, None] * matrix[pair % n_terms])
     cosine = dot / np.sqrt(square[used])[:, None]
     template = cosine.argmax(axis=1)
     best = cosine[np.arange(len(used)), template]
@@ -148,12 +191,78 @@ def best_lines(column, terms, idf, unseen, matrix) -> tuple[np.ndarray, np.ndarr
     return np.minimum(score, 1.0), which
 
 
+def _better(found: Found, files: np.ndarray, scores: np.ndarray, template) -> None:
+    """Take what is greater than the cosine known of a file; the template of least number of equal ones."""
+    score, which = found
+    template = np.broadcast_to(template, len(files))
+    order = np.lexsort((-template, scores, files))  # the best of each file last
+    last = order[np.append(files[order][1:] != files[order][:-1], True)] if len(order) else order
+    last = last[scores[last] > score[files[last]] + 1e-9]
+    score[files[last]], which[files[last]] = np.minimum(scores[last], 1.0), template[last]
+
+
+def best_windows(found: Found, split, idf, unseen, matrix, lengths, threshold: float) -> None:
+    """Runs of as many words as a template has, or the whole of a shorter file, at or above the threshold."""
+    term, _, owner, codes = split
+    if not len(term):
+        return
+    n = len(term)
+    term = np.where(term < len(matrix), term, -1)
+    weight = np.append(idf[:len(matrix)], unseen)[term]
+    squares = np.concatenate(([0.0], np.cumsum(weight ** 2)))
+    end_of = np.searchsorted(owner, owner, side="right")  # of each word's file
+    start_of = np.searchsorted(owner, owner, side="left")
+    at = np.arange(n)
+    for k, length in enumerate(lengths):
+        share = np.append(idf[:len(matrix)] * matrix[:, k], 0.0)[term]
+        dots = np.concatenate(([0.0], np.cumsum(share)))
+        stop = np.minimum(at + length, end_of)
+        # A word told twice weighs more than twice in the norm: the sum of squares is its least value.
+        dot, least = dots[stop] - dots[:-1], squares[stop] - squares[:-1]
+        some = np.flatnonzero((dot > 0) & (dot ** 2 * (1 + 1e-6) >= threshold ** 2 * least)
+                              & ((stop - at == length) | (at == start_of)))
+        for a in range(0, len(some), 1 << 16):
+            part = some[a:a + (1 << 16)]
+            spots = part[:, None] + np.arange(length)
+            inside = spots < stop[part][:, None]
+            spots = np.minimum(spots, n - 1)
+            code = np.where(inside, codes[spots], -1 - np.arange(length))
+            size = np.where(inside, weight[spots], 0.0)
+            # The norm: each word of the window counts with its weight as often as it meets its like.
+            square = np.zeros(len(part))
+            for i in range(length):
+                square += size[:, i] ** 2 * (code == code[:, i:i + 1]).sum(axis=1)
+            cosine = dot[part] / np.sqrt(square)
+            enough = cosine >= threshold
+            _better(found, owner[part[enough]], cosine[enough], k)
+
+
+def best_whole(found: Found, split, idf, unseen, whole, named: np.ndarray) -> None:
+    """The whole texts of files named like licence files."""
+    term, _, owner, codes = split
+    own = named.astype(bool)[owner] if len(owner) else np.zeros(0, bool)
+    if not own.any():
+        return
+    term, owner, codes = term[own], owner[own], codes[own].astype(np.int64)
+    span = int(codes.max()) + 1
+    pair, first, times = np.unique(owner * span + codes, return_index=True, return_counts=True)
+    files, place = np.unique(pair // span, return_inverse=True)
+    weight = times * np.append(idf, unseen)[term[first]]
+    dot = np.zeros((len(files), whole.shape[1]))
+    known = term[first] >= 0
+    np.add.at(dot, place[known], weight[known, None] * whole[term[first][known]])
+    cosine = dot / np.sqrt(np.bincount(place, weight ** 2))[:, None]
+    template = cosine.argmax(axis=1)
+    _better(found, files, cosine[np.arange(len(files)), template], template)
+
+
 def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
          threshold: float = THRESHOLD) -> DataFrame:
     """Licence of every file, its own or inherited; one row per row of ``files``.
 
     Returns all columns but the text, and ``licence`` (null if there is none), ``score`` (cosine
-    of the file's best line), ``origin`` ("own", "inherited" or null) and ``licence_dir`` (the
+    of the file's best line, of a better run of words that reaches the threshold, or of the whole
+    of a licence file), ``origin`` ("own", "inherited" or null) and ``licence_dir`` (the
     directory inherited from). Of several licence files of a directory the best score counts,
     then the licence by name. A null text has score 0; a null path inherits nothing.
     Columns of these names in the input are replaced.

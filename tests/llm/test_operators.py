@@ -480,3 +480,46 @@ def test_held_out_texts_get_the_counts_of_words_seen_once(spark):
     table = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(rows)], "doc_id long, text string, train boolean")
     got = sorted(suffixtree.scored(table, F.col("train"), block_bytes=8000).collect(), key=lambda r: r.doc_id)
     assert [round(r.score, 6) for r in got] == [round(x, 6) for x in want]
+
+
+def test_wrapped_and_embedded_notices(spark):
+    gpl3 = "   GNU GENERAL PUBLIC LICENSE\n      Version 3, 29 June 2007\n\n Copyright (C) 2007 someone"
+    mit = " ".join(dict(licenses.WHOLE)["MIT"].split())
+    rows = [("/g/LICENSE", gpl3), ("/g/sub/x.c", "int main"),
+            ("/g2/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n" + prose(1, 50)),
+            ("/w/a.py", "# Licensed under the Apache License,\n# Version 2.0.\n" + prose(2, 300)),
+            ("/w/b.py", f"{prose(3, 200)} this one is released under the MIT License. {prose(4, 200)}"),
+            ("/w/c.py", "Released under\nthe MIT\nLicense."), ("/w/d.py", prose(5, 300)),
+            ("/m/LICENSE", "Copyright me. " + mit.replace("hereby granted, free", "granted, without any fee or free")
+             .replace(" to any person obtaining a copy", " unto each and every body that has got hold of a copy")),
+            ("/m/f", prose(6, 30)),
+            ("/w/e.py", None), ("/w/f.py", "Released under"), ("/w/g.py", "the MIT License.")]
+    table = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.licence, r.origin) for r in licenses.scan(table).collect()}
+    assert got == {
+        "/g/LICENSE": ("GPL-3.0", "own"), "/g/sub/x.c": ("GPL-3.0", "inherited"), "/g2/COPYING": ("GPL-2.0", "own"),
+        "/w/a.py": ("Apache-2.0", "own"), "/w/b.py": ("MIT", "own"), "/w/c.py": ("MIT", "own"),
+        "/w/d.py": (None, None), "/m/LICENSE": ("MIT", "own"), "/m/f": ("MIT", "inherited"),
+        "/w/e.py": (None, None), "/w/f.py": got["/w/f.py"], "/w/g.py": got["/w/g.py"]}
+
+
+def test_windows_equal_brute_force():
+    rng = random.Random(12)
+    lengths = [3, 5]
+    for _ in range(30):
+        files = [[rng.randrange(6) for _ in range(rng.randrange(9))] for _ in range(4)]
+        flat = [w for f in files for w in f]
+        owner = np.array([i for i, f in enumerate(files) for _ in f], int)
+        idf, unseen = np.array([1.0, 2.0, 1.5, 3.0]), 4.0
+        matrix = np.array([[1, 0], [1, 2], [0, 1], [2, 0]]) / np.sqrt([6, 5])
+        term = np.array([w if w < 4 else -1 for w in flat], int)
+        found = np.zeros(4), np.zeros(4, np.int64)
+        licenses.best_windows(found, (term, None, owner, np.array(flat, int)), idf, unseen, matrix, lengths, 0.5)
+        for i, f in enumerate(files):
+            best = 0.0
+            for k, n in enumerate(lengths):
+                for j in range(max(len(f) - n, 0) + 1 if f else 0):
+                    times = collections.Counter(f[j:j + n])
+                    norm = math.sqrt(sum((c * (idf[w] if w < 4 else unseen)) ** 2 for w, c in times.items()))
+                    best = max(best, sum(c * idf[w] * matrix[w, k] for w, c in times.items() if w < 4) / norm)
+            assert math.isclose(found[0][i], min(best, 1.0) if best >= 0.5 else 0.0, abs_tol=1e-9)
