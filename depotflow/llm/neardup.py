@@ -39,7 +39,7 @@ from depotflow.session import durable
 SHINGLE = 3
 THRESHOLD = 85  # per cent: shared shingles of all shingles of the two
 NUMBERS = 192  # numbers of a signature, 16 bits each
-MISS = 2.7e-7  # chance at most that a pair at the threshold shares a region in no tree
+MISS = 2e-8  # chance at most that a pair at the threshold shares a region in no tree
 FIRST = 4  # trees that join most of large groups before all trees are looked at
 DEEP = 14  # numbers by which a tree sorts
 NEXT = 2  # classes that a class is compared with in the order of a tree, on either side

@@ -523,3 +523,8 @@ def test_windows_equal_brute_force():
                     norm = math.sqrt(sum((c * (idf[w] if w < 4 else unseen)) ** 2 for w, c in times.items()))
                     best = max(best, sum(c * idf[w] * matrix[w, k] for w, c in times.items() if w < 4) / norm)
             assert math.isclose(found[0][i], min(best, 1.0) if best >= 0.5 else 0.0, abs_tol=1e-9)
+
+
+def test_pairs_at_the_threshold_are_missed_no_more_than_by_24_trees_of_4():
+    plan = neardup.planned(neardup.THRESHOLD)
+    assert (1 - 0.85 ** plan.shallow) ** plan.trees <= (1 - 0.85 ** 4) ** 24
