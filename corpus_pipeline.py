@@ -32,16 +32,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, the one of least id; of equal rows one.
+    """Keep one document of each group of near copies, the one of least id, one without an id last,
+    and of one id the one of least digest; of equal rows one.
 
     Texts without words are in no group and stay.
     """
-    marks = neardup.near_duplicates(docs, size=SHINGLE, threshold=NEAR)
-    digest = F.sha2("text", 256)
-    kept = (marks.where(F.col("kept") | F.col("doc_id").isNull() & F.col("component_id").isNull())
-            .select(F.col("doc_id").alias("__id")).distinct())
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    return rows.withColumn("__text", digest).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    marks = neardup.near_duplicates(docs, size=SHINGLE, threshold=NEAR, keys=True)
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    kept = (marks.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(place).alias("first")).select("first.*")
+            .unionByName(marks.where(F.col("root").isNull()).select(place.alias("first")).distinct().select("first.*"))
+            .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")))
+    rows = docs.withColumn("__text", F.sha2("text", 256))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & rows["__text"].eqNullSafe(kept["__digest"]),
+                     "left_semi")
+    return rows.dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,8 +112,9 @@ def _node(values: np.ndarray) -> bytes | None:
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Of each row of (doc_id, text): size of its set, the set's digest (null if empty), signature,
-    and a mark of the text, by which the text is found again."""
+    and a mark of the text, by which the text is found again. A column ``digest`` is kept."""
     doc_id = docs.schema["doc_id"].dataType.simpleString()
+    more = [c for c in docs.columns if c == "digest"]
 
     def work(batches):
         for batch in batches:
@@ -124,11 +125,12 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     numbers.append(signature(values).astype(">u2").tobytes() if len(values) else None)
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()),
-                     pa.array(numbers, pa.binary()), part["mark"]],
-                    names=["doc_id", "n_shingles", "node", "numbers", "mark"])
+                     pa.array(numbers, pa.binary()), part["mark"], *[part[c] for c in more]],
+                    names=["doc_id", "n_shingles", "node", "numbers", "mark", *more])
 
     return docs.withColumn("mark", F.xxhash64("text")).mapInArrow(
-        work, f"doc_id {doc_id}, n_shingles long, node binary, numbers binary, mark long")
+        work, ", ".join([f"doc_id {doc_id}, n_shingles long, node binary, numbers binary, mark long",
+                         *(f"{c} string" for c in more)]))
 
 
 def forest(classes: DataFrame, plan: Forest, first: int | None = None) -> DataFrame:
@@ -361,18 +363,20 @@ def crowded(regions: DataFrame, classes: DataFrame, plan: Forest, threshold: int
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD,
-                    id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+                    id_column: str = "doc_id", text_column: str = "text", keys: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``node`` (digest of its set), ``n_shingles``,
     ``component_id`` (the least id reachable over links) and ``kept`` (whether that is its own).
 
     Texts that are null or without words have an empty set and are linked with nothing. Rows
     with equal sets are linked, rows of equal id too. A row without an id is linked by its
     text; its component is that of rows with ids, or null, and it is never kept. Further
-    columns are left out.
+    columns are left out. ``keys`` adds ``root``, the key of the component (null for an empty set), and
+    ``digest`` of the text, by which rows of one id are told apart.
     """
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    more = ["digest"] if keys else []
     plan = planned(threshold)
-    sketched = durable(sketches(docs, size))
+    sketched = durable(sketches(docs.withColumn("digest", F.sha2("text", 256)) if keys else docs, size))
     classes = durable(sketched.where(F.col("node").isNotNull()).groupBy("node")
                       .agg(F.first("n_shingles").alias("n"), F.first("numbers").alias("numbers"),
                            F.min("mark").alias("mark")))
@@ -399,10 +403,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     regions = durable(crowds(own, plan))
     if not regions.isEmpty():
         roots = further(roots, linked(crowded(regions, own, plan, threshold)))
-    rows = (sketched.select("doc_id", "n_shingles", "node")
+    rows = (sketched.select("doc_id", "n_shingles", "node", *more)
             .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
     return (rows.join(least, "root", "left")
             .withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")))
             .select("doc_id", "node", "n_shingles", "component_id",
-                    F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
+                    F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
+                    *(["root", *more] if keys else [])))

@@ -528,3 +528,16 @@ def test_windows_equal_brute_force():
 def test_pairs_at_the_threshold_are_missed_no_more_than_by_24_trees_of_4():
     plan = neardup.planned(neardup.THRESHOLD)
     assert (1 - 0.85 ** plan.shallow) ** plan.trees <= (1 - 0.85 ** 4) ** 24
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    a, b, c = (prose(910 + k, 150) for k in range(3))
+    near = [" ".join([*t.split()[:-1], "other"]) for t in (a, b, c)]
+    rows = [(1, a), (2, near[0]), (2, b), (3, near[1]),  # id 2 is kept by one text and not by the other
+            (5, c), (5, near[2]), (5, c), (None, prose(920, 150)), (None, f"{prose(920, 150)} end"), (None, a),
+            (7, ""), (7, ""), (None, None)]
+    table = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, table, "").collect()), key=str)
+    least = [min(ts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+             for ts in ((c, near[2]), (prose(920, 150), f"{prose(920, 150)} end"))]
+    assert got == sorted([(1, a), (2, b), (5, least[0]), (None, least[1]), (7, ""), (None, None)], key=str)
