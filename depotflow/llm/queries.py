@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotflow.llm import covertree, decontaminate, langid, licenses, neardup, pages, repeats, subword, suffixtree, tokenfile
+from depotflow.llm import (covertree, decontaminate, langid, licenses, neardup, pages, phrases, repeats, simhash,
+                           subword, suffixtree, tokenfile, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,6 +89,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    return whitening.by_component(whitening.whitened(vectors, model), model,
+                                  whitening.identity_error(vectors, model))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(phrases.collocations(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_tree": op2_suffix_tree,
@@ -99,6 +115,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": op8_token_files,
     "op9_repeated_strings": op9_repeated_strings,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_whitening": op11_whitening,
+    "op12_simhash": op12_simhash,
+    "op13_collocations": op13_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -116,4 +135,46 @@ SQL: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
             FROM scored)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        spoken AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM spoken GROUP BY lang),
+        begun AS (
+            SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM spoken WHERE len(w) > 0),
+        grams AS (
+            SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f
+            FROM begun CROSS JOIN (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w)
+            GROUP BY ALL HAVING count(*) >= 100),
+        split AS (
+            SELECT lang, phrase, f AS a, m, string_split(phrase, ' ') AS w,
+                   unnest(range(1, m)) AS k
+            FROM grams WHERE m >= 2),
+        scored AS (
+            SELECT s.lang, s.phrase, s.a, s.k, x.f AS l, y.f AS r, n,
+                   (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+            FROM split s
+            JOIN grams x ON x.lang = s.lang AND x.phrase = array_to_string(s.w[1:k], ' ')
+            JOIN grams y ON y.lang = s.lang AND y.phrase = array_to_string(s.w[k + 1:s.m], ' ')
+            JOIN sizes z ON z.lang = s.lang),
+        lowest AS (
+            SELECT * FROM scored
+            QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        longer AS (
+            SELECT lang, array_to_string(w[b:b + size - 1], ' ') AS phrase, max(f) AS most
+            FROM (SELECT lang, f, m, w, size, unnest(range(1, m - size + 2)) AS b
+                  FROM (SELECT lang, f, m, string_split(phrase, ' ') AS w, unnest(range(2, m)) AS size
+                        FROM grams WHERE m >= 3))
+            GROUP BY ALL),
+        kept AS (
+            SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase)
+            WHERE most IS NULL OR 100 * most < 100 * a),
+        ranked AS (
+            SELECT *, row_number() OVER (
+                PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
 }
