@@ -61,10 +61,11 @@ def sturm_counts(diagonal: np.ndarray, second: np.ndarray, at: np.ndarray) -> np
     tiny = np.finfo(float).tiny * 4
     least = max(float(np.abs(second).max(initial=0)) ** 2 * np.finfo(float).eps ** 2, tiny)
     pivot = diagonal[0] - at
-    below = (pivot < 0).astype(int)
-    for i in range(1, len(diagonal)):
-        pivot = np.where(np.abs(pivot) < least, -least, pivot)
-        pivot = diagonal[i] - at - second[i - 1] ** 2 / pivot
+    below = np.zeros(np.shape(at), int)
+    for i in range(len(diagonal)):
+        if i:
+            pivot = diagonal[i] - at - second[i - 1] ** 2 / pivot
+        pivot = np.where(np.abs(pivot) < least, -least, pivot)  # an eigenvalue of a part counts as below
         below += pivot < 0
     return below
 
@@ -172,7 +173,7 @@ def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and whole numbers, one line a vector, of the vectors of ``size`` dimensions that take part."""
     rows, lengths, flat = whole(column)
     fits = lengths == size
-    return rows[fits], flat[np.repeat(fits, lengths)].reshape(-1, size)
+    return rows[fits], flat[np.repeat(fits, lengths)].reshape(int(fits.sum()), size)
 
 
 @dataclass
@@ -261,7 +262,7 @@ def fit(vectors: DataFrame, vector_column: str = "embedding", most: int = MOST)
         for batch in batches:
             _, lengths, flat = whole(batch["vector"])
             for size in np.unique(lengths).tolist():
-                numbers = flat[np.repeat(lengths == size, lengths)].reshape(-1, size)
+                numbers = flat[np.repeat(lengths == size, lengths)].reshape(int((lengths == size).sum()), size)
                 own = sums.setdefault(size, [0, [0] * size])
                 own[0] += int((lengths == size).sum())
                 high, low = (numbers >> 32).sum(axis=0).tolist(), (numbers & 0xFFFFFFFF).sum(axis=0).tolist()

@@ -193,14 +193,31 @@ def test_subwords_equal_the_library(spark, docs, texts):
     odd = ["".join(rng.choice("aabinngg ▁\n\té日ﬁ\x00😀the") for _ in range(rng.randrange(60))) for _ in range(400)]
     coder = subword.Coder(path)
     for some in (odd, [t or "" for t in texts], [" " * 300 + "a" * 3000, "▁▁ x"]):
-        for text, (n, names, back) in zip(some, coder.texts([t.encode() for t in some]), strict=True):
+        all_ids, begin, spelled = coder.texts([t.encode() for t in some])
+        for i, (text, (names, back)) in enumerate(zip(some, spelled, strict=True)):
             ids = library.encode(text)
-            assert (n, names.decode(), back.decode()) == (len(ids), ",".join(map(str, ids)), library.decode(ids))
+            assert all_ids[begin[i]:begin[i + 1]].tolist() == ids
+            assert (names.decode(), back.decode()) == (",".join(map(str, ids)), library.decode(ids))
             assert coder.model.decode(ids).decode() == library.decode(ids)
     rows = subword.encoded(docs, path, with_ids=True).collect()
     assert len(rows) == docs.count()
     assert all(r.ids == library.encode(texts[6 if r.doc_id is None else r.doc_id] or "") for r in rows)
     assert subword.encoded(empty(spark), path).count() == 0
+    assert subword.encoded(docs, path, with_text=False).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_kept_segments_are_bounded(monkeypatch):
+    """Segments that no longer fit are learnt anew, with the same ids."""
+    path = queries.tokenizer("piece_bpe_32k.model")
+    monkeypatch.setattr(subword, "CACHED", 40 * subword.ENTRY)
+    coder, free = subword.Coder(path), subword.Coder(path)
+    for seed in range(6):
+        some = [prose(seed, 30).encode()]
+        ids, _, spelled = coder.texts(some)
+        monkeypatch.setattr(subword, "CACHED", 1 << 30)
+        want, _, named = free.texts(some)
+        monkeypatch.setattr(subword, "CACHED", 40 * subword.ENTRY)
+        assert ids.tolist() == want.tolist() and list(spelled) == list(named) and len(coder.known) <= 60
 
 
 def test_token_files_equal_the_library(spark, unique, docs, texts):
