@@ -36,7 +36,7 @@ NO_LANGUAGE = "und"
 BITS = 25  # places of the tables of frequent parts
 HOT = 1 << 20  # occurrences of a prefix from which on its stripe is cut into segments
 SEGMENTS = 256
-SLICE = 1 << 24  # bytes of text that a task counts at once
+SLICE = 1 << 22  # bytes of text that a task counts at once
 
 # A word ends at a space, a tab, or a mark that ends the piece.
 BREAK = np.zeros(256, bool)
