@@ -69,7 +69,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode and decode what is left: ids, their digests and the decoded text's."""
-    return subword.encoded(docs, tokenizer("piece_bpe_32k.model"), with_ids=True).drop("decoded")
+    return subword.encoded(docs, tokenizer("piece_bpe_32k.model"), with_ids=True, with_text=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

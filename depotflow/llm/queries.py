@@ -55,8 +55,7 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_subword_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subword.encoded(table(spark, sf_dir, "documents"),
-                           tokenizer("piece_bpe_32k.model")).drop("decoded")
+    return subword.encoded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_text=False)
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ refused.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -27,7 +28,8 @@ from depotflow.llm.text import MIX, encode, gather, slices
 
 SPACE = "▁"  # the model's sign for a space
 NONE = np.int32(2**31 - 1)
-CACHED = 600_000  # distinct segments a task keeps between slices
+CACHED = 48 << 20  # bytes that the distinct segments kept between slices may take
+ENTRY = 150  # bytes that a kept segment takes besides its own
 
 
 class PieceModel:
@@ -90,9 +92,12 @@ class PieceModel:
         for char, i in self.chars.items():
             if ord(char) < 1 << 16:
                 self.low[ord(char)] = i
-        self.spelled = [b"%d," % i for i in range(size)]
-        self.digits = np.array([len(s) for s in self.spelled], np.int64)
+        spelled = [b"%d," % i for i in range(size)]
+        self.digits = np.array([len(s) for s in spelled], np.int64)
         self.widths = np.array([len(b) for b in self.bytes], np.int64)
+        self.names, self.spoken = Pool(), Pool()
+        self.names.add(np.frombuffer(b"".join(spelled), np.uint8), self.digits)
+        self.spoken.add(np.frombuffer(b"".join(self.bytes), np.uint8), self.widths)
 
     def _index(self, keys: np.ndarray) -> None:
         """Place the pairs in a table by hash, each in the next free slot from its own."""
@@ -261,78 +266,85 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 class Pool:
-    """Byte strings one after the other, to be joined by place."""
+    """Rows of bytes or ids one after the other, to be joined by place."""
 
-    def __init__(self):
-        self.data, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    def __init__(self, kind: type = np.uint8):
+        self.data, self.ends = np.zeros(0, kind), np.zeros(1, np.int64)
 
-    def add(self, joined: bytes, lengths: np.ndarray) -> None:
-        self.data = np.concatenate((self.data, np.frombuffer(joined, np.uint8)))
+    def add(self, joined: np.ndarray, lengths: np.ndarray) -> None:
+        self.data = np.concatenate((self.data, joined))
         self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(lengths)))
 
     def join(self, places: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The strings at ``places``, joined, and where each row of them begins."""
+        """The rows at ``places``, joined, and where each text's part of them begins."""
         lengths = self.ends[places + 1] - self.ends[places]
         sums = np.concatenate(([0], np.cumsum(lengths)))
         return self.data[gather(self.ends[places], lengths)], sums[rows]
 
 
+@functools.lru_cache(maxsize=1)
+def loaded(path: str) -> PieceModel:
+    """The tables of a model, made once in a worker."""
+    return PieceModel(path)
+
+
 class Coder:
     """Encodes texts in a task; keeps the last distinct segments between slices."""
 
     def __init__(self, path: str):
-        self.model = PieceModel(path)
+        self.model = loaded(path)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.names, self.decoded = Pool(), Pool()
-        self.counts = np.zeros(0, np.int64)
+        self.taken = 0
+        self.ids, self.names, self.decoded = Pool(np.int32), Pool(), Pool()
 
     def learn(self, values: list[bytes]) -> None:
         missing = [v for v in values if v not in self.known]
         if not missing:
             return
-        if len(self.known) + len(missing) > CACHED:
+        if self.taken + sum(map(len, missing)) + ENTRY * len(missing) > CACHED:
             self.clear()
             missing = values
+        self.taken += sum(map(len, missing)) + ENTRY * len(missing)
         model, n = self.model, len(missing)
         ids, counts = model.encode_segments(missing)
-        owner, listed = np.repeat(np.arange(n), counts), ids.tolist()
-        self.names.add(b"".join([model.spelled[i] for i in listed]),
+        owner = np.repeat(np.arange(n), counts)
+        self.ids.add(ids.astype(np.int32), counts)
+        self.names.add(*model.names.join(ids, np.arange(len(ids) + 1))[:1],
                        np.bincount(owner, model.digits[ids], n).astype(np.int64))
-        self.decoded.add(b"".join([model.bytes[i] for i in listed]),
+        self.decoded.add(*model.spoken.join(ids, np.arange(len(ids) + 1))[:1],
                          np.bincount(owner, model.widths[ids], n).astype(np.int64))
-        self.counts = np.concatenate((self.counts, counts))
         first = len(self.known)
         self.known.update(zip(missing, range(first, first + n), strict=True))
 
-    def texts(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
-        """Of each text: number of ids, ids as decimals joined by commas, decoded bytes."""
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[bytes, bytes]]]:
+        """All ids, where each text's begin, and of each text its ids as decimals joined by commas and its decoded bytes."""
         codes, distinct, rows = segments([t.replace(SPACE.encode(), b" ") for t in texts])
         values = distinct.to_pylist()
         self.learn(values)
         places = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))[codes]
-        counts = np.concatenate(([0], np.cumsum(self.counts[places])))[rows]
+        ids, id_rows = self.ids.join(places, rows)
         names, name_rows = self.names.join(places, rows)
         decoded, decoded_rows = self.decoded.join(places, rows)
-        for i, n in enumerate(np.diff(counts).tolist()):
-            # Every name ends in a comma, and every text begins with the dummy space.
-            yield (n, names[name_rows[i]:max(name_rows[i + 1] - 1, name_rows[i])].tobytes(),
-                   decoded[decoded_rows[i] + 1:decoded_rows[i + 1]].tobytes())
+        # Every name ends in a comma, and every text begins with the dummy space.
+        return ids, id_rows, (
+            (names[name_rows[i]:max(name_rows[i + 1] - 1, name_rows[i])].tobytes(),
+             decoded[decoded_rows[i] + 1:decoded_rows[i + 1]].tobytes()) for i in range(len(texts)))
 
 
 def encoded(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text",
-            with_ids: bool = False) -> DataFrame:
+            with_ids: bool = False, with_text: bool = True) -> DataFrame:
     """Encode and decode every whole text; one row per input row.
 
-    Returns the id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and ``decoded`` (the decoded
-    text), with ``with_ids`` also ``ids``. A null text counts as empty, so it has no ids. Rows
+    Returns the id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, with ``with_text`` also ``decoded`` (the
+    decoded text), with ``with_ids`` also ``ids``. A null text counts as empty, so it has no ids. Rows
     may repeat; further columns are left out. ``model`` is the path of the model file on
     the executors.
     """
-    fields = ("doc_id: {t}, n_tokens: long, ids_sha256: string, decoded_sha256: string, "
-              "decoded: string" + (", ids: array<int>" if with_ids else ""))
+    fields = ("doc_id: {t}, n_tokens: long, ids_sha256: string, decoded_sha256: string"
+              + (", decoded: string" if with_text else "") + (", ids: array<int>" if with_ids else ""))
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     schema = fields.format(t=rows.schema["doc_id"].dataType.simpleString())
 
@@ -340,15 +352,18 @@ def encoded(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
         coder = Coder(model)
         for batch in batches:
             for part in slices(batch, "text"):
-                results = list(coder.texts([t.encode() if t else b"" for t in part["text"].to_pylist()]))
-                columns = [part["doc_id"], pa.array([r[0] for r in results], pa.int64()),
-                           pa.array([hashlib.sha256(r[1]).hexdigest() for r in results]),
-                           pa.array([hashlib.sha256(r[2]).hexdigest() for r in results]),
-                           pa.array([r[2].decode() for r in results])]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"]
+                ids, begin, texts = coder.texts([t.encode() if t else b"" for t in part["text"].to_pylist()])
+                named, spoken, decoded = [], [], []
+                for name, text in texts:
+                    named.append(hashlib.sha256(name).hexdigest()), spoken.append(hashlib.sha256(text).hexdigest())
+                    if with_text:
+                        decoded.append(text.decode())
+                columns = [part["doc_id"], pa.array(np.diff(begin)), pa.array(named), pa.array(spoken)]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_text:
+                    columns.append(pa.array(decoded)), names.append("decoded")
                 if with_ids:
-                    columns.append(pa.array([[int(i) for i in r[1].split(b",")] if r[1] else []
-                                             for r in results], pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
