@@ -234,6 +234,77 @@ register("confirm_grn_receipts", lambda w: confirm_all(w).changed["goods_receipt
         THEN 'Confirmed' ELSE status END AS status, notes, received_at FROM goods_receipts""",
          CONFIRM_SQL)
 
+# Several receipts of an order compete for what is open on it, and some ask again.
+
+
+def competing(w: StarWarehouse) -> After:
+    """Each draft receipt comes in four times, with other shares of its lines."""
+    copy = F.explode(F.sequence(F.lit(1), F.lit(4))).alias("copy")
+    drafts = w["goods_receipts"].filter("status = 'Draft'")
+    receipts = drafts.select("*", copy).withColumn("grn_id", F.col("grn_id") * 8 + F.col("copy")).drop("copy")
+    lines = (w["goods_receipt_lines"].join(drafts, "grn_id", "left_semi").select("*", copy)
+             .filter("(item_id + copy) % 3 <> 0")
+             .selectExpr("grn_line_id * 8 + copy AS grn_line_id", "grn_id * 8 + copy AS grn_id", "item_id",
+                         "CAST(received_quantity * (copy * 3 % 4 + 2) / 4 AS DECIMAL(12,2)) AS received_quantity"))
+    return After(w, {"goods_receipts": receipts, "goods_receipt_lines": lines})
+
+
+def confirm_competing(w: StarWarehouse, times: int) -> Result:
+    """The copies in the order of their number, all of them ``times`` times."""
+    tables = competing(w)
+    asked = tables["goods_receipts"].select("grn_id", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("nth"))
+    return procurement.confirm_grn(tables, asked.select(
+        F.expr("(nth * 8L + grn_id % 8) * 1000000000000L + grn_id").alias("req_seq"), "grn_id"), AS_OF)
+
+
+def _competing_sql(times: int) -> dict[str, str]:
+    """One order after the other: a step per request, which holds what is open of each item and what is confirmed."""
+    return {
+        "copies": f"""
+            SELECT po_id, grn_id * 8 + copy AS grn_id, (nth * 8 + copy) * 1000000000000 + grn_id * 8 + copy AS req_seq,
+                row_number() OVER (PARTITION BY po_id ORDER BY nth, copy, grn_id) AS nr
+            FROM (SELECT *, unnest([1, 2, 3, 4]) AS copy FROM goods_receipts WHERE status = 'Draft')
+            CROSS JOIN (SELECT unnest(range({times})) AS nth)""",
+        "copied_lines": """
+            SELECT c.grn_id * 8 + copy AS grn_id, item_id, grn_line_id,
+                CAST(received_quantity * (copy * 3 % 4 + 2) / 4 AS DECIMAL(12,2)) AS need
+            FROM (SELECT l.*, unnest([1, 2, 3, 4]) AS copy FROM goods_receipt_lines l
+                JOIN goods_receipts g ON g.grn_id = l.grn_id WHERE g.status = 'Draft') c
+            WHERE (item_id + copy) % 3 <> 0""",
+        "wanted": """MATERIALIZED
+            SELECT c.po_id, c.nr, c.req_seq, c.grn_id,
+                list(l.item_id ORDER BY l.grn_line_id) FILTER (l.item_id IS NOT NULL) AS items,
+                list(l.need ORDER BY l.grn_line_id) FILTER (l.item_id IS NOT NULL) AS needs,
+                bool_or(l.item_id IS NOT NULL AND p.item_id IS NULL) AS unmatched
+            FROM copies c LEFT JOIN copied_lines l ON l.grn_id = c.grn_id
+            LEFT JOIN purchase_order_lines p ON p.po_id = c.po_id AND p.item_id = l.item_id
+            GROUP BY ALL""",
+        "turns": """
+            SELECT po_id, 0::BIGINT AS nr, 0::BIGINT AS req_seq, 0::BIGINT AS grn_id, FALSE AS unmatched,
+                list(item_id ORDER BY item_id) AS kinds, list(pending_quantity ORDER BY item_id) AS open,
+                []::BIGINT[] AS done, ''::VARCHAR AS outcome, NULL::BIGINT AS item
+            FROM purchase_order_lines GROUP BY po_id
+            UNION ALL
+            SELECT po_id, nr, req_seq, grn_id, unmatched, kinds,
+                CASE WHEN outcome = 'accepted' THEN [open[i] - coalesce(needs[list_position(items, kinds[i])], 0)
+                    FOR i IN range(1, len(kinds) + 1)] ELSE open END,
+                CASE WHEN outcome = 'accepted' THEN list_append(done, grn_id) ELSE done END, outcome,
+                CASE WHEN outcome = 'rejected' THEN items[short[1]] END
+            FROM (SELECT *, CASE WHEN list_contains(done, grn_id) THEN 'unchanged'
+                    WHEN len(short) > 0 THEN 'rejected' ELSE 'accepted' END AS outcome
+                FROM (SELECT t.po_id, w.nr, w.req_seq, w.grn_id, w.unmatched, t.kinds, t.open, t.done,
+                        w.items, w.needs,
+                        [i FOR i IN range(1, coalesce(len(w.items), 0) + 1)
+                            IF w.needs[i] > t.open[list_position(t.kinds, w.items[i])]] AS short
+                    FROM turns t JOIN wanted w ON w.po_id = t.po_id AND w.nr = t.nr + 1))""",
+    }
+
+
+for _name, _times in (("confirm_grn_contended", 1), ("confirm_grn_twice", 2)):
+    register(_name, lambda w, times=_times: confirm_competing(w, times).outcome, """
+        SELECT req_seq, grn_id, outcome, 'GRN exceeds PO quantity for item_id ' || item AS reason, unmatched
+        FROM turns WHERE nr > 0""", _competing_sql(_times))
+
 register("cancel_po", lambda w: cancel_orders(w).outcome, """
     SELECT q.req_seq, q.po_id,
         CASE WHEN q.status = 'Pending' AND nr = 1 THEN 'accepted' ELSE 'rejected' END AS outcome,
@@ -465,6 +536,54 @@ register("dispatch_dc_challans", lambda w: dispatch_all(w).changed["delivery_cha
         FROM delivery_challans)""", DISPATCH_SQL)
 
 
+def dispatch_short(w: StarWarehouse) -> Result:
+    """All challans where of some items less than reserved, or nothing, is left, so that orders compete for them."""
+    left = F.expr("CAST(reserved_quantity * CASE item_id % 20 WHEN 0 THEN 0 WHEN 1 THEN 0.3BD WHEN 2 THEN 0.6BD "
+                  "ELSE 1 END AS DECIMAL(12,2))")
+    return sales.dispatch_dc(
+        After(w, {"stock_balance": w["stock_balance"].withColumn("reserved_quantity", left)}), _all_challans(w), AS_OF)
+
+
+# An item is at stake if it has something but not enough for all challans that can pass; one step a challan
+# with such an item holds what is left of these.
+SHORT_SQL = DISPATCH_SQL | {
+    "held": """
+        SELECT item_id, CAST(reserved_quantity * CASE item_id % 20 WHEN 0 THEN 0 WHEN 1 THEN 0.3 WHEN 2 THEN 0.6
+            ELSE 1 END AS DECIMAL(12,2)) AS held FROM stock_balance""",
+    "fixed": "SELECT l.*, h.held, l.over OR l.qty > h.held AS fails FROM open_lines l JOIN held h ON h.item_id = l.item_id",
+    "places": """
+        SELECT item_id, any_value(held) AS held, row_number() OVER (ORDER BY item_id) AS place FROM fixed
+        WHERE dc_id NOT IN (SELECT dc_id FROM fixed WHERE fails) GROUP BY item_id HAVING sum(qty) > any_value(held)""",
+    "wanted": """MATERIALIZED
+        SELECT l.dc_id, row_number() OVER (ORDER BY l.dc_id) AS nr,
+            list(p.place ORDER BY l.dc_line_id) AS places, list(l.qty ORDER BY l.dc_line_id) AS needs,
+            list(l.fails ORDER BY l.dc_line_id) AS fails, list(l.over ORDER BY l.dc_line_id) AS overs,
+            list(l.item_id ORDER BY l.dc_line_id) AS items
+        FROM fixed l LEFT JOIN places p ON p.item_id = l.item_id
+        GROUP BY l.dc_id HAVING count(p.place) > 0 OR bool_or(l.fails)""",
+    "turns": """
+        SELECT 0::BIGINT AS nr, 0::BIGINT AS dc_id, list(held ORDER BY place) AS held, NULL::BIGINT AS item, FALSE AS over
+        FROM places
+        UNION ALL
+        SELECT nr, dc_id, CASE WHEN len(short) > 0 THEN held ELSE [held[i] - coalesce(
+                needs[list_position(places, i)], 0) FOR i IN range(1, len(held) + 1)] END,
+            items[short[1]], overs[short[1]]
+        FROM (SELECT w.*, t.held, [i FOR i IN range(1, len(w.needs) + 1)
+                IF w.fails[i] OR w.needs[i] > t.held[w.places[i]]] AS short
+            FROM turns t JOIN wanted w ON w.nr = t.nr + 1)""",
+}
+register("dispatch_dc_short", lambda w: dispatch_short(w).outcome, """
+    SELECT d.dc_id AS req_seq, d.dc_id,
+        CASE WHEN d.status = 'Dispatched' THEN 'unchanged' WHEN t.item IS NULL THEN 'accepted' ELSE 'rejected' END
+            AS outcome,
+        CASE WHEN t.over THEN 'Shipment exceeds Sales Order quantity for item_id ' || t.item
+            ELSE 'reserved quantity of item_id ' || t.item || ' would fall below zero' END AS reason,
+        coalesce(u.unmatched, FALSE) AS unmatched, d.status = 'Delivered' AS was_delivered
+    FROM delivery_challans d LEFT JOIN turns t ON t.dc_id = d.dc_id
+    LEFT JOIN (SELECT dc_id, bool_or(unmatched) AS unmatched FROM open_lines GROUP BY dc_id) u
+        ON u.dc_id = d.dc_id""", SHORT_SQL)
+
+
 def deliver_all(w: StarWarehouse) -> Result:
     return sales.deliver_dc(w, _all_challans(w), AS_OF)
 
@@ -681,3 +800,57 @@ register("replay", replay_all, f"""
         CASE WHEN bool_or(touched) THEN {SQL_AS_OF} ELSE TIMESTAMP '{LOADED_AT}' END
             AS last_updated
     FROM steps GROUP BY item_id""", REPLAY_SQL)
+
+
+def sell_each(w: StarWarehouse) -> tuple:
+    """Every packed order sold again as a scenario of its own, some by unknown users or without a quantity."""
+    packed = w["sales_orders"].filter("status = 'Packed'")
+    lines = w["sales_order_lines"].join(packed, "so_id", "left_semi")
+    return replay.sell_each(
+        w, packed.select(F.col("so_id").alias("req_seq"), "customer_id",
+                         F.expr("IF(so_id % 19 = 0, 99L, created_by)").alias("created_by")),
+        lines.select(F.col("so_line_id").alias("req_seq"), F.col("so_id").alias("order_seq"), "item_id",
+                     F.expr("ordered_quantity * IF(so_line_id % 23 = 0, 0, 1)").alias("quantity"), "unit_price"), AS_OF)
+
+
+# As for the challans: items at stake only, and a step for each scenario that has one or a fault of its own.
+EACH_SQL = {
+    "resold": """
+        SELECT o.so_id, l.so_line_id, l.item_id, o.so_id % 19 = 0 AS stranger, b.available_quantity AS free,
+            CASE WHEN l.so_line_id % 23 = 0 THEN 0 ELSE l.ordered_quantity END AS need
+        FROM sales_orders o JOIN sales_order_lines l ON l.so_id = o.so_id
+        JOIN stock_balance b ON b.item_id = l.item_id WHERE o.status = 'Packed'""",
+    "places": """
+        SELECT item_id, any_value(free) AS free, row_number() OVER (ORDER BY item_id) AS place FROM resold
+        GROUP BY item_id HAVING sum(need) > any_value(free)""",
+    "wanted": """MATERIALIZED
+        SELECT l.so_id, row_number() OVER (ORDER BY l.so_id) AS nr, any_value(l.stranger) AS stranger,
+            list(p.place ORDER BY l.so_line_id) AS places, list(l.item_id ORDER BY l.so_line_id) AS items,
+            list(l.need ORDER BY l.so_line_id) AS needs
+        FROM resold l LEFT JOIN places p ON p.item_id = l.item_id GROUP BY l.so_id""",
+    "turns": """
+        SELECT 0::BIGINT AS nr, 0::BIGINT AS so_id, FALSE AS stranger, list(free ORDER BY place) AS free,
+            NULL::BIGINT AS item, CAST(0 AS DECIMAL(12,2)) AS need, CAST(0 AS DECIMAL(12,2)) AS there
+        FROM places
+        UNION ALL
+        SELECT nr, so_id, stranger, CASE WHEN stranger OR len(short) > 0 THEN free ELSE [free[i] - coalesce(
+                needs[list_position(places, i)], 0) FOR i IN range(1, len(free) + 1)] END,
+            items[short[1]], needs[short[1]], free[places[short[1]]]
+        FROM (SELECT w.*, t.free, [i FOR i IN range(1, len(w.needs) + 1)
+                IF w.needs[i] = 0 OR w.needs[i] > t.free[w.places[i]]] AS short
+            FROM turns t JOIN wanted w ON w.nr = t.nr + 1)""",
+}
+register("replay_each", lambda w: sell_each(w)[1], """
+    SELECT so_id AS order_seq, CASE WHEN stranger OR item IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS outcome,
+        CASE WHEN stranger THEN 'create' WHEN item IS NOT NULL THEN 'reserve' END AS step,
+        CASE WHEN stranger THEN 'foreign_key created_by' WHEN need = 0 THEN 'check_range ordered_quantity'
+            WHEN item IS NOT NULL THEN 'Insufficient stock for item_id ' || item || '. Available: ' || there
+                || ', Requested: ' || need END AS reason
+    FROM turns WHERE nr > 0""", EACH_SQL)
+register("replay_each_stock", lambda w: sell_each(w)[0]["stock_balance"], f"""
+    SELECT b.item_id, CAST(b.available_quantity - coalesce(s.qty, 0) AS DECIMAL(12,2)) AS available_quantity,
+        b.reserved_quantity, CASE WHEN s.qty IS NULL THEN b.last_updated ELSE {SQL_AS_OF} END AS last_updated
+    FROM stock_balance b LEFT JOIN (
+        SELECT l.item_id, sum(l.ordered_quantity) AS qty FROM sales_order_lines l
+        JOIN turns t ON t.so_id = l.so_id WHERE t.nr > 0 AND NOT t.stranger AND t.item IS NULL
+        GROUP BY l.item_id) s ON s.item_id = b.item_id""", EACH_SQL)

@@ -10,13 +10,14 @@ from depotflow.catalog.registry import register
 from depotflow.catalog.star_sql import AS_OF as SQL_AS_OF
 from depotflow.functions.columns import stamp
 from depotflow.plans import masters
+from depotflow.operators.changes import FLAG, UPDATE
 from depotflow.session import fresh_path
 from depotflow.sources.copytext import read_copy_text, write_copy_text
 from depotflow.sources.jsonrows import write_json
 from depotflow.sources.snapshots import SnapshotStore
 from depotflow.sources.star import AS_OF, LOADED_AT, StarWarehouse
 from depotflow.streaming import ledger, transitions
-from depotflow.streaming.feed import run_in_slices, stream_table
+from depotflow.streaming.feed import ordered_stream, stream_table
 from depotflow.streaming.receipts import confirm_stream
 
 # --- sources and sinks ---------------------------------------------------------
@@ -64,7 +65,9 @@ def _stored_suppliers(w: StarWarehouse) -> DataFrame:
     store.commit({"suppliers": w["suppliers"]})
     indebted = w.raw("supplier").filter("s_acctbal < 0").select(
         F.col("s_suppkey").alias("supplier_id"))
-    store.commit({"suppliers": masters.deactivate(store.tables(), "suppliers", indebted)})
+    tables = store.tables()
+    off = masters.deactivate(tables, "suppliers", indebted, "inner").withColumn(FLAG, F.lit(UPDATE))
+    store.commit(changes={"suppliers": off}, since=tables)
     return store.tables()["suppliers"]
 
 
@@ -104,7 +107,7 @@ LEDGER_SQL = {
 
 
 def ledger_rows(w: StarWarehouse) -> DataFrame:
-    return stream_table(w.raw("events"), "user_id", "event_id",
+    return stream_table(w.raw("events"), "event_id",
                         lambda s: ledger.stock_ledger(ledger.movements(s)))
 
 
@@ -112,7 +115,7 @@ register("stock_ledger_stream", ledger_rows, """
     SELECT item_id, event_id, kind, quantity, accepted, available AS available_quantity,
         reserved AS reserved_quantity FROM steps WHERE nr > 0""", LEDGER_SQL)
 register("low_stock_stream", lambda w: stream_table(
-    w.raw("events"), "user_id", "event_id",
+    w.raw("events"), "event_id",
     lambda s: ledger.low_stock(ledger.stock_ledger(ledger.movements(s)), w)), """
     SELECT s.item_id, s.event_id, i.item_name, s.available AS available_quantity,
         i.reorder_level, CAST(i.reorder_level - s.available AS DECIMAL(12,2))
@@ -121,7 +124,7 @@ register("low_stock_stream", lambda w: stream_table(
     WHERE s.nr > 0 AND s.accepted AND i.is_active AND s.available <= i.reorder_level""",
          LEDGER_SQL)
 register("init_stock_stream",
-         lambda w: stream_table(w.raw("events"), "user_id", "event_id", ledger.init_stock), """
+         lambda w: stream_table(w.raw("events"), "event_id", ledger.init_stock), """
     SELECT DISTINCT user_id AS item_id, CAST(0 AS DECIMAL(12,2)) AS available_quantity,
         CAST(0 AS DECIMAL(12,2)) AS reserved_quantity FROM events""")
 
@@ -129,9 +132,9 @@ TRANSITION_SQL = """
     SELECT user_id AS document, event_id, old_status, event_type AS new_status
     FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old_status
         FROM events) WHERE old_status <> event_type"""
-register("status_transitions_stream", lambda w: stream_table(
-    w.raw("events"), "user_id", "event_id",
-    lambda s: transitions.status_transitions_stream(transitions.statuses(s))), TRANSITION_SQL)
+register("status_transitions_stream", lambda w: transitions.transitions_stream(
+    ordered_stream(transitions.statuses(w.raw("events")), "event_id"),
+    fresh_path(w.spark, "statuses"), fresh_path(w.spark, "stream")), TRANSITION_SQL)
 register("status_transitions",
          lambda w: transitions.status_transitions(transitions.statuses(w.raw("events"))),
          TRANSITION_SQL)
@@ -144,8 +147,7 @@ def streamed_confirmation(w: StarWarehouse) -> SnapshotStore:
     store.commit({t: w[t] for t in ("goods_receipts", "goods_receipt_lines", "purchase_orders",
                                     "purchase_order_lines", "stock_balance")})
     requests = store.tables()["goods_receipts"].select(F.col("grn_id").alias("req_seq"), "grn_id")
-    run_in_slices(requests, "grn_id", "req_seq", lambda s: s,
-                  lambda s, c: confirm_stream(s, root, c, AS_OF))
+    confirm_stream(ordered_stream(requests, "req_seq"), root, fresh_path(w.spark, "stream"), AS_OF)
     return store
 
 

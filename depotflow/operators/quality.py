@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotflow.functions.columns import LINE_PARTS, is_falsy
+from depotflow.operators.changes import Edit, Edits
 from depotflow.schemas import MODEL, MONEY, QTY, Table
 
 Tables = Mapping[str, DataFrame]
@@ -154,7 +155,7 @@ def orphan_flags(tables: Tables, df: DataFrame, table: str) -> DataFrame:
     return df.withColumn("orphan", orphan).drop(*[f"_has_{i}" for i, _ in flags])
 
 
-def cascade_delete(tables: Tables, table: str, keys: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+def cascade_delete(tables: Tables, table: str, keys: DataFrame) -> tuple[Edits, DataFrame]:
     """Delete rows of ``table`` by key, each key on its own.
 
     A key is blocked while a row of a table without cascade points to it. Returns
@@ -183,12 +184,13 @@ def cascade_delete(tables: Tables, table: str, keys: DataFrame) -> tuple[dict[st
         .when(F.col("blocked_by").isNotNull(), "blocked").otherwise("deleted").alias("outcome"),
         F.when(F.col("known"), F.col("blocked_by")).alias("blocked_by"))
     gone = outcome.filter("outcome = 'deleted'").select(F.col(key).alias("gone"))
-    changed = {table: tables[table].join(gone, F.col(key) == F.col("gone"), "left_anti")}
-    for child, reference in children:
-        if reference.cascade:
-            rows = tables[child]
-            changed[child] = rows.join(gone, rows[reference.column] == gone["gone"], "left_anti")
-    return changed, outcome
+
+    def without(name: str, column: str) -> Edit:
+        return Edit(left=lambda how: tables[name].join(
+            gone.withColumnRenamed("gone", column), column, how).select(*MODEL[name].names))
+
+    return Edits(tables, **{table: without(table, key)}, **{
+        child: without(child, r.column) for child, r in children if r.cascade}), outcome
 
 
 # --- fixed values: fields a request must give, with a value that is not empty ---

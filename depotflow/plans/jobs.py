@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotflow.functions.columns import stamp, with_generated
+from depotflow.operators.changes import Edits
 from depotflow.operators.quality import orphan_flags, row_reason, rows_for
 from depotflow.operators.running import ranked
 from depotflow.schemas import MODEL, QTY
@@ -46,9 +47,12 @@ class Changes(Mapping):
 
 
 class Result:
-    """Changed tables by name, and the outcome of each request."""
+    """Changed tables by name, and the outcome of each request.
 
-    def __init__(self, changed: Mapping[str, DataFrame],
+    ``changed`` has whole tables; ``changed.sets()`` has the rows that change, with a flag.
+    """
+
+    def __init__(self, changed: Edits,
                  outcome: DataFrame | Callable[[], DataFrame]) -> None:
         self.changed = changed
         self._outcome = outcome
@@ -102,25 +106,35 @@ def next_ids(rows: DataFrame, tables: Tables, table: str) -> DataFrame:
                                                      ).drop("_nr")
 
 
-def taken_ids(tables: Tables, rows: DataFrame, table: str) -> DataFrame:
-    """Refuse given ids that are missing, in the table, or those of an earlier accepted request."""
+def known_ids(tables: Tables, rows: DataFrame, table: str) -> DataFrame:
+    """Refuse given ids that are missing or in the table."""
     key = MODEL[table].key[0]
     used = rows_for(tables[table].select(key, F.lit(True).alias("_used")), rows, [key])
-    rows = rows.join(used, key, "left")
-    free = rows.filter(f"reject_reason IS NULL AND _used IS NULL AND {key} IS NOT NULL")
-    firsts = free.groupBy(key).agg(F.min("req_seq").alias("_first"))
     reason = (F.when(F.col(key).isNull(), F.lit(f"not_null {key}"))
-              .when(F.col("_used") | (F.col("req_seq") > F.col("_first")), F.lit(f"primary_key {key}")))
-    return rows.join(firsts, key, "left").withColumn(
-        "reject_reason", F.coalesce("reject_reason", reason)).drop("_used", "_first")
+              .when(F.col("_used"), F.lit(f"primary_key {key}")))
+    return rows.join(used, key, "left").withColumn(
+        "reject_reason", F.coalesce("reject_reason", reason)).drop("_used")
+
+
+def taken_ids(tables: Tables, rows: DataFrame, table: str) -> DataFrame:
+    """Refuse given ids that are missing, in the table, or those of an earlier accepted request."""
+    key = MODEL[table].key[0]
+    rows = durable(known_ids(tables, rows, table))
+    firsts = rows.filter("reject_reason IS NULL").groupBy(key).agg(F.min("req_seq").alias("_first"))
+    return rows.join(firsts, key, "left").withColumn("reject_reason", F.coalesce(
+        "reject_reason", F.when(F.col("req_seq") > F.col("_first"), F.lit(f"primary_key {key}")))).drop("_first")
+
+
+def turns_of(requests: DataFrame, first: DataFrame, key: str) -> DataFrame:
+    """When each document asks: ``doc``, its first request, and ``turn``, this one and each later one."""
+    return requests.select(key, F.col("req_seq").alias("turn")).join(first.select(key, "doc"), key).select("doc", "turn")
 
 
-def append(tables: Tables, table: str, rows: DataFrame) -> DataFrame:
-    """The table with new rows; generated columns are computed for them."""
-    names = MODEL[table].names
+def new_rows(table: str, rows: DataFrame) -> DataFrame:
+    """Rows as the table has them; generated columns are computed."""
     if any(c.generated for c in MODEL[table].columns):
         rows = with_generated(rows, table)
-    return tables[table].select(*names).unionByName(rows.select(*names))
+    return rows.select(*MODEL[table].names)
 
 
 def checked(tables: Tables, rows: DataFrame, table: str) -> DataFrame:
@@ -139,15 +153,16 @@ def is_free_pair(rows: DataFrame, tables: Tables, table: str, pair: tuple[str, .
         "pair_used", F.coalesce("pair_used", F.lit(False)))
 
 
-def move_stock(stock: DataFrame, moves: DataFrame, as_of: str) -> DataFrame:
+def move_stock(stock: DataFrame, moves: DataFrame, as_of: str, how: str = "left") -> DataFrame:
     """Add ``available`` and ``reserved`` sums to the balances and stamp touched rows.
 
     ``moves`` has ``item_id``, ``available`` and ``reserved``; moves of one item are
-    added up before they meet the balance, so a busy item is one row in the join.
+    added up before they meet the balance, so a busy item is one row in the join. ``how`` is the kind
+    of that join: "inner" gives the touched rows only.
     """
     sums = moves.groupBy("item_id").agg(
         F.sum("available").alias("_a"), F.sum("reserved").alias("_r"))
-    moved = stock.join(sums, "item_id", "left")
+    moved = stock.join(sums, "item_id", how)
     touched = F.col("_a").isNotNull()
     return moved.select(
         "item_id",

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from depotflow.functions.columns import is_falsy, with_defaults
 from depotflow.functions.messages import DUPLICATE, message
+from depotflow.operators.changes import Edit, Edits
 from depotflow.plans.jobs import (
-    ACCEPTED, REJECTED, UNCHANGED, Changes, Result, Tables, append, checked, decided, looked_up,
-    next_ids)
+    ACCEPTED, REJECTED, UNCHANGED, Result, Tables, checked, decided, looked_up, new_rows, next_ids)
 from depotflow.plans.lists import role_id_by_name
 from depotflow.schemas import MODEL, QTY
 from depotflow.session import durable
@@ -22,12 +22,15 @@ EDITED = {
 }
 
 
+def new_stock(tables: Tables, items: DataFrame, as_of: str) -> DataFrame:
+    """A zero row for each item that has no balance."""
+    new = items.select("item_id").distinct().join(tables["stock_balance"], "item_id", "left_anti")
+    return new_rows("stock_balance", with_defaults(new, "stock_balance", as_of))
+
+
 def init_stock(tables: Tables, items: DataFrame, as_of: str) -> DataFrame:
     """The balances with a zero row for each item that has none."""
-    stock = tables["stock_balance"]
-    new = items.select("item_id").distinct().join(stock, "item_id", "left_anti")
-    rows = with_defaults(new, "stock_balance", as_of).select(*MODEL["stock_balance"].names)
-    return stock.unionByName(rows)
+    return tables["stock_balance"].unionByName(new_stock(tables, items, as_of))
 
 
 def upsert_master(tables: Tables, table: str, requests: DataFrame, as_of: str) -> Result:
@@ -61,32 +64,31 @@ def upsert_master(tables: Tables, table: str, requests: DataFrame, as_of: str) -
     new = with_defaults(new, table, as_of, [n for n in MODEL[table].names if n != key])
     new = next_ids(new, tables, table)
 
-    def changed_rows() -> DataFrame:
+    def overwritten(how: str) -> DataFrame:
         last = (
             rows.filter("known AND reject_reason IS NULL")
             .groupBy("target").agg(F.max_by(F.struct(*fields), "req_seq").alias("_set"))
             .withColumnRenamed("target", key))
-        kept = tables[table].join(last, key, "left").withColumns({
+        return tables[table].join(last, key, how).withColumns({
             f: F.when(F.col("_set").isNotNull(), F.col(f"_set.{f}")).otherwise(F.col(f))
-            for f in fields}).drop("_set")
-        return append({table: kept}, table, new)
+            for f in fields}).select(*MODEL[table].names)
 
-    changed = {table: changed_rows}
+    changed = {table: Edit(overwritten, lambda: new_rows(table, new))}
     if table == "items":
-        changed["stock_balance"] = lambda: init_stock(tables, new, as_of)
+        changed["stock_balance"] = Edit(inserted=lambda: new_stock(tables, new, as_of))
     outcome = rows.join(new.select("req_seq", key), "req_seq", "left").select(
         "req_seq", F.coalesce(key, "target").alias(key),
         F.when(F.col("reject_reason").isNotNull(), REJECTED)
         .when(F.col("is_new") | F.col("known"), ACCEPTED).otherwise(UNCHANGED).alias("outcome"),
         F.col("reject_reason").alias("reason"))
-    return Result(Changes(**changed), outcome)
+    return Result(Edits(tables, **changed), outcome)
 
 
-def deactivate(tables: Tables, table: str, keys: DataFrame) -> DataFrame:
-    """The table with the rows of the asked keys switched off."""
+def deactivate(tables: Tables, table: str, keys: DataFrame, how: str = "left") -> DataFrame:
+    """The table with the rows of the asked keys switched off; with "inner" these rows only."""
     key = MODEL[table].key[0]
     asked = keys.select(key).distinct().withColumn("_off", F.lit(True))
-    return tables[table].join(asked, key, "left").withColumn(
+    return tables[table].join(asked, key, how).withColumn(
         "is_active", F.col("is_active") & F.col("_off").isNull()).select(*MODEL[table].names)
 
 
@@ -117,6 +119,6 @@ def assign_roles(tables: Tables, requests: DataFrame, as_of: str) -> Result:
     new = durable(next_ids(rows.filter("reject_reason IS NULL"), tables, "users"))
     outcome = decided(rows.join(new.select("req_seq", "user_id"), "req_seq", "left"),
                       "username", "user_id")
-    return Result(Changes(
-        users=lambda: append(tables, "users", new),
-        user_roles=lambda: append(tables, "user_roles", new)), outcome)
+    return Result(Edits(
+        tables, users=Edit(inserted=lambda: new_rows("users", new)),
+        user_roles=Edit(inserted=lambda: new_rows("user_roles", new))), outcome)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotflow.functions.columns import stamp, with_defaults, with_generated
 from depotflow.functions.messages import (
     DUPLICATE, OVER_RECEIPT, PO_NOT_CANCELLED, PO_UNKNOWN, message)
 from depotflow.operators.allocate import allocate
+from depotflow.operators.changes import Edit, Edits
 from depotflow.operators.quality import rows_for
 from depotflow.operators.running import SPAN
 from depotflow.plans.jobs import (
-    ACCEPTED, REJECTED, UNCHANGED, Changes, Result, Tables, append, checked, decided, first_requests,
-    is_free_pair, looked_up, move_stock, next_ids, stamped, taken_ids)
+    ACCEPTED, REJECTED, UNCHANGED, Result, Tables, checked, decided, first_requests,
+    is_free_pair, known_ids, looked_up, move_stock, new_rows, next_ids, stamped, taken_ids, turns_of)
 from depotflow.schemas import MODEL, QTY
 from depotflow.session import durable
 
@@ -33,7 +34,7 @@ def create_documents(tables: Tables, table: str, requests: DataFrame, as_of: str
         rows = durable(taken_ids(tables, rows, table))
     new = next_ids(rows.filter("reject_reason IS NULL"), tables, table)
     outcome = decided(rows.drop(key).join(new.select("req_seq", key), "req_seq", "left"), key)
-    return Result(Changes(**{table: lambda: append(tables, table, new)}), outcome)
+    return Result(Edits(tables, **{table: Edit(inserted=lambda: new_rows(table, new))}), outcome)
 
 
 # line table -> (header key, name of the quantity, name of the price)
@@ -59,26 +60,49 @@ def line_rows(requests: DataFrame, table: str) -> DataFrame:
     return rows
 
 
+def given_ids(tables: Tables, rows: DataFrame, table: str, pair: tuple[str, ...], duplicate: Column) -> DataFrame:
+    """Refuse lines whose given id or whose pair is taken at their turn.
+
+    An id and a pair are resources that serve one request each; a request needs both.
+    """
+    key = MODEL[table].key[0]
+    rows = durable(known_ids(tables, rows, table))
+    sound = rows.filter("reject_reason IS NULL")
+    one = F.lit(1).cast(QTY)
+    needs = durable(sound.select(F.col("req_seq").alias("doc"), one.alias("need"), one.alias("free"), F.explode(F.array(
+        F.struct(F.lit("id").alias("kind"), F.col(key).alias("x"), F.lit(0).cast("bigint").alias("y"), F.lit(0).alias("line_no")),
+        F.struct(F.lit("pair").alias("kind"), *[F.col(c).cast("bigint").alias(n) for c, n in zip(pair, "xy", strict=True)],
+                 F.lit(1).alias("line_no")))).alias("of")).select("doc", "need", "free", "of.*"))
+    queue = allocate(sound.select(F.col("req_seq").alias("doc")), needs, ["kind", "x", "y"])
+    late = queue.failed().select(F.col("doc").alias("req_seq"), F.col("kind").alias("_late"))
+    return rows.join(late, "req_seq", "left").withColumn("reject_reason", F.coalesce(
+        "reject_reason", F.when(F.col("_late") == "id", F.lit(f"primary_key {key}")).when(
+            F.col("_late") == "pair", duplicate))).drop("_late")
+
+
 def add_lines(tables: Tables, table: str, requests: DataFrame) -> Result:
     """New lines of purchase orders, receipts or challans.
 
     A (header, item) pair is taken by the first sound request. The status of the
-    header does not matter.
+    header does not matter. Ids are given by the caller or follow the highest one;
+    a request whose id is taken, by the table or by an earlier accepted request, is refused.
     """
     header, quantity, _ = LINE_FIELDS[table]
     pair = (header, "item_id")
     rows = checked(tables, line_rows(requests, table), table)
     rows = durable(is_free_pair(rows, tables, table, pair))
-    sound = rows.filter("reject_reason IS NULL AND NOT pair_used")
-    first = sound.groupBy(*pair).agg(F.min("req_seq").alias("first_seq"))
-    rows = rows.join(first, list(pair), "left").withColumn(
-        "reject_reason",
-        F.coalesce("reject_reason", F.when(
-            F.col("pair_used") | (F.col("req_seq") != F.col("first_seq")),
-            message(DUPLICATE, F.lit(f"{header}, item_id")))))
+    duplicate = message(DUPLICATE, F.lit(f"{header}, item_id"))
+    rows = rows.withColumn("reject_reason", F.coalesce("reject_reason", F.when(F.col("pair_used"), duplicate)))
+    if MODEL[table].key[0] in rows.columns:
+        rows = durable(given_ids(tables, rows, table, pair, duplicate))
+    else:
+        first = rows.filter("reject_reason IS NULL").groupBy(*pair).agg(F.min("req_seq").alias("first_seq"))
+        rows = rows.join(first, list(pair), "left").withColumn(
+            "reject_reason", F.coalesce("reject_reason", F.when(
+                F.col("req_seq") != F.col("first_seq"), duplicate)))
     new = next_ids(rows.filter("reject_reason IS NULL"), tables, table)
     outcome = decided(rows, header, "item_id")
-    return Result(Changes(**{table: lambda: append(tables, table, new)}), outcome)
+    return Result(Edits(tables, **{table: Edit(inserted=lambda: new_rows(table, new))}), outcome)
 
 
 def confirm_grn(tables: Tables, requests: DataFrame, as_of: str, span: int = SPAN) -> Result:
@@ -106,31 +130,30 @@ def confirm_grn(tables: Tables, requests: DataFrame, as_of: str, span: int = SPA
     done = todo.join(queue.verdicts.filter("accepted"), "doc").select("doc", "grn_id", "po_id")
     taken = lines.join(done.select("doc"), "doc", "left_semi")
 
-    def stock() -> DataFrame:
+    def stock(how: str) -> DataFrame:
         return move_stock(
             tables["stock_balance"],
             taken.select("item_id", F.col("need").alias("available"),
                          F.lit(0).cast(QTY).alias("reserved")),
-            as_of)
+            as_of, how)
 
-    def raised() -> DataFrame:
+    def raised(how: str, lines: DataFrame = order_lines) -> DataFrame:
         sums = taken.groupBy("po_id", "item_id").agg(F.sum("need").alias("_in"))
         return with_generated(
-            order_lines.join(sums, ["po_id", "item_id"], "left").withColumn(
+            lines.join(sums, ["po_id", "item_id"], how).withColumn(
                 "received_quantity",
                 (F.col("received_quantity") + F.coalesce("_in", F.lit(0))).cast(QTY)),
             "purchase_order_lines")
 
-    def orders() -> DataFrame:
+    def orders(how: str) -> DataFrame:
         touched = done.select("po_id").distinct()
-        complete = raised().select("po_id", "pending_quantity").join(
-            touched, "po_id", "left_semi").groupBy("po_id").agg(
+        complete = raised("left", rows_for(order_lines, done, ["po_id"])).groupBy("po_id").agg(
             F.bool_and(F.col("pending_quantity") == 0).alias("_complete"))
         # an order without lines has no verdict on completeness and counts as open
         state = touched.join(complete, "po_id", "left").select(
             "po_id", F.coalesce("_complete", F.lit(False)).alias("_complete"))
         hit = F.col("_complete").isNotNull()
-        return tables["purchase_orders"].join(state, "po_id", "left").select(
+        return tables["purchase_orders"].join(state, "po_id", how).select(
             "po_id", "supplier_id", "created_by",
             F.when(F.col("_complete"), "Completed").when(hit, "Partially_Received")
             .otherwise(F.col("status")).alias("status"),
@@ -138,28 +161,28 @@ def confirm_grn(tables: Tables, requests: DataFrame, as_of: str, span: int = SPA
             F.when(F.col("_complete"), stamp(as_of)).otherwise(F.col("received_at"))
             .alias("received_at"))
 
-    def confirmed() -> DataFrame:
+    def confirmed(how: str) -> DataFrame:
         return receipts.join(
-            done.select("grn_id", F.lit(True).alias("_done")), "grn_id", "left").withColumn(
+            done.select("grn_id", F.lit(True).alias("_done")), "grn_id", how).withColumn(
             "status", F.when(F.col("_done"), "Confirmed").otherwise(F.col("status"))).select(
             *MODEL["goods_receipts"].names)
 
     def outcome() -> DataFrame:
         unmatched = lines.groupBy("doc").agg(F.bool_or(F.col("free").isNull()).alias("unmatched"))
-        reasons = queue.failed().select("doc", message(OVER_RECEIPT, F.col("item_id")).alias("reason"))
-        state_of = asked.join(queue.verdicts, "doc", "left").join(reasons, "doc", "left").join(
-            unmatched, "doc", "left")
+        reasons = queue.failed(turns_of(requests, asked, "grn_id")).select(
+            F.col("turn").alias("req_seq"), message(OVER_RECEIPT, F.col("item_id")).alias("reason"))
+        state_of = asked.join(queue.verdicts, "doc", "left").join(unmatched, "doc", "left")
         return requests.select("req_seq", "grn_id").join(
-            state_of.select("grn_id", "doc", "accepted", "reason", "unmatched"), "grn_id", "left"
-        ).select(
+            state_of.select("grn_id", "doc", "accepted", "unmatched"), "grn_id", "left"
+        ).join(reasons, "req_seq", "left").select(
             "req_seq", "grn_id",
             F.when(F.col("accepted") & (F.col("req_seq") == F.col("doc")), ACCEPTED)
             .when(~F.col("accepted"), REJECTED).otherwise(UNCHANGED).alias("outcome"),
             "reason", F.coalesce("unmatched", F.lit(False)).alias("unmatched"))
 
-    return Result(Changes(
-        goods_receipts=confirmed, stock_balance=stock, purchase_order_lines=raised,
-        purchase_orders=orders), outcome)
+    return Result(Edits(
+        tables, goods_receipts=Edit(confirmed), stock_balance=Edit(stock),
+        purchase_order_lines=Edit(raised), purchase_orders=Edit(orders)), outcome)
 
 
 def cancel_po(tables: Tables, requests: DataFrame, as_of: str) -> Result:
@@ -177,12 +200,13 @@ def cancel_po(tables: Tables, requests: DataFrame, as_of: str) -> Result:
         .when(F.col("status") != "Pending",
               message(PO_NOT_CANCELLED, F.col("po_id"), F.col("status"))))
 
-    def cancelled() -> DataFrame:
-        marked = orders.join(first.select("po_id", F.lit(True).alias("_asked")), "po_id", "left")
-        hit = F.coalesce(F.col("_asked") & (F.col("status") == "Pending"), F.lit(False))
+    def cancelled(how: str) -> DataFrame:
+        pending = first.filter("status = 'Pending'").select("po_id", F.lit(True).alias("_asked"))
+        marked = orders.join(pending, "po_id", how)
+        hit = F.col("_asked").isNotNull()
         return marked.withColumns({
             "updated_at": stamped(hit, "updated_at", as_of),
             "status": F.when(hit, "Cancelled").otherwise(F.col("status")),
         }).select(*MODEL["purchase_orders"].names)
 
-    return Result(Changes(purchase_orders=cancelled), decided(rows, "po_id"))
+    return Result(Edits(tables, purchase_orders=Edit(cancelled)), decided(rows, "po_id"))

@@ -11,11 +11,12 @@ from depotflow.functions.messages import (
     SO_NOT_CANCELLED, SO_NOT_PACKED, SO_UNKNOWN, message)
 from depotflow.operators import reserve as reservation
 from depotflow.operators.allocate import allocate
+from depotflow.operators.changes import Edit, Edits
 from depotflow.operators.quality import rows_for
 from depotflow.operators.running import SPAN
 from depotflow.plans.jobs import (
-    ACCEPTED, REJECTED, UNCHANGED, Changes, Result, Tables, append, checked, decided, first_requests,
-    is_free_pair, looked_up, move_stock, next_ids, stamped)
+    ACCEPTED, REJECTED, UNCHANGED, Result, Tables, checked, decided, first_requests,
+    is_free_pair, looked_up, move_stock, new_rows, next_ids, stamped, taken_ids, turns_of)
 from depotflow.plans.procurement import line_rows
 from depotflow.schemas import MODEL, QTY
 from depotflow.session import durable
@@ -58,11 +59,11 @@ def reserve_stock(tables: Tables, requests: DataFrame, as_of: str,
     outcome = decided(
         rows.withColumn("no_stock_row", F.col("reject_reason").isNull() & F.col("free").isNull()),
         "so_id", "item_id", "no_stock_row")
-    return Result(Changes(
-        sales_order_lines=lambda: append(
-            tables, "sales_order_lines", next_ids(taken, tables, "sales_order_lines")),
-        stock_balance=lambda: move_stock(stock, taken.select(
-            "item_id", (-quantity).alias("available"), quantity.alias("reserved")), as_of),
+    return Result(Edits(
+        tables, sales_order_lines=Edit(inserted=lambda: new_rows(
+            "sales_order_lines", next_ids(taken, tables, "sales_order_lines"))),
+        stock_balance=Edit(lambda how: move_stock(stock, taken.select(
+            "item_id", (-quantity).alias("available"), quantity.alias("reserved")), as_of, how)),
     ), outcome)
 
 
@@ -70,7 +71,8 @@ def create_dc(tables: Tables, requests: DataFrame, as_of: str) -> Result:
     """New challans for packed orders.
 
     ``requests``: ``req_seq``, ``so_id``, ``created_by`` and, if given, ``driver_name``
-    and ``vehicle_number``, which are empty when absent.
+    and ``vehicle_number``, which are empty when absent. Ids are given by the caller
+    or follow the highest one; a taken one refuses the request.
     """
     for field in ("driver_name", "vehicle_number"):
         if field not in requests.columns:
@@ -86,11 +88,13 @@ def create_dc(tables: Tables, requests: DataFrame, as_of: str) -> Result:
     rows = checked(tables, rows, "delivery_challans").withColumn(
         "reject_reason", F.coalesce("_guard", "reject_reason"))
     rows = durable(rows)
+    if "dc_id" in rows.columns:
+        rows = durable(taken_ids(tables, rows, "delivery_challans"))
     new = next_ids(rows.filter("reject_reason IS NULL"), tables, "delivery_challans")
     outcome = decided(
-        rows.join(new.select("req_seq", "dc_id"), "req_seq", "left"), "so_id", "dc_id")
-    return Result(Changes(
-        delivery_challans=lambda: append(tables, "delivery_challans", new)), outcome)
+        rows.drop("dc_id").join(new.select("req_seq", "dc_id"), "req_seq", "left"), "so_id", "dc_id")
+    return Result(Edits(
+        tables, delivery_challans=Edit(inserted=lambda: new_rows("delivery_challans", new))), outcome)
 
 
 def dispatch_dc(tables: Tables, requests: DataFrame, as_of: str, span: int = SPAN) -> Result:
@@ -129,29 +133,30 @@ def dispatch_dc(tables: Tables, requests: DataFrame, as_of: str, span: int = SPA
     done = todo.join(queue.verdicts.filter("accepted"), "doc").select("doc", "dc_id", "so_id")
     taken = lines.join(done.select("doc"), "doc", "left_semi")
 
-    def moved() -> DataFrame:
+    def moved(how: str) -> DataFrame:
         return move_stock(stock, taken.select(
             "item_id", F.lit(0).cast(QTY).alias("available"),
-            (-F.col("need")).alias("reserved")), as_of)
+            (-F.col("need")).alias("reserved")), as_of, how)
 
-    def raised() -> DataFrame:
+    def raised(how: str, lines: DataFrame = order_lines) -> DataFrame:
         sums = taken.groupBy("so_id", "item_id").agg(F.sum("need").alias("_out"))
         return with_generated(
-            order_lines.join(sums, ["so_id", "item_id"], "left").withColumn(
+            lines.join(sums, ["so_id", "item_id"], how).withColumn(
                 "shipped_quantity",
                 (F.col("shipped_quantity") + F.coalesce("_out", F.lit(0))).cast(QTY)),
             "sales_order_lines")
 
-    def orders() -> DataFrame:
+    def orders(how: str) -> DataFrame:
         touched = done.select("so_id").distinct()
-        state = touched.join(_complete(raised(), touched), "so_id", "left").select(
+        lines_after = raised("left", rows_for(order_lines, done, ["so_id"]))
+        state = touched.join(_complete(lines_after, touched), "so_id", "left").select(
             "so_id", F.coalesce("_complete", F.lit(False)).alias("_complete"))
         return _set_status(
             tables["sales_orders"], state,
-            F.when(F.col("_complete"), "Shipped").otherwise("Processing"), as_of)
+            F.when(F.col("_complete"), "Shipped").otherwise("Processing"), as_of, how)
 
-    def sent() -> DataFrame:
-        marked = challans.join(done.select("dc_id", F.lit(True).alias("_done")), "dc_id", "left")
+    def sent(how: str) -> DataFrame:
+        marked = challans.join(done.select("dc_id", F.lit(True).alias("_done")), "dc_id", how)
         return marked.withColumns({
             "status": F.when(F.col("_done"), "Dispatched").otherwise(F.col("status")),
             "dispatched_at": stamped(F.col("_done"), "dispatched_at", as_of),
@@ -161,24 +166,25 @@ def dispatch_dc(tables: Tables, requests: DataFrame, as_of: str, span: int = SPA
         unmatched = lines.groupBy("doc").agg(
             F.bool_or(F.col("order_free").isNull()).alias("unmatched"))
         again = asked.filter("status = 'Delivered'").select("doc", F.lit(True).alias("was_delivered"))
-        reasons = queue.failed().select(
-            "doc", F.when(F.col("kind") == "order", message(OVER_SHIPMENT, item))
+        reasons = queue.failed(turns_of(requests, asked, "dc_id")).select(
+            F.col("turn").alias("req_seq"),
+            F.when(F.col("kind") == "order", message(OVER_SHIPMENT, item))
             .otherwise(message(RESERVED_BELOW_ZERO, item)).alias("reason"))
-        state_of = asked.join(queue.verdicts, "doc", "left").join(reasons, "doc", "left").join(
+        state_of = asked.join(queue.verdicts, "doc", "left").join(
             unmatched, "doc", "left").join(again, "doc", "left")
         return requests.select("req_seq", "dc_id").join(
-            state_of.select("dc_id", "doc", "accepted", "reason", "unmatched", "was_delivered"),
+            state_of.select("dc_id", "doc", "accepted", "unmatched", "was_delivered"),
             "dc_id", "left"
-        ).select(
+        ).join(reasons, "req_seq", "left").select(
             "req_seq", "dc_id",
             F.when(F.col("accepted") & (F.col("req_seq") == F.col("doc")), ACCEPTED)
             .when(~F.col("accepted"), REJECTED).otherwise(UNCHANGED).alias("outcome"),
             "reason", F.coalesce("unmatched", F.lit(False)).alias("unmatched"),
             F.coalesce("was_delivered", F.lit(False)).alias("was_delivered"))
 
-    return Result(Changes(
-        delivery_challans=sent, stock_balance=moved, sales_order_lines=raised,
-        sales_orders=orders), outcome)
+    return Result(Edits(
+        tables, delivery_challans=Edit(sent), stock_balance=Edit(moved),
+        sales_order_lines=Edit(raised), sales_orders=Edit(orders)), outcome)
 
 
 def _complete(lines: DataFrame, touched: DataFrame) -> DataFrame:
@@ -188,9 +194,10 @@ def _complete(lines: DataFrame, touched: DataFrame) -> DataFrame:
         .groupBy("so_id").agg(F.bool_and(F.col("pending_quantity") == 0).alias("_complete")))
 
 
-def _set_status(orders: DataFrame, state: DataFrame, status, as_of: str) -> DataFrame:
+def _set_status(orders: DataFrame, state: DataFrame, status, as_of: str, how: str) -> DataFrame:
     """Give the orders in ``state`` the new status where it is not NULL, and stamp them."""
-    marked = orders.join(state.withColumn("_new", status).select("so_id", "_new"), "so_id", "left")
+    new = state.withColumn("_new", status).filter("_new IS NOT NULL").select("so_id", "_new")
+    marked = orders.join(new, "so_id", how)
     return marked.withColumns({
         "updated_at": stamped(F.col("_new").isNotNull(), "updated_at", as_of),
         "status": F.coalesce("_new", "status"),
@@ -208,13 +215,13 @@ def deliver_dc(tables: Tables, requests: DataFrame, as_of: str) -> Result:
         first_requests(requests, "dc_id"), challans.select("dc_id", "so_id", "status"), "dc_id"))
     done = first.filter("status <> 'Delivered'")
 
-    def orders() -> DataFrame:
+    def orders(how: str) -> DataFrame:
         state = _complete(tables["sales_order_lines"], done.select("so_id").distinct())
         return _set_status(
-            tables["sales_orders"], state, F.when(F.col("_complete"), "Delivered"), as_of)
+            tables["sales_orders"], state, F.when(F.col("_complete"), "Delivered"), as_of, how)
 
-    def sent() -> DataFrame:
-        marked = challans.join(done.select("dc_id", F.lit(True).alias("_done")), "dc_id", "left")
+    def sent(how: str) -> DataFrame:
+        marked = challans.join(done.select("dc_id", F.lit(True).alias("_done")), "dc_id", how)
         return marked.withColumns({
             "status": F.when(F.col("_done"), "Delivered").otherwise(F.col("status")),
             "delivered_at": stamped(F.col("_done"), "delivered_at", as_of),
@@ -227,7 +234,7 @@ def deliver_dc(tables: Tables, requests: DataFrame, as_of: str) -> Result:
         .otherwise(UNCHANGED).alias("outcome"),
         F.coalesce(~F.col("status").isin("Dispatched", "Delivered"), F.lit(False))
         .alias("not_dispatched"))
-    return Result(Changes(delivery_challans=sent, sales_orders=orders), outcome)
+    return Result(Edits(tables, delivery_challans=Edit(sent), sales_orders=Edit(orders)), outcome)
 
 
 def advance_so(tables: Tables, requests: DataFrame, as_of: str) -> Result:
@@ -261,17 +268,19 @@ def advance_so(tables: Tables, requests: DataFrame, as_of: str) -> Result:
         .when(F.col("new_status").isNull(),
               message(SO_NOT_ADVANCED, F.col("so_id"), F.col("found"))))
 
-    def advanced() -> DataFrame:
+    def advanced(how: str) -> DataFrame:
         steps = early.groupBy("so_id").agg(F.max("step").alias("steps"))
-        moved = orders.join(steps, "so_id", "left").withColumn(
+        moved = orders.join(steps, "so_id", how).withColumn(
             "_new", F.when(F.col("steps") == 2, F.coalesce(twice, once))
             .when(F.col("steps") == 1, once))
+        if how == "inner":
+            moved = moved.filter("_new IS NOT NULL")
         return moved.withColumns({
             "updated_at": stamped(F.col("_new").isNotNull(), "updated_at", as_of),
             "status": F.coalesce("_new", "status"),
         }).select(*MODEL["sales_orders"].names)
 
-    return Result(Changes(sales_orders=advanced), decided(rows, "so_id", "new_status"))
+    return Result(Edits(tables, sales_orders=Edit(advanced)), decided(rows, "so_id", "new_status"))
 
 
 def cancel_so(tables: Tables, requests: DataFrame, as_of: str, span: int = SPAN) -> Result:
@@ -295,19 +304,20 @@ def cancel_so(tables: Tables, requests: DataFrame, as_of: str, span: int = SPAN)
     done = todo.join(queue.verdicts.filter("accepted"), "doc").select("doc", "so_id")
     released = lines.join(done.select("doc"), "doc", "left_semi")
 
-    def moved() -> DataFrame:
+    def moved(how: str) -> DataFrame:
         return move_stock(stock, released.select(
-            "item_id", F.col("need").alias("available"), (-F.col("need")).alias("reserved")), as_of)
+            "item_id", F.col("need").alias("available"), (-F.col("need")).alias("reserved")), as_of, how)
 
-    def cancelled() -> DataFrame:
-        return _set_status(orders, done.select("so_id"), F.lit("Cancelled"), as_of)
+    def cancelled(how: str) -> DataFrame:
+        return _set_status(orders, done.select("so_id"), F.lit("Cancelled"), as_of, how)
 
     def outcome() -> DataFrame:
-        reasons = queue.failed().select(
-            "doc", message(RESERVED_BELOW_ZERO, F.col("item_id")).alias("reason"))
-        state_of = first.join(queue.verdicts, "doc", "left").join(reasons, "doc", "left")
+        reasons = queue.failed(turns_of(requests, first, "so_id")).select(
+            F.col("turn").alias("req_seq"), message(RESERVED_BELOW_ZERO, F.col("item_id")).alias("reason"))
+        state_of = first.join(queue.verdicts, "doc", "left")
         rows = requests.select("req_seq", "so_id").join(
-            state_of.select("so_id", "doc", "status", "accepted", "reason"), "so_id", "left")
+            state_of.select("so_id", "doc", "status", "accepted"), "so_id", "left").join(
+            reasons, "req_seq", "left")
         now = F.when(F.col("accepted") & (F.col("req_seq") != F.col("doc")), "Cancelled").otherwise(
             F.col("status"))
         rows = rows.withColumn(
@@ -317,4 +327,4 @@ def cancel_so(tables: Tables, requests: DataFrame, as_of: str, span: int = SPAN)
             .otherwise(F.col("reason")))
         return decided(rows, "so_id")
 
-    return Result(Changes(sales_orders=cancelled, stock_balance=moved), outcome)
+    return Result(Edits(tables, sales_orders=Edit(cancelled), stock_balance=Edit(moved)), outcome)

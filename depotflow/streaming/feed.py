@@ -1,24 +1,21 @@
 """Running a stream over a table in ordered, bounded micro-batches.
 
-Arrival order defines the result of a stock stream, and the rows of one key in a
-micro-batch are handled by one task. So a table is fed in slices of its order
-column: each slice is written to the source folder and run through the stream,
-whose state carries on from its checkpoint. A slice bounds what any task holds,
-whatever share of the rows one key has.
+Arrival order defines the result of a stock stream, and the rows of one key in a micro-batch are
+handled by one task. So a table is written once, dealt by ranges of its order column, as files of a
+bounded number of rows whose times follow that order; then one query reads them in that order, as many
+a micro-batch as its limit allows. No task holds more rows of a key than a micro-batch has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from depotflow.session import ENGINE_CONF, fresh_path
 
-ROWS_PER_KEY = 5_000_000
-ROWS_PER_CORE = 2_000_000
+ROWS_PER_BATCH = 8_000_000
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _PARTITIONS = "spark.sql.shuffle.partitions"
 
@@ -50,54 +47,47 @@ def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def slice_bounds(df: DataFrame, key: str, order: str, rows_per_key: int = ROWS_PER_KEY,
-                 rows_per_core: int = ROWS_PER_CORE) -> list[tuple[int, int]]:
-    """Half-open ranges of the order column that bound each slice.
+def in_order(spark: SparkSession, folder: str) -> int:
+    """Give the files of a folder times that follow their names, which is how a file stream reads them.
 
-    No slice holds more than ``rows_per_key`` rows of one key, which is what one task
-    sorts, nor more rows in total than the cores can share. The ranges are of equal
-    width, halved until the counts agree, so clustered rows are found too.
+    Returns the number of files. The file system must keep the times it is given.
     """
-    low, high, total = df.agg(F.min(order), F.max(order), F.count("*")).head()
-    in_total = rows_per_core * df.sparkSession.sparkContext.defaultParallelism
-    if total <= min(rows_per_key, in_total):
-        return [(low, high + 1)] if total else []
-    slices = -(-total // in_total)
-    while True:
-        width = -(-(high - low + 1) // slices)
-        counted = df.groupBy(F.expr(f"(`{order}` - {low}) div {width}").alias("slice"), key).agg(
-            F.count("*").alias("n"))
-        found = counted.groupBy("slice").agg(
-            F.max("n").alias("of_key"), F.sum("n").alias("all")).orderBy("slice").collect()
-        if width == 1 or all(f.of_key <= rows_per_key and f["all"] <= in_total for f in found):
-            break
-        slices *= 2
-    # neighbours that are small together make one slice
-    bounds, held = [], 0
-    for f in found:
-        start, end = low + f.slice * width, low + (f.slice + 1) * width
-        if bounds and held + f["all"] <= min(rows_per_key, in_total):
-            bounds[-1], held = (bounds[-1][0], end), held + f["all"]
-        else:
-            bounds.append((start, end))
-            held = f["all"]
-    return bounds
-
-
-def run_in_slices(df: DataFrame, key: str, order: str, build: Callable[[DataFrame], DataFrame],
-                  run: Callable[[DataFrame, str], None], **bounds: int) -> None:
-    """Feed ``df`` slice by slice to ``run(build(stream), checkpoint)``."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def files():
+        found = [s for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")]
+        return sorted(found, key=lambda s: s.getPath().getName())
+
+    listed = files()
+    start = min((s.getModificationTime() for s in listed), default=0) - len(listed)
+    for i, status in enumerate(listed):
+        fs.setTimes(status.getPath(), start + i, -1)
+    times = [s.getModificationTime() for s in files()]
+    if any(a >= b for a, b in zip(times, times[1:], strict=False)):
+        raise RuntimeError(f"{folder}: the file system does not keep the times of files")
+    return len(listed)
+
+
+def ordered_stream(df: DataFrame, order: str, rows_per_batch: int = ROWS_PER_BATCH) -> DataFrame:
+    """``df`` as a stream in the order of a column, at most ``rows_per_batch`` rows a micro-batch.
+
+    The table is read and written once, a range to a task; rows without an order come first.
+    """
+    spark = df.sparkSession
+    tasks = min(spark.sparkContext.defaultParallelism, rows_per_batch)
+    folder = fresh_path(spark, "feed")
+    (df.repartitionByRange(tasks, order).sortWithinPartitions(order)
+     .write.option("maxRecordsPerFile", rows_per_batch // tasks).parquet(folder))
+    in_order(spark, folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", tasks).parquet(folder)
+
+
+def stream_table(df: DataFrame, order: str, build, rows_per_batch: int = ROWS_PER_BATCH) -> DataFrame:
+    """All rows that the stream ``build`` makes appends when ``df`` is fed to it in order, by one query."""
     spark = df.sparkSession
-    source, checkpoint = fresh_path(spark, "feed"), fresh_path(spark, "stream")
-    for low, high in slice_bounds(df, key, order, **bounds):
-        part = df.filter((F.col(order) >= low) & (F.col(order) < high))
-        part.write.mode("append").parquet(source)
-        run(build(spark.readStream.schema(df.schema).parquet(source)), checkpoint)
-
-
-def stream_table(df: DataFrame, key: str, order: str, build: Callable[[DataFrame], DataFrame],
-                 **bounds: int) -> DataFrame:
-    """All rows a stream appends when ``df`` is fed to it in order."""
-    out = fresh_path(df.sparkSession, "stream-out")
-    run_in_slices(df, key, order, build, lambda s, c: run_to_end(s, out, c), **bounds)
-    return df.sparkSession.read.parquet(out)
+    built = build(ordered_stream(df, order, rows_per_batch))
+    out = fresh_path(spark, "stream-out")
+    run_to_end(built, out, fresh_path(spark, "stream"))
+    return spark.read.schema(built.schema).parquet(out)

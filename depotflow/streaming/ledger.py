@@ -78,7 +78,7 @@ def stock_ledger(moves: DataFrame) -> DataFrame:
 
     State is two numbers per item and does not expire, as stock rows do not. The
     rows of an item within a micro-batch are sorted in one task, so the source must
-    bound the batch (see ``feed``, or a rate limit of the source).
+    bound the batch (see ``feed``, or a rate limit of the source) and keep the order.
     """
     walked = moves.groupBy("item_id").transformWithStateInPandas(
         statefulProcessor=_Ledger(),

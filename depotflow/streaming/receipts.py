@@ -15,17 +15,18 @@ def confirm_stream(requests: DataFrame, root: str, checkpoint: str, as_of: str)
     The id of the stream, which its checkpoint keeps, and the number of the batch are
     committed with the tables. So a batch that is run again after a failure is skipped if its
     commit was made, and done afresh if not; another stream, or a new checkpoint, has
-    numbers of its own.
+    numbers of its own. Only the rows that change are written.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         store = SnapshotStore(batch.sparkSession, root)
         stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        tables = store.tables()
         if batch_id <= store.last_batch(stream):
             return
-        result = confirm_grn(store.tables(), batch, as_of)
+        result = confirm_grn(tables, batch, as_of)
         result.outcome.write.mode("overwrite").parquet(
             f"{root}/_outcome/stream={stream}/batch_id={batch_id}")
-        store.commit(result.changed, stream, batch_id)
+        store.commit(changes=result.changed.sets(), stream=stream, batch_id=batch_id, since=tables)
 
     with state_settings(requests.sparkSession):
         query = (

@@ -5,7 +5,10 @@ from decimal import Decimal as D
 
 import pytest
 
+from depotflow.operators import allocate as allocation
+from depotflow.operators import connected
 from depotflow.operators.allocate import allocate
+from depotflow.operators.connected import components
 from depotflow.operators.reserve import reserve
 from depotflow.operators.running import line_ids, prior_value, ranked, running_totals
 from pyspark.sql import functions as F
@@ -48,6 +51,76 @@ def test_allocate_equals_one_by_one(spark, seed):
     assert 0 < sum(accepted.values()) < len(docs)
 
 
+def as_rows(spark, lines, free):
+    return spark.createDataFrame(
+        [(d, r, q, no, free[r]) for d, r, q, no in lines],
+        "doc long, resource long, need decimal(12,2), line_no long, free decimal(12,2)")
+
+
+def test_a_chain_of_documents_takes_few_writes(spark, monkeypatch):
+    """Each document shares a resource with the next one, so its verdict follows from the one before."""
+    n = 200
+    free = {r: D(1) for r in range(n + 1)}
+    lines = [(d, d + e, D(1), e) for d in range(n) for e in (0, 1)]
+    writes = []
+    for module in (allocation, connected):
+        plain = module.durable
+        monkeypatch.setattr(module, "durable", lambda df, plain=plain: writes.append(1) or plain(df))
+    got = allocate(spark.range(n).withColumnRenamed("id", "doc"), as_rows(spark, lines, free), ["resource"])
+    assert {r.doc: r.accepted for r in got.verdicts.collect()} == {d: d % 2 == 0 for d in range(n)}
+    assert len(writes) <= 12
+    assert {r.doc: r.resource for r in got.failed().collect()} == {d: d for d in range(1, n, 2)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_reasons_are_those_of_each_turn(spark, seed):
+    """Documents that were refused ask again, when less is free."""
+    rnd = random.Random(seed)
+    free = {r: D(rnd.randint(5, 60)) for r in range(6)}
+    lines = [(d, r, D(rnd.randint(1, 12)), no) for d in range(60) for no, r in enumerate(rnd.sample(range(6), 3))]
+    turns = [(d, d) for d in range(60)] + [(d, 60 + i) for i, d in enumerate(rnd.sample(range(60), 60))]
+    left, accepted, reasons = dict(free), set(), {}
+    for d, t in sorted(turns, key=lambda x: x[1]):
+        short = [(r, left[r], q) for d2, r, q, _ in lines if d2 == d and q > left[r]]
+        if d in accepted:
+            continue
+        if short:
+            reasons[t] = short[0]
+        else:
+            accepted.add(d)
+            for d2, r, q, _ in lines:
+                left[r] -= q if d2 == d else 0
+    got = allocate(spark.range(60).withColumnRenamed("id", "doc"), as_rows(spark, lines, free), ["resource"], span=16)
+    asked = spark.createDataFrame(turns, "doc long, turn long")
+    assert {r.turn: r.resource for r in got.failed(asked).collect()} == {t: x[0] for t, x in reasons.items()}
+    assert {r.turn: (r.resource, r.left, r.need) for r in got.failed(asked, left=True).collect()} == reasons
+
+
+@pytest.mark.parametrize("most", [1 << 18, 7])
+def test_components_in_one_task_and_in_many(spark, most):
+    rnd = random.Random(most)
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(5, 5), (7, 6)]
+    pairs += [(rnd.randrange(2000, 2100), rnd.randrange(2000, 2100)) for _ in range(60)] + [(-5, 1 << 60)]
+    root = {n: n for p in pairs for n in p}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = {r.node: r.root for r in components(df, most).collect()}
+    assert set(got) == set(root)
+    groups = {}
+    for n in root:
+        groups.setdefault(find(n), set()).add(got[n])
+    assert all(len(g) == 1 for g in groups.values())
+    assert len({min(g) for g in groups.values()}) == len(groups)
+    assert components(df.limit(0), most).collect() == []
+
+
 def test_allocate_without_contention(spark):
     docs = spark.range(5).withColumnRenamed("id", "doc")
     lines = docs.selectExpr("doc", "1L AS resource", "1.00BD AS need", "5.00BD AS free",

@@ -82,6 +82,40 @@ def test_replay_ends_at_the_seed_state(spark, tables):
         assert rows(end[table]) == rows(tables[table]), table
 
 
+def test_scenarios_that_fail_leave_no_trace(spark, tables):
+    """Each order for itself: later ones are judged without those that fail."""
+    start = start_tables(tables)
+    free = {r.item_id: r.available_quantity for r in start["stock_balance"].collect()}
+    item, other = sorted(free)[:2]
+    bought, judged = replay.buy_each(
+        start, spark.createDataFrame([(1, 1, 1), (2, 99, 1), (3, 1, 1), (4, 1, 1)],
+                                     "req_seq long, supplier_id long, created_by long"),
+        spark.createDataFrame([(1, 1, item, 10, 1), (2, 2, item, 50, 1), (3, 3, item, 50, 1), (4, 3, other, 0, 1),
+                               (5, 4, other, 5, 1)],
+                              "req_seq long, order_seq long, item_id long, quantity int, unit_cost int"), T1)
+    assert {r.order_seq: (r.outcome, r.step, r.reason) for r in judged.collect()} == {
+        1: ("accepted", None, None), 2: ("rejected", "create", "foreign_key supplier_id"),
+        3: ("rejected", "lines", "check_range ordered_quantity"), 4: ("accepted", None, None)}
+    now = {r.item_id: r.available_quantity for r in bought["stock_balance"].collect()}
+    assert now == {**free, item: free[item] + 10, other: free[other] + 5}
+    # 1 fits, 2 is short on its second line, 3 fits as 2 took nothing, 4 has a fault before it is short, 5 is short first
+    have = now[item]
+    lines = [(1, 1, item, have - 4), (2, 2, other, 1), (3, 2, item, 5), (4, 3, item, 4), (5, 4, other, 0),
+             (6, 4, item, 9), (7, 5, item, 9), (8, 5, other, 0)]
+    sold, judged = replay.sell_each(
+        bought, spark.createDataFrame([(s, 1, 1) for s in range(1, 6)], "req_seq long, customer_id long, created_by long"),
+        spark.createDataFrame([(s, o, i, int(q), 1) for s, o, i, q in lines],
+                              "req_seq long, order_seq long, item_id long, quantity int, unit_price int"), T1)
+    short = f"Insufficient stock for item_id {item}. Available:"
+    assert {r.order_seq: (r.outcome, r.step, r.reason) for r in judged.collect()} == {
+        1: ("accepted", None, None), 2: ("rejected", "reserve", f"{short} 4.00, Requested: 5.00"),
+        3: ("accepted", None, None), 4: ("rejected", "reserve", "check_range ordered_quantity"),
+        5: ("rejected", "reserve", f"{short} 0.00, Requested: 9.00")}
+    left = {r.item_id: (r.available_quantity, r.reserved_quantity) for r in sold["stock_balance"].collect()}
+    assert left[item][0] == 0 and left[other] == (now[other], left[other][1])
+    assert sold["sales_orders"].filter("status = 'Delivered'").count() >= 2
+
+
 def test_replay_fails_as_a_whole(spark, tables):
     with pytest.raises(replay.ScenarioFailed, match="Insufficient stock for item_id 1"):
         _buy_and_sell(spark, tables, quantity="101")

@@ -69,6 +69,61 @@ def test_many_receipts_per_order_equal_one_by_one(spark):
     assert by_key(result.changed["purchase_orders"], "po_id", "status") == status
 
 
+def test_a_receipt_asked_again_fails_on_the_line_of_its_turn(spark):
+    w = warehouse(
+        spark, items=ITEMS, stock_balance=stock((1, 0, 0), (2, 0, 0)), purchase_orders=[{}],
+        purchase_order_lines=[{"po_id": 1, "item_id": 1, "ordered_quantity": 10},
+                              {"po_id": 1, "item_id": 2, "ordered_quantity": 5}],
+        goods_receipts=[{"po_id": 1}, {"po_id": 1}],
+        goods_receipt_lines=[{"grn_id": 1, "item_id": 1, "received_quantity": 4},
+                             {"grn_id": 1, "item_id": 2, "received_quantity": 6},
+                             {"grn_id": 2, "item_id": 1, "received_quantity": 8}])
+    rows = [(1, 1), (2, 2), (3, 1), (4, 2)]
+    result = procurement.confirm_grn(w, requests(spark, "req_seq long, grn_id long", rows), AS_OF)
+    text = "GRN exceeds PO quantity for item_id"
+    assert outcomes(result, "outcome", "reason") == {
+        1: ("rejected", f"{text} 2"), 2: ("accepted", None), 3: ("rejected", f"{text} 1"), 4: ("unchanged", None)}
+
+
+def test_given_line_ids_are_taken_once(spark):
+    rnd = random.Random(8)
+    w = warehouse(spark, items=ITEMS, purchase_orders=[{}, {}], purchase_order_lines=[
+        {"po_line_id": 7, "po_id": 1, "item_id": 1, "ordered_quantity": 1}])
+    rows = [(s, rnd.choice([1, 2]), rnd.randint(1, 4), rnd.choice([1, 1, 2, 3, 4, 5, 7, None]), rnd.choice([1, 2, 0]))
+            for s in range(60)]
+    result = procurement.add_lines(w, "purchase_order_lines", requests(
+        spark, "req_seq long, po_id long, item_id long, po_line_id long, quantity int", rows))
+    ids, pairs, expected = {7}, {(1, 1)}, {}
+    for s, po, item, key, q in rows:
+        if key is None:
+            expected[s] = "not_null po_line_id"
+        elif not q:
+            expected[s] = "check_range ordered_quantity"
+        elif (po, item) == (1, 1):
+            expected[s] = "duplicate po_id, item_id"
+        elif key in ids:
+            expected[s] = "primary_key po_line_id"
+        elif (po, item) in pairs:
+            expected[s] = "duplicate po_id, item_id"
+        else:
+            expected[s] = None
+            ids.add(key), pairs.add((po, item))
+    assert outcomes(result, "reason") == expected
+    got = [r.po_line_id for r in result.changed["purchase_order_lines"].collect()]
+    assert sorted(got) == sorted(ids)
+
+
+def test_given_challan_ids_are_taken_once(spark):
+    w = warehouse(spark, sales_orders=[{"status": "Packed"}, {"status": "Packed"}, {}],
+                  delivery_challans=[{"so_id": 1, "dc_id": 5}])
+    rows = [(1, 1, 1, 5), (2, 3, 1, 9), (3, 2, 1, 9), (4, 1, 1, 9), (5, 1, 1, None), (6, 1, 1, 6)]
+    result = sales.create_dc(w, requests(spark, "req_seq long, so_id long, created_by long, dc_id long", rows), AS_OF)
+    assert outcomes(result, "dc_id", "reason") == {
+        1: (None, "primary_key dc_id"), 2: (None, "SO 3 must be Packed before creating a DC. Current status: Pending."),
+        3: (9, None), 4: (None, "primary_key dc_id"), 5: (None, "not_null dc_id"), 6: (6, None)}
+    assert sorted(r.dc_id for r in result.changed["delivery_challans"].collect()) == [5, 6, 9]
+
+
 def test_receipt_odd_cases(spark):
     w = warehouse(
         spark, items=ITEMS, stock_balance=stock((1, 0, 0), (2, 0, 0)),

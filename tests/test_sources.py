@@ -1,15 +1,18 @@
 """COPY text, JSON lines, seed rows and snapshots."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
+from depotflow.operators.changes import DELETE, FLAG, INSERT, UPDATE
 from depotflow.schemas import MODEL
 from depotflow.sources.copytext import read_copy_text, write_copy_text
 from depotflow.sources.jsonrows import json_rows, write_json
 from depotflow.sources.seeds import SEED_ROWS, seed_rows
-from depotflow.sources.snapshots import SnapshotStore, scan_table
+from depotflow.sources.snapshots import CommitRefused, SnapshotStore, scan_table
 from tests.small import table
 
 STAMP = "2026-01-01 10:20:30.123456"
@@ -66,14 +69,94 @@ def test_seed_rows(spark):
 
 def test_snapshots_switch_together_and_keep_what_is_read(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "w"))
-    assert store.last_batch() == -1 and len(store.tables()) == 0
+    assert store.last_batch("a") == -1 and len(store.tables()) == 0
     store.commit({"users": table(spark, "users", [{}]), "roles": table(spark, "roles", [{}])})
     before = store.tables()
     more = before["users"].unionByName(table(spark, "users", [{"user_id": 2}]))
-    assert store.commit({"users": more}, batch_id=4) == 2
+    assert store.commit({"users": more}, stream="a", batch_id=4) == 2
     assert before["users"].count() == 1  # an open reader keeps its version
     now = store.tables()
-    assert (now["users"].count(), now["roles"].count(), store.last_batch()) == (2, 1, 4)
+    assert (now["users"].count(), now["roles"].count()) == (2, 1)
+    store.commit(stream="b", batch_id=1)  # streams count their batches apart
+    assert (store.last_batch("a"), store.last_batch("b"), store.last_batch("c")) == (4, 1, -1)
+    for half in ({"batch_id": 5}, {"stream": "a"}):
+        with pytest.raises(ValueError, match="with its stream"):
+            store.commit(**half)
+    assert store.last_batch("a") == 4
+
+
+def flagged(rows, flag):
+    return rows.withColumn(FLAG, F.lit(flag))
+
+
+def names(store):
+    return {r.role_id: r.role_name for r in store.tables()["roles"].collect()}
+
+
+def test_a_commit_writes_the_rows_that_change(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "w"))
+    store.commit({"roles": table(spark, "roles", [{} for _ in range(50)])})
+    renamed = flagged(table(spark, "roles", [{"role_id": 3, "role_name": "new"}]), UPDATE)
+    added = flagged(table(spark, "roles", [{"role_id": 90}]), INSERT)
+    gone = flagged(table(spark, "roles", [{"role_id": 4}]), DELETE)
+    store.commit(changes={"roles": renamed.unionByName(added).unionByName(gone)})
+    again = flagged(table(spark, "roles", [{"role_id": 3, "role_name": "newer"}]), UPDATE)
+    back = flagged(table(spark, "roles", [{"role_id": 4, "role_name": "back"}]), INSERT)
+    store.commit(changes={"roles": again.unionByName(back)})
+    want = {i: f"role {i}" for i in range(1, 51)} | {3: "newer", 4: "back", 90: "role 1"}
+    assert names(store) == want
+    written = [spark.read.parquet(str(p)).count() for p in sorted((tmp_path / "w" / "roles").iterdir())]
+    assert sorted(written) == [2, 3, 50]
+    before = store.tables()
+    store.compact("roles")
+    assert names(store) == want and store.tables()._changes["roles"] == []
+    assert before["roles"].count() == 51  # a reader of the log goes on
+
+
+def test_a_log_is_compacted_after_some_commits(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "w"), compact_after=2)
+    for i in range(1, 6):
+        store.commit(changes={"roles": flagged(table(spark, "roles", [{"role_id": i}]), INSERT)})
+        assert len(store.tables()._changes["roles"]) <= 2
+    assert set(names(store)) == {1, 2, 3, 4, 5}
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_of_two_writers_one_is_refused(spark, tmp_path, links):
+    root = str(tmp_path / "w")
+    one, other = SnapshotStore(spark, root), SnapshotStore(spark, root)
+    one._manifests.links = other._manifests.links = links
+    one.commit({"roles": table(spark, "roles", [{}])})
+    seen = other.tables()
+    one.commit(changes={"roles": flagged(table(spark, "roles", [{"role_id": 2}]), INSERT)})
+    with pytest.raises(CommitRefused, match="was committed after"):  # made from tables that are out of date
+        other.commit(changes={"roles": flagged(seen["roles"], UPDATE)}, since=seen)
+    # both read the same version before either commits
+    now = other._current()
+    one.commit(changes={"roles": flagged(table(spark, "roles", [{"role_id": 3}]), INSERT)})
+    other._current = lambda: now
+    with pytest.raises(CommitRefused, match="another writer"):
+        other.commit(changes={"roles": flagged(table(spark, "roles", [{"role_id": 4}]), INSERT)})
+    assert set(names(one)) == {1, 2, 3}
+
+
+def test_many_writers_at_once_take_one_version_each(spark, tmp_path):
+    root = str(tmp_path / "w")
+    SnapshotStore(spark, root).commit({"roles": table(spark, "roles", [{}])})
+
+    def write(i):
+        store = SnapshotStore(spark, root)
+        rows = flagged(table(spark, "roles", [{"role_id": 10 + i}]), INSERT)
+        for tries in range(50):
+            try:
+                return store.commit(changes={"roles": rows})
+            except CommitRefused:
+                continue
+
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(write, range(4)))
+    assert sorted(versions) == [2, 3, 4, 5]
+    assert set(names(SnapshotStore(spark, root))) == {1, 10, 11, 12, 13}
 
 
 def test_a_commit_without_manifest_is_not_seen(spark, tmp_path):

@@ -4,13 +4,12 @@ import random
 from decimal import Decimal as D
 
 import pytest
-from pyspark.sql import functions as F
 
 from depotflow.plans.procurement import confirm_grn
 from depotflow.session import fresh_path
 from depotflow.sources.snapshots import SnapshotStore
 from depotflow.streaming import ledger, transitions
-from depotflow.streaming.feed import run_in_slices, run_to_end, slice_bounds, stream_table
+from depotflow.streaming.feed import ordered_stream, run_to_end, stream_table
 from depotflow.streaming.receipts import confirm_stream
 from tests.small import AS_OF, by_key, requests, warehouse
 
@@ -46,23 +45,37 @@ def walk(events):
 FIELDS = ("kind", "accepted", "available_quantity", "reserved_quantity")
 
 
-@pytest.mark.parametrize("rows_per_key", [1000, 40])
-def test_ledger_does_not_depend_on_the_slices(spark, events, rows_per_key):
-    got = stream_table(events, "user_id", "event_id",
-                       lambda s: ledger.stock_ledger(ledger.movements(s)), rows_per_key=rows_per_key)
+@pytest.mark.parametrize("rows_per_batch", [1000, 40])
+def test_ledger_does_not_depend_on_the_batches(spark, events, rows_per_batch):
+    got = stream_table(events.repartition(3), "event_id", lambda s: ledger.stock_ledger(ledger.movements(s)),
+                       rows_per_batch=rows_per_batch)
     expected = walk(events)
     assert by_key(got, "event_id", *FIELDS) == expected
     assert all(free >= 0 and held >= 0 for _, _, free, held in expected.values())
 
 
-def test_slices_bound_the_rows_of_a_key(spark, events):
-    bounds = slice_bounds(events, "user_id", "event_id", rows_per_key=20)
-    for low, high in bounds:
-        part = events.filter((F.col("event_id") >= low) & (F.col("event_id") < high))
-        assert all(r["count"] <= 20 for r in part.groupBy("user_id").count().collect())
-    assert bounds[0][0] == 0 and bounds[-1][1] > 5159
-    assert slice_bounds(events, "user_id", "event_id") == [(0, 5160)]  # one slice
-    assert slice_bounds(events.filter("false"), "user_id", "event_id") == []
+def test_batches_are_bounded_and_in_order(spark, events):
+    """One query reads all rows, rows without an order first, at most so many a micro-batch."""
+    rows = events.unionByName(events.limit(3).selectExpr("CAST(NULL AS BIGINT) AS event_id", "user_id", "event_type",
+                                                         "value")).repartition(5)
+    seen = []
+    query = (ordered_stream(rows, "event_id", 20).writeStream
+             .foreachBatch(lambda df, n: seen.append([r.event_id for r in df.collect()]))
+             .option("checkpointLocation", fresh_path(spark, "c")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    batches = [b for b in seen if b]
+    assert len(batches) > 5 and max(map(len, batches)) <= 20
+    flat = [[-1 if i is None else i for i in b] for b in batches]
+    assert all(max(a) <= min(b) for a, b in zip(flat, flat[1:]))
+    assert sorted(i for b in flat for i in b) == sorted([-1] * 3 + [r.event_id for r in events.collect()])
+    nothing = stream_table(events.limit(0), "event_id", lambda s: ledger.stock_ledger(ledger.movements(s)))
+    assert nothing.collect() == [] and nothing.columns[0] == "item_id"
+
+
+def test_the_table_is_scanned_once(spark, events, tmp_path):
+    events.write.parquet(str(tmp_path / "events"))
+    plan = spark.read.parquet(str(tmp_path / "events")).repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
 
 
 def test_ledger_goes_on_after_a_restart(spark, events):
@@ -78,16 +91,16 @@ def test_ledger_goes_on_after_a_restart(spark, events):
 
 def test_transitions_stream_equals_batch(spark, events):
     batch = transitions.status_transitions(transitions.statuses(events), span=16)
-    stream = stream_table(
-        events, "user_id", "event_id",
-        lambda s: transitions.status_transitions_stream(transitions.statuses(s)), rows_per_key=60)
+    stream = transitions.transitions_stream(
+        ordered_stream(transitions.statuses(events), "event_id", 30), fresh_path(spark, "statuses"),
+        fresh_path(spark, "checkpoint"), span=16)
     assert sorted(batch.collect()) == sorted(stream.collect())
     firsts = {min(r.event_id for r in events.collect() if r.user_id == u) for u in (0, 1, 2)}
     assert not firsts & {r.event_id for r in batch.collect()}
 
 
 def test_init_stock_stream_opens_an_item_once(spark, events):
-    got = stream_table(events, "user_id", "event_id", ledger.init_stock, rows_per_key=60)
+    got = stream_table(events, "event_id", ledger.init_stock, rows_per_batch=60)
     assert sorted(r.item_id for r in got.collect()) == [0, 1, 2]
 
 
@@ -107,8 +120,7 @@ def test_confirm_stream_applies_each_batch_once(spark, buying):
     store.commit({t: buying[t] for t in ("goods_receipts", "goods_receipt_lines", "purchase_orders",
                                          "purchase_order_lines", "stock_balance")})
     asked = requests(spark, "req_seq long, grn_id long", [(1, 1), (2, 2), (3, 3)])
-    run_in_slices(asked, "grn_id", "req_seq", lambda s: s,
-                  lambda s, c: confirm_stream(s, root, c, AS_OF), rows_per_core=1)
+    confirm_stream(ordered_stream(asked, "req_seq", 1), root, fresh_path(spark, "checkpoint"), AS_OF)
     assert by_key(store.tables()["goods_receipts"], "grn_id", "status") == {
         1: "Confirmed", 2: "Draft", 3: "Confirmed"}
     assert by_key(store.tables()["stock_balance"], "item_id", "available_quantity") == {1: D(10)}
@@ -142,17 +154,6 @@ def test_a_second_stream_is_not_skipped(spark, buying):
         1: "Confirmed", 2: "Draft", 3: "Confirmed"}
 
 
-def test_a_version_is_committed_once(spark, buying):
-    root = fresh_path(spark, "store")
-    one, other = SnapshotStore(spark, root), SnapshotStore(spark, root)
-    one.commit({"stock_balance": buying["stock_balance"]})
-    seen = other._current()
-    one.commit({})
-    other._current = lambda: seen
-    with pytest.raises(Exception, match="(?i)exist"):
-        other.commit({})
-
-
 def test_unknown_statuses_change_nothing_in_stream_and_batch(spark):
     source = fresh_path(spark, "log")
     log = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "b"), (1, 4, "c"), (2, 1, None)],
@@ -162,6 +163,24 @@ def test_unknown_statuses_change_nothing_in_stream_and_batch(spark):
     assert [(r.event_id, r.old_status, r.new_status) for r in batch] == [(4, "b", "c")]
 
 
+def test_transitions_with_unknown_statuses_over_batches_and_a_restart(spark):
+    """A document whose rows lie in many batches, with statuses that are NULL at the seams."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice([1, 1, 1, 2, 3]), i, rnd.choice(["a", "b", "c", None])) for i in range(-40, 60)]
+    kind = "document long, event_id long, status string"
+    log = spark.createDataFrame(rows, kind)
+    want = sorted(transitions.status_transitions(log).collect())
+    root, checkpoint, source = (fresh_path(spark, n) for n in ("statuses", "checkpoint", "source"))
+    got = transitions.transitions_stream(ordered_stream(log, "event_id", 9), fresh_path(spark, "s"), checkpoint, span=4)
+    assert sorted(got.collect()) == want and len(want) > 20
+    checkpoint = fresh_path(spark, "checkpoint")
+    for part in ("event_id < 7", "event_id >= 7"):
+        log.filter(part).write.mode("append").parquet(source)
+        for _ in range(2):  # the second start finds nothing new
+            got = transitions.transitions_stream(spark.readStream.schema(log.schema).parquet(source), root, checkpoint)
+    assert sorted(spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/_found").collect()) == want
+
+
 def test_confirm_stream_equals_one_batch(spark, buying):
     asked = requests(spark, "req_seq long, grn_id long", [(1, 1), (2, 2), (3, 3)])
     whole = confirm_grn(buying, asked, AS_OF)
