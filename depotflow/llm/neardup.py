@@ -13,8 +13,10 @@
    by a few links a class. Then all trees are looked at, across the components known by then: a
    pair within a component adds nothing, so a large group does not come up again in every tree.
 5. Regions that were too dense to compare all of their classes, and that still hold more than one
-   component, are compared in blocks of signatures, across components only, and what is
-   found is confirmed in the same way. So no class is left out for standing in a crowd.
+   component, are compared in blocks, across components only: first signatures, which tells the classes that
+   have a candidate at all, then the full sets of these. A pair is looked at in the first
+   tree whose region it shares. A block gives no more links than join its classes, so rows grow with
+   the classes, not with the pairs, and no class is left out for standing in a crowd.
 
 Links are found with a probability that grows with the number of trees. Both it and the depth of a
 prefix follow from the threshold: a pair at the threshold shares a prefix in at least one of the trees
@@ -24,16 +26,17 @@ but for a chance of ``MISS``, a pair above it with a smaller one.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depotflow.llm.text import MIX, NOT_SPACE, mix, shingles, slices, words
+from depotflow.llm.text import MIX, NOT_SPACE, gather, mix, shingles, slices, words
 from depotflow.session import durable
 
 SHINGLE = 3
@@ -43,7 +46,8 @@ MISS = 2e-8  # chance at most that a pair at the threshold shares a region in no
 FIRST = 4  # trees that join most of large groups before all trees are looked at
 DEEP = 14  # numbers by which a tree sorts
 NEXT = 2  # classes that a class is compared with in the order of a tree, on either side
-CHUNK = 512  # classes of a block where a dense region is compared in blocks
+CHUNK = 2048  # classes of a block where a dense region is compared in blocks
+SETS = 8 << 20  # bytes of full sets of such a block
 DEVIATIONS = 6  # standard deviations by which a pair's agreeing numbers may fall short of the threshold
 BITS = 25  # places of the table that tells tasks which classes are asked for
 
@@ -242,13 +246,9 @@ def agreeing(pairs: DataFrame, classes: DataFrame, plan: Forest) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(work, "a binary, b binary, same int")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
-              threshold: int) -> DataFrame:
-    """Pairs that reach the threshold on the full sets of shingles. The sets are made anew of one
-    text of each class in question; a bit table of fixed size tells tasks which texts those may be."""
-    pairs = durable(pairs.select("a", "b"))
-    asked = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-                    .join(classes.select("node", "mark"), "node"))
+def full_sets(asked: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The sets of shingles (``node``, ``items``) of classes (``node``, ``mark``), made anew of one text of each
+    class; a bit table of fixed size tells tasks which texts those may be. ``asked`` should be stored."""
     places = (asked.select(F.shiftrightunsigned("mark", 64 - BITS).alias("place")).distinct()
               .groupBy(F.shiftright("place", 6).alias("word"))
               .agg(F.expr("bit_or(shiftleft(1L, CAST(place % 64 AS INT)))").alias("bits")).toPandas())
@@ -272,7 +272,16 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
     sets = (docs.select("text", F.xxhash64("text").alias("mark")).mapInArrow(work, "node binary, items binary")
             .join(asked, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")))
-    sets = durable(sets)
+    return durable(sets)
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
+              threshold: int) -> DataFrame:
+    """Pairs that reach the threshold on the full sets of shingles."""
+    pairs = durable(pairs.select("a", "b"))
+    asked = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+                    .join(classes.select("node", "mark"), "node"))
+    sets = full_sets(asked, docs, size)
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"))
 
@@ -331,32 +340,91 @@ def crowds(classes: DataFrame, plan: Forest) -> DataFrame:
             .where((F.col("size") > NEXT + 1) & (F.col("x") != F.col("y"))).select("tree", "region", "size"))
 
 
+class Crowd:
+    """Classes of a dense region of a tree: which pairs of them are candidates."""
+
+    def __init__(self, rows: pa.Table, plan: Forest, threshold: int):
+        self.numbers = np.frombuffer(b"".join(rows["numbers"].to_pylist()), np.uint16).reshape(-1, NUMBERS)
+        self.n = rows["n"].to_numpy()
+        self.own = rows["own"].to_numpy()
+        self.root = np.unique([r.hex() for r in rows["root"].to_pylist()], return_inverse=True)[1]
+        self.plan, self.threshold = plan, threshold
+        self.blocks = rows["i"][0].as_py(), rows["j"][0].as_py()
+        # The regions that the classes are in in earlier trees.
+        kind = np.dtype((np.void, 2 * plan.shallow))
+        self.earlier = np.array([
+            np.unique(np.ascontiguousarray(self.numbers[:, order[:plan.shallow]]).view(kind).ravel(),
+                      return_inverse=True)[1]
+            for order in plan.orders[:rows["tree"][0].as_py()]]).reshape(-1, len(self.n))
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each class of one block with its candidates in the other: of other components, of a size and
+        a signature that allow the similarity, and in no region together before."""
+        i, j = self.blocks
+        right = np.flatnonzero(self.own == j)
+        for x in np.flatnonzero(self.own == i).tolist():
+            near = right[right > x] if i == j else right
+            near = near[(self.root[near] != self.root[x])
+                        & (100 * np.minimum(self.n[near], self.n[x]) >= self.threshold * np.maximum(self.n[near], self.n[x]))]
+            near = near[(self.numbers[near] == self.numbers[x]).sum(axis=1) >= self.plan.agree]
+            near = near[~(self.earlier[:, near] == self.earlier[:, x, None]).any(axis=0)]
+            if len(near):
+                yield x, near
+
+
+def _in_blocks(rows: DataFrame, chunks: Column) -> DataFrame:
+    """Rows of regions in each pair of blocks of theirs: ``i`` and ``j``, and ``own``, the row's block."""
+    return (rows.withColumn("chunks", chunks)
+            .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+            .drop("chunks", "other"))
+
+
 def crowded(regions: DataFrame, classes: DataFrame, plan: Forest, threshold: int) -> DataFrame:
-    """Candidates across components in such regions."""
+    """The classes of such regions that have a candidate there: ``tree``, ``region``, ``node``."""
     rows = forest(classes, plan).withColumn("region", F.substring("key", 1, 2 * plan.shallow)).drop("key")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    placed = (rows.join(regions, ["tree", "region"]).withColumn("chunks", chunks)
-              .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-              .join(classes.select("node", "numbers"), "node")
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-              .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")))
+    placed = _in_blocks(rows.join(regions, ["tree", "region"]).join(classes.select("node", "numbers"), "node"),
+                        F.ceil(F.col("size") / CHUNK).cast("int"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        rows = table.combine_chunks()
+        found = np.zeros(rows.num_rows, bool)
+        for x, near in Crowd(rows, plan, threshold).pairs():
+            found[x] = found[near] = True
+        return rows.select(["tree", "region", "node"]).filter(pa.array(found))
+
+    return (placed.groupBy("tree", "region", "i", "j")
+            .applyInArrow(compare, "tree int, region binary, node binary").distinct())
+
+
+def joined(needed: DataFrame, classes: DataFrame, sets: DataFrame, plan: Forest, threshold: int) -> DataFrame:
+    """Links (a, b) that join the classes of each region whose full sets reach the threshold."""
+    rows = needed.join(classes.select("node", "root", "n", "numbers"), "node")
+    sizes = rows.groupBy("tree", "region").agg(F.ceil(F.sum(8 * F.col("n")) / SETS).cast("int").alias("parts"))
+    placed = _in_blocks(rows.join(sizes, ["tree", "region"]).join(sets, "node"), F.greatest("parts", F.lit(1)))
 
     def compare(table: pa.Table) -> pa.Table:
         rows = table.combine_chunks()
-        numbers = np.frombuffer(b"".join(rows["numbers"].to_pylist()), np.uint16).reshape(-1, NUMBERS)
-        own, n = rows["own"].to_numpy(), rows["n"].to_numpy()
-        node = rows["node"].to_pylist()
-        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        _, group = np.unique([r.hex() for r in rows["root"].to_pylist()], return_inverse=True)
-        for x in left.tolist():
-            near = right[(group[right] != group[x])
-                         & (100 * np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x]))]
-            near = near[(numbers[near] == numbers[x]).sum(axis=1) >= plan.agree]
-            a += [min(node[x], node[y]) for y in near.tolist()]
-            b += [max(node[x], node[y]) for y in near.tolist()]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        crowd = Crowd(rows, plan, threshold)
+        bounds = np.concatenate(([0], np.cumsum(crowd.n)))
+        _, items = np.unique(np.frombuffer(b"".join(rows["items"].to_pylist()), np.uint64), return_inverse=True)
+        mark = np.zeros(int(items.max(initial=-1)) + 1, bool)
+        root, a, b = crowd.root.copy(), [], []
+        for x, near in crowd.pairs():
+            mark[items[bounds[x]:bounds[x + 1]]] = True
+            while len(near := near[root[near] != root[x]]):
+                some, near = near[:64], near[64:]
+                lengths = crowd.n[some]
+                shared = mark[items[gather(bounds[some], lengths)]].astype(np.int64)
+                both = np.add.reduceat(shared, np.cumsum(lengths) - lengths)
+                for y in some[100 * both >= threshold * (crowd.n[x] + lengths - both)].tolist():
+                    if root[y] != root[x]:
+                        root[root == root[y]] = root[x]
+                        a.append(x), b.append(y)
+            mark[items[bounds[x]:bounds[x + 1]]] = False
+        one, other = (rows["node"].take(pa.array(ends, pa.int64())) for ends in (a, b))
+        return pa.table({"a": one, "b": other})
 
     return (placed.groupBy("tree", "region", "i", "j").applyInArrow(compare, "a binary, b binary")
             .distinct())
@@ -402,7 +470,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     own = with_roots(roots)
     regions = durable(crowds(own, plan))
     if not regions.isEmpty():
-        roots = further(roots, linked(crowded(regions, own, plan, threshold)))
+        needed = durable(crowded(regions, own, plan, threshold))
+        asked = durable(needed.select("node").distinct().join(classes.select("node", "mark"), "node"))
+        roots = further(roots, durable(joined(needed, own, full_sets(asked, docs, size), plan, threshold)))
     rows = (sketched.select("doc_id", "n_shingles", "node", *more)
             .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
