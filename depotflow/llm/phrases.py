@@ -8,8 +8,8 @@
    frequent prefixes are cut into segments by a hash of the next word, so no task holds one whole.
 3. A merged stripe tells the extensions that are frequent, the total of its prefix, and the most frequent
    extension, which decides on subsumption. A phrase is frequent only if its parts are, so the stripes of
-   longer prefixes are asked for frequent parts only: first the vocabulary, then pairs, then the rest
-   in one pass. Tasks know frequent parts by bit tables of a fixed size, which let some rare parts through
+   longer prefixes are asked for frequent parts only: first the vocabulary, then pairs, then triples, then the
+   rest in one pass. Tasks know frequent parts by bit tables of a fixed size, which let some rare parts through
    and no frequent one out: what they let through is counted and then dropped.
 
 Counts are exact and over all texts. Phrases are told apart by their words, not by hashes.
@@ -36,7 +36,7 @@ NO_LANGUAGE = "und"
 BITS = 25  # places of the tables of frequent parts
 HOT = 1 << 20  # occurrences of a prefix from which on its stripe is cut into segments
 SEGMENTS = 256
-SLICE = 1 << 22  # bytes of text that a task counts at once
+SLICE = 1 << 24  # bytes of text that a task counts at once
 
 # A word ends at a space, a tab, or a mark that ends the piece.
 BREAK = np.zeros(256, bool)
@@ -82,7 +82,7 @@ class Corpus:
         self.langs = coded.dictionary
         doc = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
         self.lang = coded.indices.to_numpy()[doc].astype(np.int64)
-        piece = np.concatenate([[0], np.cumsum(BREAK[data])])[starts]
+        piece = np.searchsorted(np.flatnonzero(BREAK[data]), starts)
         #: whether a word and the next one stand in the same piece
         self.goes_on = np.zeros(len(starts), bool)
         if len(starts):
@@ -155,7 +155,9 @@ def extensions(corpus: Corpus, parts: Parts, lengths: range) -> Iterator[pa.Reco
     number = np.zeros(total, np.int64)
     words = len(corpus.words)
     if len(at):
-        _, number[at] = np.unique(hashes[at], return_inverse=True)
+        number[at] = corpus.lang[at]
+        for k in range(least):
+            number[at] = np.unique(number[at] * words + corpus.codes[at + k], return_inverse=True)[1]
     for length in lengths:
         if not len(at):
             return
@@ -282,11 +284,12 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_co
     docs = _rows(docs, text_column, lang_column)
     first = durable(merged(stripes(docs, None, range(0, 1)), least))
     frequent = known(extended(first))
-    pairs = durable(merged(stripes(docs, frequent, range(1, 2)), least))
-    if longest < 3:
-        return first, pairs
-    rest = durable(merged(stripes(docs, known(extended(pairs)), range(2, longest)), least))
-    return first, pairs.unionByName(rest)
+    found = latest = durable(merged(stripes(docs, frequent, range(1, 2)), least))
+    for lengths in (range(2, min(3, longest)), range(3, longest)):
+        if lengths:
+            latest = durable(merged(stripes(docs, known(extended(latest)), lengths), least))
+            found = found.unionByName(latest)
+    return first, found
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, subsumed: int = SUBSUMED,
