@@ -2,20 +2,23 @@
 
 A page is read into blocks: the text between two block-level tags, with the tags, classes, ids and
 roles above it. Scripts, styles, markup comments, controls and the head hold no text. Features of
-a block are its ancestors and its text (length, links, punctuation, place); neighbouring labels
-are tied by transition weights. Training maximises the likelihood of labelled
+a block are its ancestors, their classes by distance, and its text (length, links, punctuation, place);
+neighbouring labels are tied by transition weights. Classes of the page as a whole (``html``, ``body``, ``article``,
+``main``) tell of the layout, not of a block, and are no features. Training maximises the likelihood of labelled
 pages, a bounded sample; pages label themselves where they mark their article
-(``article`` or ``main``), and a few fixed pages show other layouts. Viterbi finds the best
+(``article`` or ``main``), and fixed pages show other layouts. Viterbi finds the best
 labels of a page; its main blocks are joined by line breaks.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 #: Pages that training reads at most, about; they are taken by a hash of the id.
 SAMPLE_PAGES = 600
 ROUNDS = 120
-RIDGE = 0.02
+RIDGE = 0.002
 
 # What HTML says about its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,11 +46,15 @@ CLOSES = {  # an opening tag ends these open elements, up to the ones after the
 ENDS_P = BLOCK - frozenset("dd dt li td th tr tbody thead tfoot body html caption legend".split())
 CHROME = frozenset("nav footer aside form menu search".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
-HINT = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|foot|header|"
-    r"login|menu|modal|nav\w*|newsletter|notices?|pagination|pager|popup|promo\w*|related|"
-    r"replies|respond|share|sharing|sidebar|side|social|sponsor\w*|subscribe|tags|toolbar|widgets?)"
-    r"(?:$|[-_ ])", re.IGNORECASE)
+OUTER = frozenset("html body article main".split())
+# Words of class names that page furniture goes by, and what turns such a word into a setting.
+HINTS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies "
+    "consent discussion disqus feedback foot footer header login menu modal nav navbar navigation newsletter notice "
+    "notices pager pagination popup promo promos promotion reactions related remark remarks replies respond reviews share sharing side "
+    "sidebar social sponsor sponsored sponsors subscribe tags talkback thread toolbar widget widgets".split())
+SETTINGS = frozenset("has with without no is show hide".split())  # as a first part
+STATES = frozenset("open closed fixed sticky enabled disabled on off".split())  # as a last part
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -57,36 +64,54 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[
                        re.IGNORECASE)
 END_OF_RAW = {name: re.compile(rf"</{name}[\s/>]", re.IGNORECASE) for name in RAW}
 SPACES = re.compile(r"\s+")
+PARTS = re.compile(r"[-_]+")
+FARTHEST = 3  # elements above a block, beyond which the distance is not told apart
+
+
+class Element(NamedTuple):
+    tag: str
+    names: tuple[str, ...]  # classes and ids
+    hints: tuple[str, ...]  # words among them that page furniture goes by
+    apart: bool  # tag, role or style of page furniture
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, str, bool], ...]  # (tag, classes and ids, marked as no article text)
+    path: tuple[Element, ...]
     links: int  # characters inside links
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool]:
-    """Class, id and role of an element, and whether they (or the tag) mark page furniture."""
-    names, apart = "", tag in CHROME
+def hints(names: tuple[str, ...]) -> tuple[str, ...]:
+    """Words of page furniture in class names, but for names of settings and states."""
+    out = []
+    for name in names:
+        parts = PARTS.split(name)
+        if len(parts) == 1 or not (parts[0] in SETTINGS or parts[-1] in STATES):
+            out += [part for part in parts if part in HINTS]
+    return tuple(out)
+
+
+def element(tag: str, attributes: str) -> Element:
+    """What an element says of the blocks below it."""
+    names, apart = [], tag in CHROME
     for name, value in ATTRIBUTE.findall(attributes) if "=" in attributes or "hidden" in attributes else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            names += " " + value
-            apart = apart or bool(HINT.search(value))
+            names += value.lower().split() if tag not in OUTER else []
         elif name == "role":
             apart = apart or value.lower() in CHROME_ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             apart = True
         elif name == "style":
             apart = apart or "display:none" in value.replace(" ", "").lower()
-    return names.strip().lower(), apart
+    return Element(tag, tuple(names), hints(tuple(names)), apart)
 
 
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[Element] = []
     pieces: list[str] = []
     links = unseen = in_link = 0
     path: tuple | None = None
@@ -111,9 +136,9 @@ def blocks(page: str) -> list[Block]:
 
     def pop_to(at: int) -> None:
         nonlocal unseen, in_link
-        for tag, _, _ in stack[at:]:
-            unseen -= tag in UNSEEN
-            in_link -= tag == "a"
+        for gone in stack[at:]:
+            unseen -= gone.tag in UNSEEN
+            in_link -= gone.tag == "a"
         del stack[at:]
 
     at = 0
@@ -132,10 +157,10 @@ def blocks(page: str) -> list[Block]:
             flush()
         if closing:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     pop_to(i)
                     break
-                if stack[i][0] in BLOCK and tag not in BLOCK:
+                if stack[i].tag in BLOCK and tag not in BLOCK:
                     break
             continue
         if tag == "br":
@@ -145,19 +170,19 @@ def blocks(page: str) -> list[Block]:
         ends, stop = CLOSES.get(tag, ("p", "") if tag in ENDS_P else ("", ""))
         if ends:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends.split():
+                if stack[i].tag in ends.split():
                     pop_to(i)
-                elif stack[i][0] in stop.split() or (ends == "p" and stack[i][0] in BLOCK):
+                elif stack[i].tag in stop.split() or (ends == "p" and stack[i].tag in BLOCK):
                     break
         if attributes.endswith("/") and tag in ("svg", "math"):
             continue
         if tag in RAW:
             end = END_OF_RAW[tag].search(page, at)
             at = end.start() if end else len(page)
-        names, apart = _marks(tag, attributes) if attributes else ("", tag in CHROME)
-        if tag == "header" and not any(t in ("article", "main") for t, _, _ in stack):
-            apart = True
-        stack.append((tag, names, apart))
+        opened = element(tag, attributes) if attributes else Element(tag, (), (), tag in CHROME)
+        if tag == "header" and not any(e.tag in ("article", "main") for e in stack):
+            opened = opened._replace(apart=True)
+        stack.append(opened)
         unseen += tag in UNSEEN
         in_link += tag == "a"
     flush()
@@ -166,32 +191,31 @@ def blocks(page: str) -> list[Block]:
 
 def self_label(block: Block) -> bool:
     """Whether a page that marks its article says that a block belongs to it."""
-    inside = False
-    for tag, _, apart in block.path:
-        inside = inside or tag in ("article", "main")
-        if apart:
-            return False
-    return inside
+    return (any(e.tag in ("article", "main") for e in block.path)
+            and not any(e.apart or e.hints for e in block.path))
 
 
 def features(page: list[Block]) -> list[list[str]]:
     out, n = [], len(page)
     for i, block in enumerate(page):
         text = block.text
-        tags = [t for t, _, _ in block.path]
-        apart = any(a for _, _, a in block.path)
-        inside = "article" in tags or "main" in tags
+        tags = [e.tag for e in block.path]
         nearest = next((t for t in reversed(tags) if t in BLOCK), "none")
         words = text.count(" ") + 1
         own = {"1", f"near {nearest}", f"words {min(9, int(math.log2(words)))}",
                f"links {min(4, 5 * block.links // (len(text) + 1))}",
-               f"{'apart' if apart else 'part'} {'inside' if inside else 'outside'}",
+               f"inside {'article' in tags or 'main' in tags}",
                f"end {text[-1] if text[-1] in '.!?:;' else 'other'}",
                f"from {min(3, 4 * i // n)}", f"first {i == 0}", f"last {i == n - 1}"}
-        own.update(f"in {t}" for t in tags)
-        own.update(f"class {c}" for _, names, _ in block.path for c in names.split())
-        if apart:
-            own.add("apart")
+        for distance, above in enumerate(reversed(block.path)):
+            far = min(distance, FARTHEST)
+            own.add(f"in {above.tag}")
+            own.update(f"class {name} {far}" for name in above.names)
+            own.update(f"hint {word}" for word in above.hints)
+            if above.hints:
+                own.add(f"hint at {far}")
+            if above.apart:
+                own.add(f"apart at {far}")
         if text[0] in "©" or "©" in text[:40]:
             own.add("copyright")
         out.append(sorted(own))
@@ -305,8 +329,40 @@ def fit(pages: list[tuple[list[Block], list[bool]]], rounds: int = ROUNDS, ridge
     return Field(names, theta[:2 * size].reshape(size, 2), theta[-6:-4], theta[-4:].reshape(2, 2))
 
 
+def layouts() -> Iterator[str]:
+    """For each word of page furniture, pages that use it: as a part of the page, of the article, and as a setting.
+
+    Texts of all lengths and ends stand in and out of articles alike, so that they tell less than the elements do.
+    """
+    turn = itertools.count()
+
+    def text() -> str:
+        i = next(turn)
+        return " ".join(["word"] * (1, 7, 2, 15, 4, 33, 70)[i % 7]) + ("", ".", "?", "", ":")[i % 5]
+
+    for i, word in enumerate(sorted(HINTS)):
+        before, after = ("", f"-{i}") if i % 2 else ("page-", "")
+        yield (f'<body class="{word}"><div class="page"><div class="{before}{word}{after}"><p>{text()}</p>'
+               f'</div><div class="post"><h1>+{text()}</h1><p>+{text()}</p><ul><li>+{text()}</li></ul>'
+               f'<p>+{text()}</p></div></div></body>')
+        opened, closed = (("<article><div>", "</div></article>"), ("<main><div>", "</div></main>"), ("<div>", "</div>"),
+                          ("<main><article>", "</article></main>"))[i % 4]
+        apart = ("aside", "footer", "nav", "form", "menu")[i % 5]
+        yield (f'<body>{opened}<h1>+{text()}</h1><p>+{text()}</p><ul><li>+{text()}</li></ul><div id="'
+               f'{word}"><div><p>{text()}</p></div><p>{text()}</p></div>'
+               f'<p>+{text()}</p>{closed}<div class="{before}{word}{after}">{text()}</div></body>')
+        yield (f'<body>{opened}<h1>+{text()}</h1><p>+{text()}</p><div class="{before}{word}{after}"><p>{text()}</p>'
+               f'<p>{text()}</p></div>{closed}</body>')
+        yield (f'<body>{opened}<h2>+{text()}</h2><div class="{before}{word}{after}">{text()}</div><p>+{text()}</p><{apart}>'
+               f'{text()}</{apart}>{closed}</body>')
+        yield (f'<body><div class="has-{word}"><main><div class="{word}-open"><h2>+{text()}</h2><p>+{text()}'
+               f'</p></div></main></div><aside><ul><li>{text()}</li></ul></aside></body>')
+        yield (f'<body><h2>+{text()}</h2><p>+{text()}</p><p>+{text()}</p>' + (i % 2) * f'<p id="{word}">{text()}</p>'
+               + '</body>')
+
+
 def example_pages() -> Iterator[tuple[list[Block], list[bool]]]:
-    for page in EXAMPLES:
+    for page in (*EXAMPLES * 5, *list(layouts()) * 2):
         found = blocks(page)
         labels = [b.text.startswith("+") for b in found]
         for b in found:
@@ -314,19 +370,39 @@ def example_pages() -> Iterator[tuple[list[Block], list[bool]]]:
         yield found, labels
 
 
+def with_furniture(found: list[Block], word: str) -> list[Block]:
+    """A page with some of its main blocks again, below the last one, in an element that goes by ``word``."""
+    main = [i for i, b in enumerate(found) if self_label(b)]
+    if not main:
+        return found
+    stand = Element("div", (word,), (word,), False)
+    copies = [Block(found[i].text, (*found[i].path[:-1], stand, found[i].path[-1]), found[i].links)
+              for i in main[::max(1, len(main) // 3)]]
+    return found[:main[-1] + 1] + copies + found[main[-1] + 1:]
+
+
+def without_marks(found: list[Block]) -> list[Block]:
+    """A page whose article is in plain elements."""
+    return [Block(b.text, tuple(Element("div", (), (), e.apart) if e.tag in ("article", "main") else e for e in b.path),
+                  b.links) for b in found]
+
+
 def train(pages: DataFrame, id_column: str = "page_id", html_column: str = "html",
           sample_pages: int = SAMPLE_PAGES) -> Field:
-    """Fit on the fixed pages and about ``sample_pages`` pages that mark their article."""
+    """Fit on the fixed pages and about ``sample_pages`` pages that mark their article. Every other one has
+    page furniture added inside the article, and of every four two have the marks taken away."""
     marked = pages.select(F.col(id_column).alias("id"), F.col(html_column).alias("html")).where(
         F.col("html").rlike("(?i)<(article|main)[\\s>]"))
     total = marked.count()
     if total > sample_pages:
         share = int(sample_pages / total * 2**32)
         marked = marked.where(F.pmod(F.xxhash64("id"), F.lit(2**32)) < share)
-    examples = list(example_pages()) * 5
-    for row in marked.sort("id").select("html").collect():  # the bounded sample
+    examples, words = list(example_pages()), itertools.cycle(sorted(HINTS))
+    for i, row in enumerate(marked.sort("id").select("html").collect()):  # the bounded sample
         found = blocks(row.html)
-        examples.append((found, [self_label(b) for b in found]))
+        found = with_furniture(found, next(words)) if i % 2 else found
+        labels = [self_label(b) for b in found]
+        examples.append((without_marks(found) if i % 4 > 1 else found, labels))
     return fit(examples)
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from depotflow.llm import (covertree, decontaminate, langid, licenses, neardup, pages, queries, repeats,
                            subword, suffixtree, tokenfile)
+from tests.conftest import SF
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -270,10 +272,86 @@ def test_main_text_of_pages(spark):
     assert pages.extract(none, pages.train(none)).count() == 0
 
 
-def test_examples_of_layouts_are_learned():
-    examples = list(pages.example_pages())
-    model = pages.fit(examples * 5)
-    assert all(model.label(found) == labels for found, labels in examples)
+@pytest.fixture(scope="module")
+def field():
+    return pages.fit(list(pages.example_pages()))
+
+
+def test_examples_of_layouts_are_learned(field):
+    assert all(field.label(found) == labels for found, labels in pages.example_pages())
+
+
+STORY = ('<html{html}><body{body}><div class="top menu"><a href="/">home</a></div>{open}<h1>Head of it</h1><p>First text of a '
+         'long story here.</p><ul><li>a point</li></ul><p>The last words of it.</p>{inner}{close}<div class="page-footer">'
+         'Imprint</div></body></html>')
+WANT = "Head of it\nFirst text of a long story here.\na point\nThe last words of it."
+
+
+@pytest.mark.parametrize("html,body", [("", ""), ("", ' class="has-sidebar"'), (' class="header-fixed"', ""),
+                                       (' class="no-ads"', ' class="comments sidebar" id="menu"')])
+@pytest.mark.parametrize("opened,closed", [
+    ("<article>", "</article>"), ('<article class="post comments-open">', "</article>"), ("<main><article>", "</article></main>"),
+    ('<main class="sidebar"><div class="post">', "</div></main>"), ('<div class="post">', "</div>"),
+    ('<div class="has-sidebar"><div id="x1">', "</div></div>")])
+@pytest.mark.parametrize("inner", ["", '<div class="thread"><p>I think so too, at some length.</p><p>Not me.</p></div>',
+                                   '<div id="comments-12"><div><p>A remark of a reader.</p></div></div>',
+                                   '<aside>Read also this</aside>', '<div class="ad-box">Buy now</div>'])
+def test_layouts_do_not_change_the_main_text(field, html, body, opened, closed, inner):
+    page = STORY.format(html=html, body=body, open=opened, close=closed, inner=inner)
+    assert field.text(page) == WANT
+
+
+def test_no_page_changes_by_an_outer_class(spark):
+    rows = queries.table(spark, SF, "pages")
+    model = pages.train(rows)
+    for page in [r.html for r in rows.limit(60).collect()]:
+        for tag, names in (("body", "has-sidebar"), ("html", "header-fixed"), ("article", "post comments-open")):
+            assert model.text(re.sub(f"<{tag}[^>]*>", f'<{tag} class="{names}">', page)) == model.text(page)
+
+
+def every_labelling(n):
+    return itertools.product((0, 1), repeat=n)
+
+
+def score(model, found, labels):
+    rows = [model.weights[[model.names[f] for f in own if f in model.names]].sum(axis=0) for own in pages.features(found)]
+    return (model.start[labels[0]] + sum(r[y] for r, y in zip(rows, labels))
+            + sum(model.step[a, b] for a, b in zip(labels, labels[1:])))
+
+
+def test_viterbi_equals_all_labellings():
+    rng = np.random.default_rng(5)
+    short = [found[:k] for k, (found, _) in zip((1, 2, 3, 5, 6, 8, 4, 7) * 3, pages.example_pages())]
+    names = sorted({f for found in short for own in pages.features(found) for f in own})
+    for found in short:
+        model = pages.Field({f: i for i, f in enumerate(names)}, rng.normal(size=(len(names), 2)), rng.normal(size=2),
+                            rng.normal(size=(2, 2)))
+        best = max(every_labelling(len(found)), key=lambda y: score(model, found, y))
+        assert model.label(found) == [bool(y) for y in best]
+
+
+def test_training_ends_where_the_likelihood_is_highest():
+    """At the weights that are found, the slope of the penalised likelihood, by all labellings, is about zero."""
+    some = [(found[:5], labels[:5]) for found, labels in list(pages.example_pages())[:3]]
+    model = pages.fit(some, rounds=3000, ridge=0.1)
+
+    def value(model):
+        total = 0.0
+        for found, labels in some:
+            scores = [score(model, found, y) for y in every_labelling(len(found))]
+            total += score(model, found, [int(y) for y in labels]) - np.logaddexp.reduce(scores)
+        flat = np.concatenate([model.weights.ravel(), model.start, model.step.ravel()])
+        return total / len(some) - 0.05 * (flat ** 2).sum()
+
+    for part in (model.weights, model.start, model.step):
+        flat = part.reshape(-1)
+        for i in range(0, len(flat), max(1, len(flat) // 25)):
+            kept, ends = flat[i], []
+            for move in (1e-4, -1e-4):
+                flat[i] = kept + move
+                ends.append(value(model))
+            flat[i] = kept
+            assert abs(ends[0] - ends[1]) / 2e-4 < 5e-3
 
 
 def test_licences_are_found_and_inherited(spark):
@@ -371,6 +449,54 @@ def test_dense_regions_are_compared_across_components(spark, monkeypatch):
     assert {r.component_id for r in rows} == {0}
 
 
+@pytest.mark.parametrize("chunk,sets", [(2048, 8 << 20), (7, 9000)])
+def test_dense_regions_give_rows_by_classes_not_by_pairs(spark, monkeypatch, chunk, sets):
+    """Texts of one template, most pairs just below the threshold and some just above it."""
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
+    monkeypatch.setattr(neardup, "SETS", sets)
+    counted = {}
+    for name in ("crowded", "joined"):
+        plain = getattr(neardup, name)
+
+        def kept(*args, name=name, plain=plain):
+            made = plain(*args)
+            counted[f"{name}_rows"] = made.count()
+            return made
+
+        monkeypatch.setattr(neardup, name, kept)
+    rng, template = random.Random(3), prose(61, 300).split()
+    texts = []
+    for k in range(100):
+        words = [*template]
+        for place in rng.sample(range(300), rng.choice([3, 5, 6, 6, 6, 7])):
+            words[place] = f"edit{k}x{place}"
+        texts.append(" ".join(words))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(neardup.near_duplicates(table).collect(), key=lambda r: r.doc_id)
+    roots = brute_near(texts, 3, 85)
+    assert [r.component_id for r in rows] == roots
+    assert 10 < len(set(roots)) < 100
+    trees = neardup.planned(85).trees
+    assert counted["crowded_rows"] <= 100 * trees < 100 * 99 / 2 and counted["joined_rows"] < 2000
+
+
+def test_recall_of_pairs_about_the_threshold(spark):
+    """Planted pairs just above the threshold are all linked, those just below are not."""
+    texts, near = [], []
+    for k in range(60):
+        words = prose(900 + k, 300, 5000).split()
+        for edits in ([], range(20, 290, 60 if k % 2 else 15)):
+            mine = [*words]
+            for place in edits:
+                mine[place] = f"edit{place}"
+            texts.append(" ".join(mine))
+    roots = brute_near(texts, 3, 85)
+    near = [i for i, r in enumerate(roots) if i != r]
+    rows = sorted(neardup.near_duplicates(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    assert [r.component_id for r in rows] == roots and len(near) == 30
+
+
 # -- pipeline -----------------------------------------------------------------------
 
 
@@ -382,8 +508,8 @@ def test_pipeline_equals_brute_force(spark, texts, tmp_path):
     items = [(1, prose(14, 41))]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = [(i, t) for i, t, *_ in rows if t and any(c.isalpha() for c in t)]
-    marks = brute_components([t for _, t in left])
-    left = [row for row, mark in zip(left, marks, strict=True) if mark[2]]
+    roots = brute_near([t for _, t in left], 5, 80)  # as the stage takes them
+    left = [row for k, (row, root) in enumerate(zip(left, roots, strict=True)) if k == root]
     cut = []
     for (i, t), (size, gone, _, digest) in zip(left, brute_repeats([t for _, t in left], 200), strict=True):
         if not gone:
