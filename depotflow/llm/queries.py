@@ -81,7 +81,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,11 +328,11 @@ def judge(table: pa.Table, length: int, at_once: int = TEXT_AT_ONCE) -> pa.Table
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text",
-            block_bytes: int | None = None, keep: list[str] | None = None) -> DataFrame:
+            block_bytes: int | None = None, keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
     """Drop repeated strings of ``length`` bytes from every whole text; one row per input row.
 
     Returns ``doc_id``, the ``keep`` columns, ``n_bytes``, ``n_removed``, ``n_spans`` (runs of
-    dropped bytes), ``kept_sha256`` (of the bytes that are left) and ``kept``, those bytes as text: what
+    dropped bytes), ``kept_sha256`` (of the bytes that are left) and, ``with_text``, ``kept``, those bytes as text: what
     is left of a character that was cut through is no text. A null text counts as empty; texts
     below ``length`` lose nothing. Equal rows are repeats of each other.
     """
@@ -369,8 +369,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", te
     crowd = by_block.cogroup(kinds.groupBy("block")).applyInArrow(tell_crowd, SAID)
     counted = answered(crowd, n, {CROWD: (np.uint8, 1, _count_windows, KEY_BYTES)})
     answers = kinds.unionByName(judged).unionByName(counted)
-    types |= {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string",
-              "kept": "string"}
+    types |= {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
+    types |= {"kept": "string"} if with_text else {}
     schema = ", ".join(f"`{name}` {kind}" for name, kind in types.items())
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -384,12 +384,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", te
             out["n_removed"].append(int(own.sum()))
             out["n_spans"].append(int((own[1:] & ~own[:-1]).sum() + own[:1].sum()))
             out["kept_sha256"].append(hashlib.sha256(left_over).hexdigest())
-            out["kept"].append(left_over.decode(errors="ignore"))
+            if with_text:
+                out["kept"].append(left_over.decode(errors="ignore"))
         rows = block.table
         columns = [rows["__id"], *[rows[f"__{i}"] for i in range(len(kept_columns))],
                    pa.array(np.diff(block.offsets)), pa.array(out["n_removed"], pa.int64()),
                    pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string()),
-                   pa.array(out["kept"], pa.string())]
+                   *([pa.array(out["kept"], pa.string())] if with_text else [])]
         return pa.Table.from_arrays(columns, names=list(types))
 
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
