@@ -1,6 +1,6 @@
 """Named queries with the SQL they are checked against."""
 
-from depotflow.catalog import checks, documents, flows, reports  # noqa: F401
+from depotflow.catalog import checks, documents, flows, integrity, reports  # noqa: F401
 from depotflow.catalog.registry import QUERIES
 
 __all__ = ["QUERIES"]

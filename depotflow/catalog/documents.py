@@ -710,6 +710,75 @@ register("deactivate", lambda w: masters.deactivate(
             AS is_active, created_at FROM suppliers""")
 
 
+register("deactivate_items", lambda w: masters.deactivate(
+    w, "items", w.raw("events").select(F.col("user_id").alias("item_id"))), """
+    SELECT item_id, item_name, description, reorder_level, uom_id,
+        is_active AND item_id NOT IN (SELECT user_id FROM events) AS is_active, created_at FROM items""")
+register("deactivate_users", lambda w: masters.deactivate(
+    w, "users", w.raw("nation").filter("n_regionkey = 4").select(
+        F.col("n_nationkey").cast("bigint").alias("user_id"))), """
+    SELECT user_id, username, is_active AND user_id NOT IN (
+        SELECT n_nationkey FROM nation WHERE n_regionkey = 4) AS is_active, created_at FROM users""")
+
+
+# Partners without an account balance are new, the others edit the row of their key or the next one; some
+# give no name or an empty one.
+_PARTNERS = {"suppliers": ("supplier", "s_"), "customers": ("customer", "c_")}
+
+
+def partner_edits(w: StarWarehouse, table: str) -> Result:
+    source, c = _PARTNERS[table]
+    number = f"{c}{'supp' if c == 's_' else 'cust'}key"
+    key, name = (f"{table[:-1]}_{x}" for x in ("id", "name"))
+    rows = w.raw(source).selectExpr(
+        f"{number} AS req_seq", f"IF({c}acctbal >= 0, {number} + {c}nationkey % 2, NULL) AS {key}",
+        f"CASE {c}nationkey % 8 WHEN 3 THEN '' WHEN 4 THEN NULL ELSE concat({c}name, ' Ltd') END AS {name}",
+        f"CAST({c}nationkey AS STRING) AS phone")
+    return masters.upsert_master(w, table, rows, AS_OF)
+
+
+def _partner_sql(table: str) -> dict[str, str]:
+    source, c = _PARTNERS[table]
+    number = f"{c}{'supp' if c == 's_' else 'cust'}key"
+    key, name = (f"{table[:-1]}_{x}" for x in ("id", "name"))
+    return {
+        "asked": f"""
+            SELECT {number} AS req_seq, CASE WHEN {c}acctbal >= 0 THEN {number} + {c}nationkey % 2 END AS {key},
+                CASE {c}nationkey % 8 WHEN 3 THEN '' WHEN 4 THEN NULL ELSE {c}name || ' Ltd' END AS {name},
+                CAST({c}nationkey AS VARCHAR) AS phone FROM {source}""",
+        "judged": f"""
+            SELECT a.*, t.{key} IS NOT NULL AS known,
+                CASE WHEN a.{key} IS NULL AND coalesce(a.{name}, '') = '' THEN 'required field is empty'
+                    WHEN t.{key} IS NOT NULL AND a.{name} IS NULL THEN 'not_null {name}' END AS reason
+            FROM asked a LEFT JOIN {table} t ON t.{key} = a.{key}""",
+        "made": f"""
+            SELECT (SELECT max({key}) FROM {table}) + row_number() OVER (ORDER BY req_seq) AS new_id, *
+            FROM judged WHERE reason IS NULL AND {key} IS NULL""",
+        "kept": f"""
+            SELECT * FROM judged WHERE reason IS NULL AND known
+            QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY req_seq DESC) = 1""",
+    }
+
+
+for _table in _PARTNERS:
+    _key, _name = (f"{_table[:-1]}_{x}" for x in ("id", "name"))
+    _more, _new = ("is_active, ", "TRUE, ") if _table == "suppliers" else ("", "")
+    _mail = "email" if _table == "suppliers" else None
+    register(f"upsert_{_table}", lambda w, t=_table: partner_edits(w, t).outcome, f"""
+        SELECT j.req_seq, coalesce(j.{_key}, m.new_id) AS {_key}, j.reason,
+            CASE WHEN j.reason IS NOT NULL THEN 'rejected' WHEN j.{_key} IS NULL OR j.known THEN 'accepted'
+                ELSE 'unchanged' END AS outcome
+        FROM judged j LEFT JOIN made m ON m.req_seq = j.req_seq""", _partner_sql(_table))
+    register(f"upsert_{_table}_rows", lambda w, t=_table: partner_edits(w, t).changed[t], f"""
+        SELECT t.{_key}, CASE WHEN k.req_seq IS NULL THEN t.{_name} ELSE k.{_name} END AS {_name},
+            {'CASE WHEN k.req_seq IS NULL THEN t.email END AS email, ' if _mail else ''}
+            CASE WHEN k.req_seq IS NULL THEN t.phone ELSE k.phone END AS phone,
+            CASE WHEN k.req_seq IS NULL THEN t.address END AS address, {_more}t.created_at
+        FROM {_table} t LEFT JOIN kept k ON k.{_key} = t.{_key}
+        UNION ALL SELECT new_id, {_name}, {'NULL, ' if _mail else ''}phone, NULL, {_new}{SQL_AS_OF} FROM made""",
+             _partner_sql(_table))
+
+
 def new_users(w: StarWarehouse) -> Result:
     """Customers ask for accounts; those of one segment and nation share a name."""
     names = w.raw("customer").select(
@@ -841,12 +910,14 @@ EACH_SQL = {
             FROM turns t JOIN wanted w ON w.nr = t.nr + 1)""",
 }
 register("replay_each", lambda w: sell_each(w)[1], """
-    SELECT so_id AS order_seq, CASE WHEN stranger OR item IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS outcome,
-        CASE WHEN stranger THEN 'create' WHEN item IS NOT NULL THEN 'reserve' END AS step,
-        CASE WHEN stranger THEN 'foreign_key created_by' WHEN need = 0 THEN 'check_range ordered_quantity'
-            WHEN item IS NOT NULL THEN 'Insufficient stock for item_id ' || item || '. Available: ' || there
-                || ', Requested: ' || need END AS reason
-    FROM turns WHERE nr > 0""", EACH_SQL)
+    SELECT o.so_id AS order_seq,
+        CASE WHEN o.so_id % 19 = 0 OR t.item IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS outcome,
+        CASE WHEN o.so_id % 19 = 0 THEN 'create' WHEN t.item IS NOT NULL THEN 'reserve' END AS step,
+        CASE WHEN o.so_id % 19 = 0 THEN 'foreign_key created_by'
+            WHEN t.need = 0 AND t.item IS NOT NULL THEN 'check_range ordered_quantity'
+            WHEN t.item IS NOT NULL THEN 'Insufficient stock for item_id ' || t.item || '. Available: ' || t.there
+                || ', Requested: ' || t.need END AS reason
+    FROM sales_orders o LEFT JOIN turns t ON t.so_id = o.so_id AND t.nr > 0 WHERE o.status = 'Packed'""", EACH_SQL)
 register("replay_each_stock", lambda w: sell_each(w)[0]["stock_balance"], f"""
     SELECT b.item_id, CAST(b.available_quantity - coalesce(s.qty, 0) AS DECIMAL(12,2)) AS available_quantity,
         b.reserved_quantity, CASE WHEN s.qty IS NULL THEN b.last_updated ELSE {SQL_AS_OF} END AS last_updated

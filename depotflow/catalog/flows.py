@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from depotflow.catalog.documents import CONFIRM_SQL
 from depotflow.catalog.registry import register
 from depotflow.catalog.star_sql import AS_OF as SQL_AS_OF
-from depotflow.functions.columns import stamp
-from depotflow.plans import masters
+from depotflow.functions.columns import stamp, with_generated
+from depotflow.plans import lists, masters
 from depotflow.operators.changes import FLAG, UPDATE
 from depotflow.session import fresh_path
+from depotflow.sources.copysource import registered
 from depotflow.sources.copytext import read_copy_text, write_copy_text
 from depotflow.sources.jsonrows import write_json
 from depotflow.sources.snapshots import SnapshotStore
@@ -46,12 +47,40 @@ register("copy_text_lines",
          "SELECT * FROM purchase_order_lines")
 
 
-def _json_suppliers(w: StarWarehouse) -> DataFrame:
-    path = fresh_path(w.spark, "json-suppliers")
-    write_json(w["suppliers"], path)
+def _received_lines(w: StarWarehouse) -> DataFrame:
+    """Lines of which something has come in, tested by the data source while it reads."""
+    path = fresh_path(w.spark, "copy-source")
+    write_copy_text(w["purchase_order_lines"], path, "purchase_order_lines")
+    rows = registered(w.spark).read.format("copytext").options(path=path, table="purchase_order_lines").load()
+    return with_generated(rows.filter("received_quantity > 0"), "purchase_order_lines")
+
+
+register("copy_text_source", _received_lines, "SELECT * FROM purchase_order_lines WHERE received_quantity > 0")
+
+
+def _through_json(w: StarWarehouse, rows: DataFrame) -> DataFrame:
+    path = fresh_path(w.spark, "json")
+    write_json(rows, path)
     return w.spark.read.text(path)
 
 
+def _json_suppliers(w: StarWarehouse) -> DataFrame:
+    return _through_json(w, w["suppliers"])
+
+
+# Whole texts with quotes, line ends and other signs that JSON escapes, and arrays that hold a NULL.
+register("json_documents", lambda w: _through_json(w, w.raw("documents").select(
+    "doc_id", F.concat("text", F.lit(' "\\ \t\x08\x0c\r/é')).alias("text"),
+    F.nullif(F.col("lang"), F.lit("en")).alias("lang"))), r"""
+    SELECT '{"doc_id":' || doc_id || ',"text":"' || replace(replace(replace(replace(replace(replace(replace(
+            text || ' "\ ' || chr(9) || chr(8) || chr(12) || chr(13) || '/é', '\', '\\'), '"', '\"'), chr(10), '\n'),
+            chr(9), '\t'), chr(8), '\b'), chr(12), '\f'), chr(13), '\r')
+        || '","lang":' || CASE WHEN lang = 'en' THEN 'null' ELSE '"' || lang || '"' END || '}' AS value FROM documents""")
+register("json_user_roles", lambda w: _through_json(w, lists.user_roles(w).select("user_id", "roles")), """
+    SELECT '{"user_id":' || user_id || ',"roles":[' || string_agg(coalesce('"' || role_name || '"', 'null'), ','
+        ORDER BY role_name) || ']}' AS value
+    FROM (SELECT u.user_id, r.role_name FROM users u LEFT JOIN user_roles ur ON ur.user_id = u.user_id
+        LEFT JOIN roles r ON r.role_id = ur.role_id) GROUP BY user_id""")
 register("json_rows", _json_suppliers, """
     SELECT '{"supplier_id":' || supplier_id || ',"supplier_name":"' || supplier_name
         || '","email":null,"phone":null,"address":null,"is_active":'

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from depotflow.functions.columns import keep_nulls_list
 from depotflow.functions.messages import ROLE_UNKNOWN, message
 from depotflow.schemas import MODEL
+from depotflow.session import durable
 
 Tables = Mapping[str, DataFrame]
 
@@ -63,17 +64,15 @@ def found_rows(source: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return source.join(keys.select(key), key, "left_semi")
 
 
-def missing_keys(source: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Asked keys without a row in ``source``; only asked rows of it are looked at."""
-    found = found_rows(source, keys, key).select(key).distinct()
-    return keys.select(key).distinct().join(found, key, "left_anti")
-
-
 def lookup_by_keys(source: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Hits as rows of ``source`` and misses as a bare key, told apart by ``found``."""
-    hits = found_rows(source, keys, key).withColumn("found", F.lit(True))
-    misses = missing_keys(source, keys, key).withColumn("found", F.lit(False))
-    return hits.unionByName(misses, allowMissingColumns=True)
+    """Hits as rows of ``source`` and misses as a bare key, told apart by ``found``.
+
+    The distinct keys are stored first, so their size is known when they filter the source
+    where it is read; one join then tells hits from misses. The source is read once.
+    """
+    asked = durable(keys.select(key).distinct())
+    hits = found_rows(source, asked, key).withColumn("found", F.lit(True))
+    return asked.join(hits, key, "left").withColumn("found", F.col("found").isNotNull()).select(*source.columns, "found")
 
 
 LATEST = (
