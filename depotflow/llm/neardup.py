@@ -463,9 +463,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         return durable(classes.join(roots, "node", "left")
                        .withColumn("root", F.coalesce("root", "node")))
 
-    alone = durable(forest(classes.withColumn("root", F.col("node")), plan, FIRST))
+    # Trees are made anew for the range boundaries and for the sort: they are larger than what they are made of.
+    alone = forest(classes.withColumn("root", F.col("node")), plan, FIRST)
     roots = durable(components(linked(agreeing(neighbours(alone, plan, threshold, 1), classes, plan))))
-    trees = durable(forest(with_roots(roots), plan))
+    trees = forest(with_roots(roots), plan)
     roots = further(roots, linked(agreeing(neighbours(trees, plan, threshold, NEXT), classes, plan)))
     own = with_roots(roots)
     regions = durable(crowds(own, plan))
