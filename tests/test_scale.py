@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from depotflow.catalog import documents
-from depotflow.operators import integrity
+from depotflow.operators import integrity, running
 from depotflow.operators.running import line_ids
+from depotflow.sources import star as sources
 from depotflow.sources.star import STORED, StarWarehouse
 
 from .conftest import SF
@@ -52,3 +53,25 @@ def test_claims_are_numbers_added_up_without_sorting(spark):
     report = integrity.integrity_report(tables)
     assert "SortAggregate" not in plan(report)
     assert [(r.rule, r.field, r.row_key) for r in report.collect()] == [("foreign_key", "po_id", "2")]
+
+
+def counted(monkeypatch, *modules):
+    """The list of what ``durable`` stores in these modules."""
+    stored = []
+    for module in modules:
+        plain = module.durable
+        monkeypatch.setattr(module, "durable", lambda df, plain=plain: stored.append(df) or plain(df))
+    return stored
+
+
+def test_lines_are_stored_once_with_their_ids(spark, monkeypatch):
+    stored = counted(monkeypatch, running, sources)
+    w = StarWarehouse(spark, SF)
+    lines = w["goods_receipt_lines"]
+    assert len(stored) == 1
+    assert "Join" not in plan(lines)
+    assert [r.grn_line_id for r in lines.orderBy("grn_id", "item_id").collect()] == list(range(1, lines.count() + 1))
+
+
+def test_numbering_no_lines_gives_no_lines(spark):
+    assert line_ids(spark.createDataFrame([], "doc long, item long"), "doc", "item", "nr").count() == 0
