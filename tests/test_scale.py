@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from depotflow.catalog import documents
 from depotflow.operators import integrity, running
 from depotflow.operators.running import line_ids
+from depotflow.plans import views
 from depotflow.sources import star as sources
 from depotflow.sources.star import STORED, StarWarehouse
 
@@ -75,3 +76,11 @@ def test_lines_are_stored_once_with_their_ids(spark, monkeypatch):
 
 def test_numbering_no_lines_gives_no_lines(spark):
     assert line_ids(spark.createDataFrame([], "doc long, item long"), "doc", "item", "nr").count() == 0
+
+
+@pytest.mark.parametrize("view, key", [
+    (views.purchase_order_full, "po_id"), (views.grn_full, "grn_id"), (views.sales_order_full, "so_id"),
+    (views.delivery_challan_full, "dc_id")])
+def test_wide_lines_meet_the_document_last(spark, star, view, key):
+    joins = [line for line in plan(view(star)).splitlines() if "Join" in line]
+    assert f"[{key}#" in joins[0]
