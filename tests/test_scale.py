@@ -84,3 +84,9 @@ def test_numbering_no_lines_gives_no_lines(spark):
 def test_wide_lines_meet_the_document_last(spark, star, view, key):
     joins = [line for line in plan(view(star)).splitlines() if "Join" in line]
     assert f"[{key}#" in joins[0]
+
+
+def test_reserving_splits_the_lines_without_joining_them_to_themselves(spark, star):
+    result = documents.reserve_all(star)
+    joins = [line for line in plan(result.changed["sales_order_lines"]).splitlines() if "LeftAnti" in line]
+    assert joins and not any("so_line_id" in line for line in joins)
