@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from depotflow.catalog import documents
 from depotflow.operators import integrity, running
 from depotflow.operators.running import line_ids
-from depotflow.plans import views
+from depotflow.plans import procurement, sales, views
 from depotflow.sources import star as sources
 from depotflow.sources.star import STORED, StarWarehouse
 
@@ -90,3 +90,15 @@ def test_reserving_splits_the_lines_without_joining_them_to_themselves(spark, st
     result = documents.reserve_all(star)
     joins = [line for line in plan(result.changed["sales_order_lines"]).splitlines() if "LeftAnti" in line]
     assert joins and not any("so_line_id" in line for line in joins)
+
+
+@pytest.mark.parametrize("job, table", [
+    (documents.confirm_all, "purchase_orders"), (documents.dispatch_all, "sales_orders")])
+def test_large_batches_deal_the_order_lines_once(spark, star, monkeypatch, job, table):
+    few = job(star)
+    for module in (procurement, sales):
+        monkeypatch.setattr(module, "FEW", 0)
+    many = job(star)
+    assert plan(many.changed[table]).count("LeftSemi") < plan(few.changed[table]).count("LeftSemi")
+    for one, other in ((few.outcome, many.outcome), (few.changed[table], many.changed[table])):
+        assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
