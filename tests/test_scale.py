@@ -102,3 +102,12 @@ def test_large_batches_deal_the_order_lines_once(spark, star, monkeypatch, job,
     assert plan(many.changed[table]).count("LeftSemi") < plan(few.changed[table]).count("LeftSemi")
     for one, other in ((few.outcome, many.outcome), (few.changed[table], many.changed[table])):
         assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+
+
+def test_a_replay_starts_from_tables_it_does_not_derive(spark):
+    w = StarWarehouse(spark, SF)
+    empty = documents.no_documents(w)
+    assert not w._plans
+    for name, table in empty.items():
+        assert table.isEmpty() and [(f.name, f.dataType) for f in table.schema] == [
+            (f.name, f.dataType) for f in w[name].schema]
