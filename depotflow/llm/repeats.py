@@ -38,7 +38,7 @@ LENGTH = 200
 #: Bytes of a k-gram, at the length of 200: longer ones are rarer by chance, but there are more of them.
 GRAM_SHARE = 0.48
 MOST_SEGMENTS = 4096
-CHUNK = 1 << 20  # window starts that one numpy step works on
+CHUNK = 1 << 18  # window starts that one numpy step works on
 TEXT_AT_ONCE = 1 << 18  # bytes of segments that share a transform, about
 
 SENT = "bucket int, block int, keys binary, lengths binary, text binary"
@@ -173,7 +173,7 @@ class Block:
 
     def removed(self, answers: pa.Table) -> np.ndarray:
         """The runs of bytes to drop, as a mask over the block's text."""
-        step = np.zeros(len(self.data) + 1, np.int64)
+        step = np.zeros(len(self.data) + 1, np.int32)
         whole = np.flatnonzero(self.kind[self.number] & ALL > 0)
         np.add.at(step, self.first[whole], 1)
         np.add.at(step, self.last[whole] + self.length, -1)
@@ -181,7 +181,7 @@ class Block:
             starts, _ = self.windows(numbers)
             np.add.at(step, starts[hit], 1)
             np.add.at(step, starts[hit] + self.length, -1)
-        return np.cumsum(step[:-1]) > 0
+        return np.cumsum(step[:-1], out=step[:-1]) > 0
 
     def _judged(self, answers: pa.Table) -> np.ndarray:
         """Which windows of the sent segments are repeated, in order; answers are packed by bucket."""

@@ -30,6 +30,7 @@ SPACE = "▁"  # the model's sign for a space
 NONE = np.int32(2**31 - 1)
 CACHED = 48 << 20  # bytes that the distinct segments kept between slices may take
 ENTRY = 150  # bytes that a kept segment takes besides its own
+SLICE = 1 << 20  # bytes of text encoded at once: joining ids and their digits takes some forty times as much
 
 
 class PieceModel:
@@ -351,7 +352,7 @@ def encoded(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
     def work(batches):
         coder = Coder(model)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids, begin, texts = coder.texts([t.encode() if t else b"" for t in part["text"].to_pylist()])
                 named, spoken, decoded = [], [], []
                 for name, text in texts:

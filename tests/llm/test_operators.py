@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from depotflow.llm import (covertree, decontaminate, langid, licenses, neardup, pages, queries, repeats,
+from depotflow.llm import (blocks, covertree, decontaminate, langid, licenses, neardup, pages, queries, repeats,
                            subword, suffixtree, tokenfile)
 from tests.conftest import SF
 
@@ -684,3 +685,24 @@ def test_one_row_of_each_component_whatever_the_ids(spark):
     least = [min(ts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
              for ts in ((c, near[2]), (prose(920, 150), f"{prose(920, 150)} end"))]
     assert got == sorted([(1, a), (2, b), (5, least[0]), (None, least[1]), (7, ""), (None, None)], key=str)
+
+
+def test_memory_of_a_slice_and_of_windows():
+    """A task held some 60 bytes for each byte of a 4 MB slice, and window arrays of a megabyte of starts."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i} " for i in range(5000)]
+    text = "".join(words[i] for i in rng.integers(0, 5000, 1 << 18))
+    coder = subword.Coder(queries.tokenizer("piece_bpe_32k.model"))
+    part = pa.RecordBatch.from_pydict({"text": [text[k:k + 4000] for k in range(0, len(text), 4000)]})
+    size = next(iter(subword.slices(part, "text", subword.SLICE))).num_rows
+    coder.texts([t.encode() for t in part["text"].to_pylist()[:size]])
+    tracemalloc.start()
+    try:
+        coder.texts([t.encode() for t in part["text"].to_pylist()[:size]])
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.reset_peak()
+        data = np.frombuffer(text.encode(), np.uint8)
+        repeats.segments(data, np.array([0, len(data)]), 200)
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
