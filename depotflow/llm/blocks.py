@@ -22,7 +22,7 @@ BLOCK_BYTES = 8 << 20  # text of a block, about
 SAID = "bucket int, block int, level int, keys binary, values binary"
 ANSWER = "block int, level int, bucket int, values binary, summary binary"
 MOST_PARTITIONS = 20_000  # beyond this, a task takes several blocks in turn
-KEY_BYTES = 6  # of a key within its bucket; the bucket stands for the highest bits
+KEY_BYTES = 6  # of a key besides the bits that its bucket stands for
 
 
 def blocked(docs: DataFrame, text_column: str = "text",
@@ -93,14 +93,23 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 def say(block: int, level: int, keys: np.ndarray, values: np.ndarray, n: int,
         key_bytes: int = KEY_BYTES) -> pa.RecordBatch:
-    """Rows for all buckets, also the empty ones; ``keys`` ascend, ``values`` has a row per key."""
-    edges = np.searchsorted(bucket_of(keys, n), np.arange(n + 1)).tolist()
-    short = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :key_bytes]
+    """Rows for all buckets, also the empty ones; ``keys`` ascend, ``values`` has a row per key.
+
+    Keys travel as the steps between their highest bits: ``key_bytes`` and those that the bucket stands for.
+    """
+    edges = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
+    cut = np.uint64(max(0, 64 - 8 * key_bytes - (n - 1).bit_length()))
+    steps = np.diff(keys >> cut, prepend=np.uint64(0))
+    # The first key of a bucket is told from where the bucket begins.
+    some = np.flatnonzero(edges[1:] > edges[:-1])
+    begin = (((some.astype(np.uint64) << np.uint64(32)) + np.uint64(n - 1)) // np.uint64(n)) << np.uint64(32)
+    steps[edges[some]] = (keys[edges[some]] >> cut) - (begin >> cut)
+    edges = edges.tolist()
     parts = list(zip(edges[:-1], edges[1:], strict=True))
     return pa.RecordBatch.from_arrays(
         [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, block, np.int32)),
          pa.array(np.full(n, level, np.int32)),
-         pa.array([short[a:b].tobytes() for a, b in parts], pa.binary()),
+         pa.array([pack(steps[a:b]) for a, b in parts], pa.binary()),
          pa.array([pack(values[a:b]) for a, b in parts], pa.binary())],
         names=["bucket", "block", "level", "keys", "values"])
 
@@ -113,8 +122,8 @@ NOTHING = pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa
 Answerer = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, bytes]]
 
 
-#: How to answer on a level: kind and number of the values of a key, the answerer, bytes of a key.
-How = tuple[np.dtype, int, Answerer, int]
+#: How to answer on a level: kind and number of the values of a key, the answerer.
+How = tuple[np.dtype, int, Answerer]
 
 
 def answered(said: DataFrame, n: int, how: dict[int, How]) -> DataFrame:
@@ -127,16 +136,14 @@ def answered(said: DataFrame, n: int, how: dict[int, How]) -> DataFrame:
         # Rows come in any order, and may come in another one when a stage is run again.
         table = table.sort_by("block")
         levels = table["level"].to_numpy()
-        for level, (kind, width, answer, key_bytes) in how.items():
+        for level, (kind, width, answer) in how.items():
             rows = table.take(pa.array(np.flatnonzero(levels == level)))
             if not rows.num_rows:
                 continue
-            sizes = [len(k) // key_bytes for k in rows["keys"].to_pylist()]
-            keys = np.zeros((sum(sizes), 8), np.uint8)
-            keys[:, :key_bytes] = np.frombuffer(b"".join(rows["keys"].to_pylist()),
-                                                np.uint8).reshape(-1, key_bytes)
+            keys = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"].to_pylist()]
+            sizes = [len(k) for k in keys]
             values = np.concatenate([unpack(v, kind, width) for v in rows["values"].to_pylist()])
-            _, group = np.unique(keys.view(np.uint64).ravel(), return_inverse=True)
+            _, group = np.unique(np.concatenate(keys), return_inverse=True)
             found, summary = answer(group, values)
             edges = np.concatenate(([0], np.cumsum(sizes))).tolist()
             out.append(pa.table({
@@ -146,7 +153,8 @@ def answered(said: DataFrame, n: int, how: dict[int, How]) -> DataFrame:
                 "summary": pa.array([summary] * len(sizes), pa.binary())}))
         return pa.concat_tables(out)
 
-    return dealt(said, n, "bucket").groupBy("bucket").applyInArrow(work, ANSWER)
+    # Dealt by block here, answers of several questions can be put together without being dealt again.
+    return dealt(dealt(said, n, "bucket").groupBy("bucket").applyInArrow(work, ANSWER), n, "block")
 
 
 def rows_of(answers: pa.Table, level: int, column: str = "values") -> list[bytes]:

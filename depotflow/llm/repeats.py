@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotflow.llm.blocks import (KEY_BYTES, NOTHING, SAID, answered, blocked, bucket_of, dealt, heard,
-                                  rows_of, say, unpacked)
+from depotflow.llm.blocks import (NOTHING, SAID, answered, blocked, bucket_of, dealt, heard, rows_of, say,
+                                  unpacked)
 from depotflow.llm.text import MIX, gather, mix, text_bytes
 
 LENGTH = 200
@@ -363,11 +363,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", te
         keys, _, times = block.crowd()
         return pa.Table.from_batches([say(number(left), CROWD, keys, times[:, None], n)])
 
-    kinds = answered(by_block.applyInArrow(tell, SAID), n, {KINDS: (np.uint8, 9, _judge_kinds, KEY_BYTES)})
+    kinds = answered(by_block.applyInArrow(tell, SAID), n, {KINDS: (np.uint8, 9, _judge_kinds)})
     sent = by_block.cogroup(kinds.groupBy("block")).applyInArrow(send, SENT)
-    judged = dealt(sent, n, "bucket").groupBy("bucket").applyInArrow(lambda table: judge(table, length), FOUND)
+    judged = dealt(dealt(sent, n, "bucket").groupBy("bucket").applyInArrow(lambda table: judge(table, length), FOUND),
+                   n, "block")
     crowd = by_block.cogroup(kinds.groupBy("block")).applyInArrow(tell_crowd, SAID)
-    counted = answered(crowd, n, {CROWD: (np.uint8, 1, _count_windows, KEY_BYTES)})
+    counted = answered(crowd, n, {CROWD: (np.uint8, 1, _count_windows)})
     answers = kinds.unionByName(judged).unionByName(counted)
     types |= {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
     types |= {"kept": "string"} if with_text else {}

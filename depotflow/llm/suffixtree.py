@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotflow.llm.blocks import (KEY_BYTES, NOTHING, SAID, answered, blocked, heard, rows_of, say,
-                                  unpacked)
+from depotflow.llm.blocks import NOTHING, SAID, answered, blocked, heard, rows_of, say, unpacked
 from depotflow.llm.text import MIX, NOT_SPACE, hash_all, mix, words
 
 DEPTH = 2  # words in the longest context
@@ -63,27 +62,32 @@ class Block:
         sums = np.frombuffer(b"".join(rows_of(self.answers, 0, "summary")), np.int64).reshape(-1, 2).sum(axis=0)
         self.total, self.types = int(sums[0]), int(sums[1])
         self.root = (self.count + 1.0) / (self.total + self.types + 1)
-        # Of each level: the tokens with a context, its key and count, and the count of both.
+        # Of each level: the tokens with a context, the context's number and count, and the count of both.
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self._pairs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        # Keys of the contexts of each level, ascending; a pair of a level is a context of the next.
+        self._contexts: list[np.ndarray] = []
 
     def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens after a context of ``length`` words that is seen often enough: their places,
-        the contexts' keys and counts."""
+        the contexts' numbers (in ``self._contexts``) and counts."""
         if length == 1:
-            at = np.flatnonzero(self.place >= 1)
-            seen = self.count[self.word[at - 1]]
-            enough = seen >= self.least
-            at = at[enough]
-            return at, self.keys[self.word[at - 1]], seen[enough]
-        at, keys, _, counts = self.levels[length - 2]  # tokens with their pair's key and count
-        # The context of a token is the pair that ends at the token before it.
-        seen = np.full(len(self.word), 0, np.int64)
-        key_of = np.zeros(len(self.word), np.uint64)
-        seen[at], key_of[at] = counts, self.pair_keys(keys, self.keys[self.word[at]])
-        at = np.flatnonzero(self.place >= length)
-        enough = seen[at - 1] >= self.least
-        at = at[enough]
-        return at, key_of[at - 1], seen[at - 1]
+            keys, at = self.keys, np.flatnonzero(self.place >= 1)
+            number, seen = self.word[at - 1], self.count[self.word[at - 1]]
+        else:
+            # The context of a token is the pair that ends at the token before it.
+            before, _, _, counts = self.levels[length - 2]
+            keys, number_of, _ = self.pairs(length - 1)
+            count_at, number_at = np.zeros(len(self.word), np.int64), np.zeros(len(self.word), np.int64)
+            count_at[before], number_at[before] = counts, number_of
+            at = np.flatnonzero(self.place >= length)
+            number, seen = number_at[at - 1], count_at[at - 1]
+        enough = seen >= self.least
+        at, number, seen = at[enough], number[enough], seen[enough]
+        held = np.zeros(len(keys), bool)
+        held[number] = True
+        self._contexts[length - 1:] = [keys[held]]
+        return at, (np.cumsum(held) - 1)[number], seen
 
     @staticmethod
     def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -92,25 +96,28 @@ class Block:
     def pairs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the distinct pairs of a context and a word seen in training, their number of each
         token (-1 if the word is not seen), and their training counts."""
-        at, keys, _ = self.contexts(length)
-        word = self.word[at]
-        known = self.count[word] >= 1
-        distinct, number = np.unique(self.pair_keys(keys[known], self.keys[word[known]]),
+        if length not in self._pairs:
+            at, context, _ = self.levels[length - 1][:3] if length <= len(self.levels) else self.contexts(length)
+            word = self.word[at]
+            known = self.count[word] >= 1
+            keys, number = np.unique(self.pair_keys(self._contexts[length - 1][context[known]], self.keys[word[known]]),
                                      return_inverse=True)
-        number_of = np.full(len(at), -1, np.int64)
-        number_of[known] = number
-        times = np.bincount(number[self.train[at[known]]], minlength=len(distinct))
-        return distinct, number_of, times.astype(np.int32)
+            number_of = np.full(len(at), -1, np.int64)
+            number_of[known] = number
+            times = np.bincount(number[self.train[at[known]]], minlength=len(keys))
+            self._pairs[length] = keys, number_of, times.astype(np.int32)
+        return self._pairs[length]
 
     def load_pairs(self, length: int) -> None:
-        at, keys, seen = self.contexts(length)
+        at, context, seen = self.contexts(length)
+        self.levels.append((at, context, seen, np.zeros(0, np.int64)))
         _, number, _ = self.pairs(length)
         counts = np.append(heard(self.answers, 2 * length - 1, np.int32), 0).astype(np.int64)
-        self.levels.append((at, keys, seen, counts[number]))  # a word that no text trains has none
+        self.levels[-1] = at, context, seen, counts[number]  # a word that no text trains has none
 
     def states(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the distinct contexts of a level and the number of each token's context."""
-        return np.unique(self.levels[length - 1][1], return_inverse=True)
+        return self._contexts[length - 1], self.levels[length - 1][1]
 
     def estimate(self, upto: int, left_out: bool) -> np.ndarray:
         """Probability of every token by the states of up to ``upto`` words."""
@@ -212,13 +219,13 @@ def scored(docs: DataFrame, train: Column, id_column: str = "doc_id", text_colum
             return pa.Table.from_batches(said)
         return ask
 
-    answers = answered(by_block.applyInArrow(first, SAID), n, {0: (np.int64, 1, _sum_words, KEY_BYTES)})
+    answers = answered(by_block.applyInArrow(first, SAID), n, {0: (np.int64, 1, _sum_words)})
     for tested in range(depth + 1):
         counted = tested + 1 if tested < depth else 0
         said = by_block.cogroup(answers.groupBy("block")).applyInArrow(ask_of(tested, counted), SAID)
-        how = {2 * tested: (np.int32, len(SHARES), _test, KEY_BYTES)} if tested else {}
+        how = {2 * tested: (np.int32, len(SHARES), _test)} if tested else {}
         if counted:
-            how[2 * counted - 1] = (np.int32, 1, _sum_pairs, PAIR_BYTES)
+            how[2 * counted - 1] = (np.int32, 1, _sum_pairs)
         answers = answers.unionByName(answered(said, n, how))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

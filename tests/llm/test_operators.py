@@ -706,3 +706,19 @@ def test_memory_of_a_slice_and_of_windows():
         assert tracemalloc.get_traced_memory()[1] < 60 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_keys_travel_as_steps():
+    """They took five bytes each; as steps from key to key they take less and still meet in a bucket."""
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 1 << 63, 100_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    for n in (1, 3, 100):
+        some, others = keys[::2], keys[::3]
+        told = [blocks.say(b, 0, k, np.ones((len(k), 1), np.int64), n, 5) for b, k in ((0, some), (1, others))]
+        met = 0
+        for bucket in range(n):
+            one, two = (np.cumsum(blocks.unpack(t["keys"][bucket].as_py(), np.uint64), dtype=np.uint64) for t in told)
+            met += len(np.intersect1d(one, two))
+            assert len(np.unique(one)) == len(one) == int((blocks.bucket_of(some, n) == bucket).sum())
+        assert met == len(np.intersect1d(some, others))
+    assert sum(map(len, told[0]["keys"].to_pylist())) < 4.9 * len(some)
