@@ -3,9 +3,10 @@
 1. A task gives, for each prefix it finds, one stripe: the next words and how often each follows. What
    need not be told apart (the end of a piece, a next word that is rare) is counted under no word, so
    that the sum of a stripe is how often its prefix occurs.
-2. Stripes of a prefix are merged elementwise: they are dealt by language and prefix, sorted, and added up
-   as they stream by. The stripe of no words at all, which holds the vocabulary, and those of very
-   frequent prefixes are cut into segments by a hash of the next word, so no task holds one whole.
+2. Stripes of a prefix are merged elementwise. A task sends them in bundles, one for each bucket of a hash of
+   language and prefix, so that its rows are bounded by the buckets and not by the prefixes that are frequent;
+   a bucket is added up as a whole. The stripe of no words at all, which holds the vocabulary, and those of very
+   frequent prefixes are cut into segments by a hash of the next word, so no bucket holds one whole.
 3. A merged stripe tells the extensions that are frequent, the total of its prefix, and the most frequent
    extension, which decides on subsumption. A phrase is frequent only if its parts are, so the stripes of
    longer prefixes are asked for frequent parts only: first the vocabulary, then pairs, then triples, then the
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depotflow.llm.text import LOWER, MIX, encode, hash_all, mix, slices, text_bytes, word_bounds
+from depotflow.llm.text import LOWER, MIX, encode, gather, hash_all, mix, slices, text_bytes, word_bounds
 from depotflow.session import durable
 
 LONGEST = 5  # words of a phrase
@@ -37,6 +38,8 @@ BITS = 25  # places of the tables of frequent parts
 HOT = 1 << 20  # occurrences of a prefix from which on its stripe is cut into segments
 SEGMENTS = 256
 SLICE = 1 << 24  # bytes of text that a task counts at once
+BUCKETS = 1 << 12  # of prefixes, at least
+WORDS = 1 << 19  # of the texts for a bucket; beyond that there are more buckets
 
 # A word ends at a space, a tab, or a mark that ends the piece.
 BREAK = np.zeros(256, bool)
@@ -46,6 +49,9 @@ IN_WORD[[0x20, 0x09]] = False
 
 KEYS = ("lang", "prefix", "segment")
 STRIPE = "lang string, prefix string, segment int, words array<string>, counts array<long>"
+#: The stripes of a bucket, one after the other; ``sizes`` are their entries.
+BUNDLE = ("bucket int, lang array<string>, prefix array<string>, segment array<int>, sizes array<int>, "
+          "words array<string>, counts array<long>")
 
 
 def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -99,8 +105,8 @@ class Corpus:
 
 
 def _stripes(corpus: Corpus, at: np.ndarray, prefix: np.ndarray, length: int, following: np.ndarray,
-             hot: np.ndarray) -> pa.RecordBatch:
-    """A stripe per prefix and segment: ``at`` has the first words of the prefixes, ``prefix`` the number
+             hot: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A stripe per prefix and segment, in bundles: ``at`` has the first words of the prefixes, ``prefix`` the number
     that tells them apart, ``following`` the code of the next word or -1."""
     words = len(corpus.words)
     keys, counts = np.unique(prefix * (words + 1) + following + 1, return_counts=True)
@@ -115,28 +121,41 @@ def _stripes(corpus: Corpus, at: np.ndarray, prefix: np.ndarray, length: int, fo
     new = np.ones(len(which), bool)
     new[1:] = (which[1:] != which[:-1]) | (segment[1:] != segment[:-1])
     first = np.flatnonzero(new)
-    bounds = pa.array(np.append(first, len(which)).astype(np.int32))
-    at = at[which[first]]
+    at, segment, sizes = at[which[first]], segment[first], np.diff(np.append(first, len(which)))
+    hashes = corpus.lang_hash[corpus.lang[at]]
+    for k in range(length):
+        hashes = _joined(hashes, corpus.word_hash[corpus.codes[at + k]])
+    bucket = (mix(hashes + segment.astype(np.uint64) * MIX) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    entries = gather(first[order], sizes[order])
+    at, segment, sizes, bucket, word, counts = (
+        at[order], segment[order], sizes[order], bucket[order], word[entries], counts[entries])
+    rows = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    stripe_ends = np.append(rows, len(at))
+    bounds = pa.array(stripe_ends.astype(np.int32))
+    entry_bounds = pa.array(np.concatenate(([0], np.cumsum(sizes)))[stripe_ends].astype(np.int32))
     none = pa.array(word < 0)
     text = corpus.words.cast(pa.string())
     named = text.take(pa.array(np.maximum(word, 0), mask=word < 0)) if words else pa.nulls(len(none), pa.string())
     spoken = [text.take(pa.array(corpus.codes[at + k])) for k in range(length)]
     told = pc.binary_join_element_wise(*spoken, " ") if spoken else pa.array([""] * len(at), pa.string())
+    langs = corpus.langs.take(pa.array(corpus.lang[at])).cast(pa.string())
     return pa.RecordBatch.from_arrays(
-        [corpus.langs.take(pa.array(corpus.lang[at])).cast(pa.string()), told,
-         pa.array(segment[first].astype(np.int32)), pa.ListArray.from_arrays(bounds, named),
-         pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int64)))],
-        names=["lang", "prefix", "segment", "words", "counts"])
+        [pa.array(bucket[rows]), *(pa.ListArray.from_arrays(bounds, column) for column in (
+            langs, told, pa.array(segment.astype(np.int32)), pa.array(sizes.astype(np.int32)))),
+         pa.ListArray.from_arrays(entry_bounds, named),
+         pa.ListArray.from_arrays(entry_bounds, pa.array(counts.astype(np.int64)))],
+        names=["bucket", *KEYS, "sizes", "words", "counts"])
 
 
-def vocabulary(corpus: Corpus) -> Iterator[pa.RecordBatch]:
+def vocabulary(corpus: Corpus, buckets: int = BUCKETS) -> Iterator[pa.RecordBatch]:
     """Stripes of no words: every word of a language."""
     if len(corpus.codes):
         yield _stripes(corpus, np.arange(len(corpus.codes)), corpus.lang, 0, corpus.codes.astype(np.int64),
-                       np.ones(len(corpus.codes), bool))
+                       np.ones(len(corpus.codes), bool), buckets)
 
 
-def extensions(corpus: Corpus, parts: Parts, lengths: range) -> Iterator[pa.RecordBatch]:
+def extensions(corpus: Corpus, parts: Parts, lengths: range, buckets: int = BUCKETS) -> Iterator[pa.RecordBatch]:
     """Stripes of the prefixes of these lengths. ``parts`` knows the frequent phrases as long as the least."""
     least = lengths[0]
     total = len(corpus.codes)
@@ -167,13 +186,13 @@ def extensions(corpus: Corpus, parts: Parts, lengths: range) -> Iterator[pa.Reco
         further = (end < total) & frequent[inside] & corpus.goes_on[at + length - 1]
         following = np.where(further, corpus.codes[np.minimum(at + length, total - 1)], -1).astype(np.int64)
         hot = parts.hot(hashes[at]) if length == least else np.zeros(len(at), bool)
-        yield _stripes(corpus, at, number[at], length, following, hot)
+        yield _stripes(corpus, at, number[at], length, following, hot, buckets)
         at, following = at[further], following[further]
         number[at] = np.unique(number[at] * words + following, return_inverse=True)[1]
 
 
-def stripes(docs: DataFrame, parts: Parts | None, lengths: range) -> DataFrame:
-    """Stripes of the prefixes of these lengths as tasks find them in (text, lang)."""
+def stripes(docs: DataFrame, parts: Parts | None, lengths: range, buckets: int = BUCKETS) -> DataFrame:
+    """Stripes of the prefixes of these lengths as tasks find them in (text, lang), in bundles."""
     shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     def work(batches):
@@ -181,64 +200,45 @@ def stripes(docs: DataFrame, parts: Parts | None, lengths: range) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 corpus = Corpus(part["text"], part["lang"])
-                yield from vocabulary(corpus) if parts is None else extensions(corpus, parts, lengths)
+                yield from (vocabulary(corpus, buckets) if parts is None
+                            else extensions(corpus, parts, lengths, buckets))
 
-    return docs.mapInArrow(work, STRIPE)
+    return docs.mapInArrow(work, BUNDLE)
 
 
-def _added(table: pa.Table, least: int | None) -> pa.Table:
-    """One stripe for each run of rows of a key, with its sum. Entries below ``least`` are left out."""
-    columns = {name: table[name].combine_chunks() for name in table.column_names}
-    new = np.zeros(table.num_rows, bool)
-    new[0] = True
-    for name in KEYS:
-        column = columns[name]
-        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
-    first = np.flatnonzero(new)
-    coded = columns["words"].flatten().dictionary_encode()
+def _added(table: pa.Table, least: int) -> pa.Table:
+    """The stripes of a bucket, those of a key added up: the sum of each, and its entries from ``least`` on."""
+    flat = {name: table[name].combine_chunks().flatten() for name in table.column_names if name != "bucket"}
+    lang, prefix = flat["lang"].dictionary_encode(), flat["prefix"].dictionary_encode()
+    key = prefix.indices.to_numpy().astype(np.int64) * len(lang.dictionary) + lang.indices.to_numpy()
+    _, first, stripe = np.unique(key * SEGMENTS + flat["segment"].to_numpy(), return_index=True, return_inverse=True)
+    coded = flat["words"].dictionary_encode()
     size = len(coded.dictionary) + 1
     word = pc.fill_null(coded.indices, size - 1).to_numpy().astype(np.int64)
-    owner = np.repeat(np.cumsum(new) - 1, pc.list_value_length(columns["words"]).to_numpy())
+    owner = np.repeat(stripe, flat["sizes"].to_numpy())
     entry, inverse = np.unique(owner * size + word, return_inverse=True)
     sums = np.zeros(len(entry), np.int64)
-    np.add.at(sums, inverse, columns["counts"].flatten().to_numpy())
+    np.add.at(sums, inverse, flat["counts"].to_numpy())
     owner, word = entry // size, entry % size
     total = np.zeros(len(first), np.int64)
     np.add.at(total, owner, sums)
-    if least is not None:
-        told = (word < size - 1) & (sums >= least)
-        owner, word, sums = owner[told], word[told], sums[told]
+    told = (word < size - 1) & (sums >= least)
+    owner, word, sums = owner[told], word[told], sums[told]
     bounds = pa.array(np.searchsorted(owner, np.arange(len(first) + 1)).astype(np.int32))
-    named = coded.dictionary.take(pa.array(word, mask=word == size - 1))
-    return pa.table([*(columns[name].take(pa.array(first)) for name in KEYS),
-                     pa.ListArray.from_arrays(bounds, named), pa.ListArray.from_arrays(bounds, pa.array(sums)),
-                     pa.array(total)], names=[*KEYS, "words", "counts", "total"])
+    return pa.table([*(flat[name].take(pa.array(first)) for name in KEYS),
+                     pa.ListArray.from_arrays(bounds, coded.dictionary.take(pa.array(word))),
+                     pa.ListArray.from_arrays(bounds, pa.array(sums)), pa.array(total)],
+                    names=[*KEYS, "words", "counts", "total"])
 
 
 def merged(found: DataFrame, least: int) -> DataFrame:
-    """Stripes of a prefix and segment added up elementwise: their sum, and what is frequent of them."""
-
-    def work(batches):
-        held = None  # the stripe of the last key so far
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held.cast(table.schema), table])
-            same = np.ones(table.num_rows, bool)
-            for name in KEYS:
-                column = table[name].combine_chunks()
-                same &= pc.equal(column, column[-1]).to_numpy(zero_copy_only=False)
-            last = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
-            if last:
-                yield from _added(table.slice(0, last), least).to_batches()
-            held = _added(table.slice(last), None).drop_columns("total")
-        if held is not None:
-            yield from _added(held, least).to_batches()
-
-    return (found.repartition(*KEYS).sortWithinPartitions(*KEYS)
-            .mapInArrow(work, STRIPE + ", total long"))
+    """Stripes of a prefix and segment, single or in bundles, added up elementwise: their sum, and what is frequent of
+    them."""
+    if "bucket" not in found.columns:
+        bucket = F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)).cast("int").alias("bucket")
+        found = found.select(bucket, *(F.array(name).alias(name) for name in KEYS),
+                             F.array(F.size("words")).alias("sizes"), "words", "counts")
+    return found.groupBy("bucket").applyInArrow(lambda table: _added(table, least), STRIPE + ", total long")
 
 
 def extended(stripe: DataFrame) -> DataFrame:
@@ -283,11 +283,11 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_co
     ``total``), and of no words (prefix ''), whose totals add up to the words of a language."""
     docs = _rows(docs, text_column, lang_column)
     first = durable(merged(stripes(docs, None, range(0, 1)), least))
-    frequent = known(extended(first))
-    found = latest = durable(merged(stripes(docs, frequent, range(1, 2)), least))
+    buckets = max(BUCKETS, (first.agg(F.sum("total")).first()[0] or 0) // WORDS)
+    found = latest = durable(merged(stripes(docs, known(extended(first)), range(1, 2), buckets), least))
     for lengths in (range(2, min(3, longest)), range(3, longest)):
         if lengths:
-            latest = durable(merged(stripes(docs, known(extended(latest)), lengths), least))
+            latest = durable(merged(stripes(docs, known(extended(latest)), lengths, buckets), least))
             found = found.unionByName(latest)
     return first, found
 

@@ -120,3 +120,14 @@ def test_corpus_of_no_words():
 def test_op13_equals_sql(spark):
     ours = spark_rows(queries.op13_collocations(spark, SF.replace("0.001", "0.01")))
     assert difference(ours, sql_rows(duck(SF.replace("0.001", "0.01")), queries.SQL["op13_collocations"])) is None
+
+
+def test_rows_between_tasks_are_bounded_by_buckets(spark, monkeypatch):
+    """A task gave a row for each prefix, and so ever more as more prefixes become frequent."""
+    monkeypatch.setattr(phrases, "BUCKETS", 8)
+    rows = corpus(3, 200)
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    parts = phrases.known(phrases.extended(phrases.merged(phrases.stripes(docs, None, range(0, 1), 8), 3)))
+    assert phrases.stripes(docs, parts, range(1, 2), 8).count() <= 8
+    got = phrases.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(3), 3).collect()
+    assert {(r.lang, r.phrase): (r.a, r.k, r.l, r.r, r.n, r.score) for r in got} == brute(rows, 3)
