@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from depotflow.functions.columns import LINE_PARTS, is_falsy
 from depotflow.operators.changes import Edit, Edits
 from depotflow.schemas import MODEL, MONEY, QTY, Table
+from depotflow.session import durable
 
 Tables = Mapping[str, DataFrame]
 
@@ -144,20 +145,26 @@ def rows_for(table: DataFrame, batch: DataFrame, on: list[str], many: bool = Fal
 
 
 def orphan_flags(tables: Tables, df: DataFrame, table: str) -> DataFrame:
-    """``df`` with ``orphan``: the first reference column without a parent, or NULL."""
-    flags = []
+    """``df`` with ``orphan``: the first reference column without a parent, or NULL.
+
+    Distinct references meet the parents; only those without one, which are stored and mostly few, go
+    back to the rows, so the rows are not dealt. A row comes once for each parent of its reference.
+    """
+    flags, rows = [], df
     for i, reference in enumerate(MODEL[table].references):
-        if reference.column not in df.columns:
+        column = reference.column
+        if column not in rows.columns:
             continue
-        parent_key = MODEL[reference.parent].key[0]
-        parents = tables[reference.parent].select(
-            F.col(parent_key).alias(reference.column), F.lit(True).alias(f"_has_{i}"))
-        df = df.join(rows_for(parents, df, [reference.column]), reference.column, "left")
-        flags.append((i, reference.column))
-    orphan = F.coalesce(*[
-        F.when(F.col(c).isNotNull() & F.col(f"_has_{i}").isNull(), F.lit(c)) for i, c in flags
-    ], F.lit(None).cast("string"))
-    return df.withColumn("orphan", orphan).drop(*[f"_has_{i}" for i, _ in flags])
+        parents = tables[reference.parent].select(F.col(MODEL[reference.parent].key[0]).alias(column))
+        used = rows.select(column).dropna().distinct()
+        found = rows_for(parents, used, [column]).groupBy(column).agg(F.count("*").alias("_n"))
+        odd = durable(used.join(found, column, "left").filter("_n IS NULL OR _n > 1").select(
+            column, F.col("_n").isNull().alias(f"_lost_{i}"),
+            F.explode(F.sequence(F.lit(1), F.coalesce("_n", F.lit(1)))).alias("_copy")).drop("_copy"))
+        df = df.join(odd, column, "left")
+        flags.append((i, column))
+    orphan = F.coalesce(*[F.when(F.col(f"_lost_{i}"), F.lit(c)) for i, c in flags], F.lit(None).cast("string"))
+    return df.withColumn("orphan", orphan).drop(*[f"_lost_{i}" for i, _ in flags])
 
 
 def cascade_delete(tables: Tables, table: str, keys: DataFrame) -> tuple[Edits, DataFrame]:

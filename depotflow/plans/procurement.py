@@ -80,6 +80,22 @@ def given_ids(tables: Tables, rows: DataFrame, table: str, pair: tuple[str, ...]
             F.col("_late") == "pair", duplicate))).drop("_late")
 
 
+def first_of_pair(rows: DataFrame, tables: Tables, table: str, pair: tuple[str, ...], duplicate: Column) -> DataFrame:
+    """Refuse lines whose pair is in the table or is that of an earlier sound request.
+
+    What is known of a pair is gathered first, keys only, so the rows are dealt once. A row comes once for
+    each row of the table that has its pair.
+    """
+    asked = rows.groupBy(*pair).agg(F.min(F.when(F.col("reject_reason").isNull(), F.col("req_seq"))).alias("_first"))
+    held = rows_for(tables[table].select(*pair), rows, list(pair), rows.count() > FEW)
+    pairs = asked.join(held.groupBy(*pair).agg(F.count("*").alias("_held")), list(pair), "left")
+    late = F.col("_held").isNotNull() | (F.col("req_seq") != F.col("_first"))
+    copies = F.sequence(F.lit(1), F.coalesce(F.col("_held").cast("int"), F.lit(1)))
+    return (rows.join(pairs, list(pair), "left")
+            .withColumn("reject_reason", F.coalesce("reject_reason", F.when(late, duplicate)))
+            .withColumn("_copy", F.explode(copies)).drop("_copy", "_first", "_held"))
+
+
 def add_lines(tables: Tables, table: str, requests: DataFrame) -> Result:
     """New lines of purchase orders, receipts or challans.
 
@@ -90,19 +106,21 @@ def add_lines(tables: Tables, table: str, requests: DataFrame) -> Result:
     header, quantity, _ = LINE_FIELDS[table]
     pair = (header, "item_id")
     rows = checked(tables, line_rows(requests, table), table)
-    rows = durable(is_free_pair(rows, tables, table, pair))
     duplicate = message(DUPLICATE, F.lit(f"{header}, item_id"))
-    rows = rows.withColumn("reject_reason", F.coalesce("reject_reason", F.when(F.col("pair_used"), duplicate)))
     if MODEL[table].key[0] in rows.columns:
+        rows = durable(is_free_pair(rows, tables, table, pair))
+        rows = rows.withColumn("reject_reason", F.coalesce("reject_reason", F.when(F.col("pair_used"), duplicate)))
         rows = durable(given_ids(tables, rows, table, pair, duplicate))
     else:
-        first = rows.filter("reject_reason IS NULL").groupBy(*pair).agg(F.min("req_seq").alias("first_seq"))
-        rows = rows.join(first, list(pair), "left").withColumn(
-            "reject_reason", F.coalesce("reject_reason", F.when(
-                F.col("req_seq") != F.col("first_seq"), duplicate)))
-    new = next_ids(rows.filter("reject_reason IS NULL"), tables, table)
-    outcome = decided(rows, header, "item_id")
-    return Result(Edits(tables, **{table: Edit(inserted=lambda: new_rows(table, new))}), outcome)
+        rows = first_of_pair(rows, tables, table, pair, duplicate)
+    taken = rows.filter("reject_reason IS NULL")
+
+    def lines() -> DataFrame:
+        """The accepted lines, stored as numbering reads them several times."""
+        kept = [c for c in MODEL[table].names if c in taken.columns]
+        return new_rows(table, next_ids(durable(taken.select("req_seq", *kept)), tables, table))
+
+    return Result(Edits(tables, **{table: Edit(inserted=lines)}), decided(rows, header, "item_id"))
 
 
 def confirm_grn(tables: Tables, requests: DataFrame, as_of: str, span: int = SPAN) -> Result:
