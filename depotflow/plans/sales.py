@@ -248,18 +248,9 @@ def advance_so(tables: Tables, requests: DataFrame, as_of: str) -> Result:
 
     ``requests``: ``req_seq``, ``so_id``; each request is one step. No more than two
     steps can pass, so only the first two requests of an order need their rank. The
-    rank filter is applied on the map side before the shuffle.
+    rank filter is applied on the map side before the shuffle. The orders need no rank, only how many steps come.
     """
     orders = tables["sales_orders"]
-    order = Window.partitionBy("so_id").orderBy("req_seq")
-    early = requests.select("so_id", "req_seq").withColumn(
-        "step", F.row_number().over(order)).filter("step <= 2")
-    early = durable(early)
-    rows = (
-        requests.select("req_seq", "so_id")
-        .join(early.select("req_seq", "step"), "req_seq", "left")
-        .join(rows_for(orders.select("so_id", "status"), requests, ["so_id"]), "so_id", "left")
-        .withColumn("step", F.coalesce("step", F.lit(3))))
     once = choose(F.col("status"), NEXT_STATUS)
     twice = choose(once, NEXT_STATUS)
     # the status a request finds, after the steps before it
@@ -267,15 +258,26 @@ def advance_so(tables: Tables, requests: DataFrame, as_of: str) -> Result:
         F.when(F.col("step") == 1, F.col("status"))
         .when(F.col("step") == 2, F.coalesce(once, F.col("status")))
         .otherwise(F.coalesce(twice, once, F.col("status"))))
-    rows = rows.withColumn("found", found).withColumn("new_status", choose(F.col("found"), NEXT_STATUS))
-    rows = rows.withColumn(
-        "reject_reason",
-        F.when(F.col("status").isNull(), message(SO_UNKNOWN, F.col("so_id")))
-        .when(F.col("new_status").isNull(),
-              message(SO_NOT_ADVANCED, F.col("so_id"), F.col("found"))))
+
+    def outcome() -> DataFrame:
+        order = Window.partitionBy("so_id").orderBy("req_seq")
+        early = requests.select("so_id", "req_seq").withColumn(
+            "step", F.row_number().over(order)).filter("step <= 2")
+        rows = (
+            requests.select("req_seq", "so_id")
+            .join(durable(early).select("req_seq", "step"), "req_seq", "left")
+            .join(rows_for(orders.select("so_id", "status"), requests, ["so_id"]), "so_id", "left")
+            .withColumn("step", F.coalesce("step", F.lit(3))))
+        rows = rows.withColumn("found", found).withColumn("new_status", choose(F.col("found"), NEXT_STATUS))
+        rows = rows.withColumn(
+            "reject_reason",
+            F.when(F.col("status").isNull(), message(SO_UNKNOWN, F.col("so_id")))
+            .when(F.col("new_status").isNull(),
+                  message(SO_NOT_ADVANCED, F.col("so_id"), F.col("found"))))
+        return decided(rows, "so_id", "new_status")
 
     def advanced(how: str) -> DataFrame:
-        steps = early.groupBy("so_id").agg(F.max("step").alias("steps"))
+        steps = requests.groupBy("so_id").agg(F.least(F.count("*"), F.lit(2)).alias("steps"))
         moved = orders.join(steps, "so_id", how).withColumn(
             "_new", F.when(F.col("steps") == 2, F.coalesce(twice, once))
             .when(F.col("steps") == 1, once))
@@ -286,7 +288,7 @@ def advance_so(tables: Tables, requests: DataFrame, as_of: str) -> Result:
             "status": F.coalesce("_new", "status"),
         }).select(*MODEL["sales_orders"].names)
 
-    return Result(Edits(tables, sales_orders=Edit(advanced)), decided(rows, "so_id", "new_status"))
+    return Result(Edits(tables, sales_orders=Edit(advanced)), outcome)
 
 
 def cancel_so(tables: Tables, requests: DataFrame, as_of: str, span: int = SPAN) -> Result:
