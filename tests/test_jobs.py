@@ -452,3 +452,23 @@ def test_given_ids_that_are_taken_are_refused(spark, star):
     assert got == {1: ("rejected", "primary_key so_id"), 2: ("accepted", None),
                    3: ("rejected", "primary_key so_id"), 4: ("rejected", "not_null so_id")}
     assert result.changed["sales_orders"].filter("so_id = 900001").count() == 1
+
+
+def test_lines_are_not_stored_again_to_find_the_first_of_a_pair(spark, monkeypatch):
+    w = warehouse(spark, items=ITEMS, purchase_orders=[{}, {}], purchase_order_lines=[
+        {"po_id": 1, "item_id": 1, "ordered_quantity": 1}])
+    rows = [(1, 1, 1, 5), (2, 2, 1, 0), (3, 2, 1, 5), (4, 2, 1, 6), (5, 9, 1, 5)]
+    monkeypatch.setattr(procurement, "durable", lambda df: pytest.fail("stored again"))
+    result = procurement.add_lines(w, "purchase_order_lines", requests(
+        spark, "req_seq long, po_id long, item_id long, quantity int", rows))
+    assert outcomes(result, "reason") == {
+        1: "duplicate po_id, item_id", 2: "check_range ordered_quantity", 3: None, 4: "duplicate po_id, item_id",
+        5: "foreign_key po_id"}
+
+
+def test_advanced_orders_need_no_rank(spark, monkeypatch):
+    w = warehouse(spark, sales_orders=[{}, {"status": "Processing"}])
+    rows = [(s, so) for s, so in enumerate([1, 1, 1, 2, 9])]
+    monkeypatch.setattr(sales, "durable", lambda df: pytest.fail("requests are ranked and stored"))
+    changed = sales.advance_so(w, requests(spark, "req_seq long, so_id long", rows), AS_OF).changed["sales_orders"]
+    assert [r.status for r in changed.orderBy("so_id").collect()] == ["Packed", "Packed"]
