@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from depotflow.operators.connected import components
 from depotflow.operators.running import SPAN, running_totals
-from depotflow.session import durable
+from depotflow.stored import durable
 
 
 @dataclass(frozen=True)

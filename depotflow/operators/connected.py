@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotflow.session import durable
+from depotflow.stored import durable
 
 PAIRS = 1 << 18  # pairs that a task joins
 

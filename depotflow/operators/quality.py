@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from depotflow.functions.columns import LINE_PARTS, is_falsy
 from depotflow.operators.changes import Edit, Edits
 from depotflow.schemas import MODEL, MONEY, QTY, Table
-from depotflow.session import durable
+from depotflow.stored import durable
 
 Tables = Mapping[str, DataFrame]
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from depotflow.operators.running import SPAN, running_totals
 from depotflow.schemas import QTY
-from depotflow.session import durable
+from depotflow.stored import durable
 
 FOLD_LIMIT = 1_000_000
 

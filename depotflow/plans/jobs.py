@@ -20,7 +20,7 @@ from depotflow.operators.changes import Edits
 from depotflow.operators.quality import orphan_flags, row_reason, rows_for
 from depotflow.operators.running import ranked
 from depotflow.schemas import MODEL, QTY
-from depotflow.session import durable
+from depotflow.stored import durable
 
 Tables = Mapping[str, DataFrame]
 

@@ -16,7 +16,7 @@ from depotflow.plans.jobs import (
     ACCEPTED, REJECTED, UNCHANGED, Result, Tables, checked, decided, first_requests,
     is_free_pair, known_ids, looked_up, move_stock, new_rows, next_ids, stamped, taken_ids, turns_of)
 from depotflow.schemas import MODEL, QTY
-from depotflow.session import durable
+from depotflow.stored import durable
 
 
 def create_documents(tables: Tables, table: str, requests: DataFrame, as_of: str) -> Result:

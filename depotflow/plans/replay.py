@@ -22,7 +22,7 @@ from depotflow.operators.running import SPAN
 from depotflow.plans import procurement, sales
 from depotflow.plans.jobs import ACCEPTED, REJECTED, After, Changes, Result, Tables
 from depotflow.schemas import QTY
-from depotflow.session import durable
+from depotflow.stored import durable
 
 LAST_LINE = (1 << 62) - 1  # the place of what happens after the lines
 

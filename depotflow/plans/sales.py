@@ -19,7 +19,7 @@ from depotflow.plans.jobs import (
     is_free_pair, looked_up, move_stock, new_rows, next_ids, stamped, taken_ids, turns_of)
 from depotflow.plans.procurement import line_rows
 from depotflow.schemas import MODEL, QTY
-from depotflow.session import durable
+from depotflow.stored import durable
 
 # --- fixed values: the step each status can be moved by hand ---
 NEXT_STATUS = {"Pending": "Processing", "Processing": "Packed"}
